@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowpane.functions import labels as L
 from flowpane.functions import numbers as N
 from flowpane.functions import vocabulary as V
-from flowpane.operators.ordered import forward_fill, join_by_value, with_position
+from flowpane.operators.ordered import forward_fill, join_by_value, number_values, with_position
 
 
 def harmonise_columns(df: DataFrame, aliases: Mapping[str, str] = V.COLUMN_ALIASES) -> DataFrame:
@@ -91,7 +91,7 @@ def category_dictionary(df: DataFrame, col: str) -> DataFrame:
     """(value, code, n): distinct trimmed values numbered from 0 in sorted order, with their row counts."""
     seen = (df.groupBy(F.coalesce(F.trim(F.col(col)), F.lit("nan")).alias("value"))
             .agg(F.count(F.lit(1)).alias("n")))
-    return with_position(seen, [], ["value"], pos="code", count=None)
+    return number_values(seen, ["value"], "code")
 
 
 def encode_categories(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -101,7 +101,7 @@ def encode_categories(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, di
         d = category_dictionary(df, c)
         dictionaries[c] = d
         keyed = out.withColumn("value", F.coalesce(F.trim(F.col(c)), F.lit("nan"))).drop(c)
-        out = join_by_value(keyed, d, ["value"]).withColumnRenamed("code", c).drop("value", "n")
+        out = join_by_value(keyed, d, ["value"], written=True).withColumnRenamed("code", c).drop("value", "n")
     return out.select(*df.columns), dictionaries
 
 
@@ -109,7 +109,7 @@ def label_dictionary(df: DataFrame, label: str = "label", benign: str = V.BENIGN
     """(label, code, n) over all sources: benign is 0, the others follow alphabetically from 1."""
     seen = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
             .withColumn("_attack", (F.col(label) != benign).cast("int")))
-    placed = with_position(seen, [], ["_attack", label], pos="_p", count=None)
+    placed = number_values(seen, ["_attack", label], "_p")
     first = 0 if placed.where(F.col(label) == benign).limit(1).count() else 1
     return placed.select(label, (F.col("_p") + first).cast("bigint").alias("code"), "n")
 

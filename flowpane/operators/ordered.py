@@ -112,27 +112,41 @@ def average_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return runs.withColumn("avg_rank", F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2.0)
 
 
-def join_by_value(rows: DataFrame, values: DataFrame, on: Sequence[str], n: str = "n",
-                  how: str = "left") -> DataFrame:
-    """Attach a per-value table to the rows it was counted from, with the hot values taken out of the shuffle.
+SMALL_TABLE_ROWS = 100_000
 
-    A value is hot when it holds more than one shuffle partition's share of the rows, so there are fewer hot values
-    than shuffle partitions: that part is safe to broadcast. All other values go through an ordinary join.
+
+def join_by_value(rows: DataFrame, values: DataFrame, on: Sequence[str], n: str = "n", how: str = "left",
+                  written: bool = False) -> DataFrame:
+    """Attach a per-value table (key columns and a few numbers) to the rows it was counted from.
+
+    A table of at most ``SMALL_TABLE_ROWS`` values is broadcast: its size has just been counted. Beyond that only
+    the hot values are: a value is hot when it holds more than one shuffle partition's share of the rows, so there
+    are fewer hot values than shuffle partitions. All other values go through an ordinary join.
     """
-    values = materialise(values)
-    total = values.agg(F.sum(n).alias("t")).first()["t"] or 0
-    width = shuffle_width(rows.sparkSession)
-    cut = max(total / width, 1.0)
-    if values.where(F.col(n) > cut).limit(1).count() == 0:
+    values = values if written else materialise(values)
+    facts = values.agg(F.count(F.lit(1)).alias("c"), F.sum(n).alias("t"), F.max(n).alias("m")).first()
+    if facts["c"] <= SMALL_TABLE_ROWS:
+        return null_safe_join(rows, F.broadcast(values), on, how)
+    cut = facts["t"] / shuffle_width(rows.sparkSession)
+    if facts["m"] <= cut:
         return null_safe_join(rows, values, on, how)
-    hot = materialise(values.where(F.col(n) > cut))
-    flag = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    tagged = null_safe_join(rows, flag, on, "left")
+    hot = values.where(F.col(n) > cut)
+    tagged = null_safe_join(rows, F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
     fast = null_safe_join(tagged.where("_hot").drop("_hot"), F.broadcast(hot), on, "inner")
     slow = null_safe_join(tagged.where("_hot is null").drop("_hot"), values.where(F.col(n) <= cut), on, how)
     return fast.unionByName(slow)
 
 
+def number_values(values: DataFrame, order: Sequence[str], pos: str) -> DataFrame:
+    """Number a table of distinct values from 0; written. Small tables are numbered in one task, large ones in ranges."""
+    values = materialise(values)
+    if values.count() <= SMALL_TABLE_ROWS:
+        numbered = values.withColumn(pos, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    else:
+        numbered = with_position(values, [], order, pos=pos, count=None)
+    return materialise(numbered)
+
+
 def forward_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str],
                  default: float | None = 0.0) -> DataFrame:
     """Carry the last non-null value forward inside each group; what precedes the first value gets ``default``."""

@@ -20,6 +20,7 @@ def get_session(app: str = "flowpane", master: str | None = None, shuffle_partit
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC"))
+    b = b.config("spark.ui.showConsoleProgress", "false")
     if master:
         b = b.master(master).config("spark.driver.memory", driver_memory).config("spark.ui.enabled", "false")
     if shuffle_partitions:

@@ -32,8 +32,10 @@ def read_flows(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return df.withColumn(tag, F.col("_metadata.file_name")) if tag else df
 
 
-def read_clean(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_clean(spark: SparkSession, path: str, source: str = "source") -> DataFrame:
+    """Clean Parquet; a source named like a date or a number stays text."""
+    df = spark.read.parquet(path)
+    return df.withColumn(source, F.col(source).cast("string")) if source in df.columns else df
 
 
 def union_sources(tables: dict[str, DataFrame], tag: str = "source") -> DataFrame:
