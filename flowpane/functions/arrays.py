@@ -1,0 +1,94 @@
+"""Smoothing and normalising of ``ARRAY<DOUBLE>`` columns with built-in expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. Inside a lambda, a plain expression is computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def mean(x: Column) -> Column:
+    return total(x) / F.size(x)
+
+
+def moments(x: Column) -> Column:
+    """STRUCT<n, mean, ss>: one stable pass; ``ss`` is the sum of squared deviations."""
+    def step(acc, v):
+        n = acc["n"] + 1
+        d = v - acc["mean"]
+        m = acc["mean"] + d / n
+        return F.struct(n.alias("n"), m.alias("mean"), (acc["ss"] + d * (v - m)).alias("ss"))
+    return F.aggregate(x, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("ss")), step)
+
+
+def variance(x: Column, unbiased: bool = False) -> Column:
+    return let(moments(x), lambda m: m["ss"] / (m["n"] - (1 if unbiased else 0)))
+
+
+def shifted(x: Column, centre: Column, scale: Column) -> Column:
+    """(x - centre) / scale."""
+    return F.zip_with(x, F.array_repeat(F.struct(centre.alias("c"), scale.alias("s")), F.size(x)),
+                      lambda v, k: (v - k["c"]) / k["s"])
+
+
+def unshifted(x: Column, centre: Column, scale: Column) -> Column:
+    return F.zip_with(x, F.array_repeat(F.struct(centre.alias("c"), scale.alias("s")), F.size(x)),
+                      lambda v, k: v * k["s"] + k["c"])
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda u, v: u - v)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda u, v: u + v)
+
+
+def _sliding_mean(padded: Column, k: int) -> Column:
+    return let(padded, lambda p: F.transform(
+        F.sequence(F.lit(1), F.size(p) - (k - 1)), lambda i: total(F.slice(p, i, k)) / k))
+
+
+def centred_mean(x: Column, k: int) -> Column:
+    """Moving average of odd width ``k``; the edges see the first and last value repeated."""
+    if k % 2 == 0:
+        raise ValueError("the width of a centred mean must be odd")
+    h = (k - 1) // 2
+    edge = lambda i: F.array_repeat(F.element_at(x, i), h)
+    return _sliding_mean(F.concat(edge(1), x, edge(-1)), k)
+
+
+def causal_mean(x: Column, k: int) -> Column:
+    """Mean over the last ``k`` values, zeros before the first."""
+    return _sliding_mean(F.concat(F.array_repeat(F.lit(0.0), k - 1), x), k)
+
+
+def ema(x: Column, alpha: float) -> Column:
+    """y0 = x0, y = alpha * x + (1 - alpha) * y."""
+    first = F.element_at(x, 1)
+    start = F.struct(F.array(first).alias("ys"), first.alias("y"))
+
+    def step(acc, v):
+        y = alpha * v + (1 - alpha) * acc["y"]
+        return F.struct(F.concat(acc["ys"], F.array(y)).alias("ys"), y.alias("y"))
+
+    return F.aggregate(F.slice(x, F.lit(2), F.size(x)), start, step, lambda acc: acc["ys"])
+
+
+def dema(x: Column, alpha: float) -> Column:
+    return let(ema(x, alpha), lambda y: F.zip_with(y, ema(y, alpha), lambda a, b: 2 * a - b))
+
+
+def mean_of(columns: list[Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = plus(out, c)
+    return F.transform(out, lambda v: v / len(columns))

@@ -11,8 +11,6 @@ from flowpane.functions import numbers as N
 from flowpane.functions import vocabulary as V
 from flowpane.operators.ordered import exact_quantiles, running_totals
 
-_ALL = Window.partitionBy()
-
 
 def _n():
     return F.count(F.lit(1))
@@ -21,7 +19,7 @@ def _n():
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, share), from one count per label."""
     g = df.groupBy(label).agg(_n().alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(_ALL)).orderBy(F.desc("n"), label)
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), label)
 
 
 def flow_distribution(split_meta: DataFrame, size: int, benign: str = V.BENIGN) -> DataFrame:

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import cleaning, splitting, windowing  # noqa: F401
+from workload import cleaning, shaping, splitting, windowing  # noqa: F401
