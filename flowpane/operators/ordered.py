@@ -64,22 +64,29 @@ def with_position(df: DataFrame, by: Sequence[str], order: Sequence[str], pos: s
     return out.drop("_start", "_all", LOC, SEG)
 
 
-def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Inclusive running sums ``<c>_cum`` and group totals ``<c>_all`` of each column in ``sums``.
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str],
+                   following: str | None = None) -> DataFrame:
+    """Inclusive running sums ``<c>_cum`` and group totals ``<c>_all`` of each column in ``sums``; with
+    ``following``, also that column's value in the next row of the group, ``<following>_next``.
 
     Meant for tables already aggregated to one row per (by, order): equal values must have been merged first, so
     that a value held by a third of all rows is one row here.
     """
     seg = range_segments(df, by, order)
-    local = Window.partitionBy(*by, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = seg.groupBy(*by, SEG).agg(*[F.sum(c).alias(c) for c in sums])
+    sorted_seg = Window.partitionBy(*by, SEG).orderBy(*order)
+    local = sorted_seg.rowsBetween(Window.unboundedPreceding, 0)
+    first = [F.min_by(following, LOC).alias("_first")] if following else []
+    parts = seg.groupBy(*by, SEG).agg(*[F.sum(c).alias(c) for c in sums], *first)
+    ahead = [F.lead("_first").over(Window.partitionBy(*by).orderBy(SEG)).alias("_ahead")] if following else []
     parts = parts.select(
-        *by, SEG,
+        *by, SEG, *ahead,
         *[F.coalesce(F.sum(c).over(_before(by)), F.lit(0)).alias(f"_b_{c}") for c in sums],
         *[F.sum(c).over(Window.partitionBy(*by)).alias(f"{c}_all") for c in sums])
     out = null_safe_join(seg, materialise(parts), [*by, SEG])
-    return (out.withColumns({f"{c}_cum": F.col(f"_b_{c}") + F.sum(c).over(local) for c in sums})
-            .drop(SEG, LOC, *[f"_b_{c}" for c in sums]))
+    new = {f"{c}_cum": F.col(f"_b_{c}") + F.sum(c).over(local) for c in sums}
+    if following:
+        new[f"{following}_next"] = F.coalesce(F.lead(following).over(sorted_seg), F.col("_ahead"))
+    return out.withColumns(new).drop(SEG, LOC, "_ahead", *[f"_b_{c}" for c in sums])
 
 
 def value_counts(df: DataFrame, by: Sequence[str], col: str, **counts) -> DataFrame:

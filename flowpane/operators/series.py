@@ -90,7 +90,12 @@ def dominant_periods(df: DataFrame, factor: int = 1) -> DataFrame:
 
 def delay_aggregate(df: DataFrame, factor: int = 1) -> DataFrame:
     """Adds ``aggregated``: the weighted sum of the series rolled by each of its strongest delays."""
-    n = F.size(X)
-    rolled = F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.aggregate(
-        "_p", F.lit(0.0), lambda a, p: a + p["weight"] * F.element_at(X, ((t + p["delay"]) % n + 1).cast("int"))))
-    return _with_delays(df, factor).withColumn("aggregated", rolled).drop("_p")
+    both = F.struct(F.col(X).alias("x"), F.col("_p").alias("p"))
+
+    def rolled(b):
+        n = F.size(b["x"])
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.aggregate(
+            b["p"], F.lit(0.0),
+            lambda a, p: a + p["weight"] * F.element_at(b["x"], ((t + p["delay"]) % n + 1).cast("int"))))
+
+    return _with_delays(df, factor).withColumn("aggregated", A.let(both, rolled)).drop("_p")
