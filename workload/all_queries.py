@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import cleaning, drifting, shaping, splitting, windowing  # noqa: F401
+from workload import cleaning, drifting, jobs, scoring, shaping, splitting, windowing  # noqa: F401
