@@ -9,6 +9,7 @@ from flowpane.functions import labels as L
 from flowpane.functions import numbers as N
 from flowpane.operators.metrics import sorted_by_rate
 from flowpane.operators.ordered import exact_quantiles
+from flowpane.session import materialise
 
 GID = "global_window_id"
 
@@ -20,7 +21,7 @@ def attacks_of(counts: Column, primary: Column, listed: Column | None = None) ->
     many = F.coalesce(counted, F.array().cast("array<string>"))
     if listed is not None:
         many = F.concat(F.coalesce(listed, F.array().cast("array<string>")), many)
-    names = F.array_sort(F.array_distinct(clean(many)))
+    names = F.sort_array(F.array_distinct(clean(many)))
     return F.when(F.size(names) > 0, names).otherwise(clean(F.array(primary)))
 
 
@@ -30,7 +31,7 @@ def with_attacks(meta: DataFrame) -> DataFrame:
 
 def align(pred: DataFrame, meta: DataFrame, key: str = GID) -> DataFrame:
     """Predictions with their window's metadata; an error if either side has windows the other lacks."""
-    both = pred.withColumn("_p", F.lit(1)).join(meta.withColumn("_m", F.lit(1)), key, "full")
+    both = materialise(pred.withColumn("_p", F.lit(1)).join(meta.withColumn("_m", F.lit(1)), key, "full"))
     odd = both.agg(F.count_if(F.col("_p").isNull()).alias("p"), F.count_if(F.col("_m").isNull()).alias("m")).first()
     if odd["p"] or odd["m"]:
         raise ValueError(f"{odd['p']} windows without a prediction, {odd['m']} predictions without a window")

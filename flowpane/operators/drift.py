@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
 from flowpane.functions import numbers as N
 from flowpane.functions.signal import gaussian_weights
 from flowpane.operators.ordered import running_totals
@@ -269,25 +268,20 @@ def precision_weights(curve: DataFrame, col: str, by: Sequence[str] = (), sigma:
     quadratic ramp over the upper bins. A curve is as long as a spectrum."""
     w = gaussian_weights(sigma)
     r = len(w) // 2
-    arr = curve.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", F.col(col).alias("s")))).alias("_c"))
-
-    def smooth(c):
-        n = F.size(c)
-        # index reflected into 0..n-1 with the edge value repeated: ... 1 0 | 0 1 ... n-1 | n-1 n-2 ...
-        def at(i):
-            j = F.pmod(i, 2 * n)
-            return F.element_at(c, F.when(j < n, j + 1).otherwise(2 * n - j).cast("int")).getField("s")
-        def value(i):
-            out = F.lit(0.0)
-            for d, weight in zip(range(-r, r + 1), w):
-                out = out + at(i + d) * weight
-            up = F.when((i >= ramp_from) & (n > ramp_from), ramp * F.pow(
-                F.coalesce(F.try_divide((i - ramp_from).cast("double"), (n - 1 - ramp_from).cast("double")), F.lit(0.0)), F.lit(2)))
-            return out + F.coalesce(up, F.lit(0.0))
-        return F.transform(c, lambda s, i: F.struct(s["bin"].alias("bin"), value(i).alias("smooth")))
-
-    rows = arr.select(*by, F.explode(A.let(F.col("_c"), smooth)).alias("e"))
-    return rows.select(*by, "e.bin", "e.smooth", F.exp(-F.col("e.smooth")).alias("weight"))
+    n = F.max("bin").over(Window.partitionBy(*by)) + 1
+    sized = materialise(curve).select(*by, "bin", F.col(col).alias("s"), n.alias("n"))
+    # each bin looks at the bins around it; past an edge the curve is reflected: ... 1 0 | 0 1 ... n-1 | n-1 n-2 ...
+    hits = F.array(*[F.struct((F.col("bin") + d).alias("at"), F.lit(v).alias("w")) for d, v in zip(range(-r, r + 1), w)])
+    i, n = F.col("h.at"), F.col("n")
+    mirrored = F.when(i < 0, -i - 1).when(i >= n, 2 * n - 1 - i).otherwise(i)
+    near = sized.withColumn("h", F.explode(hits)).select(*by, F.col("bin"), "n", mirrored.alias("src"), F.col("h.w").alias("w"))
+    values = sized.select(*by, F.col("bin").alias("src"), "s")
+    smooth = near.join(values, [*by, "src"]).groupBy(*by, "bin").agg(
+        F.sum(F.col("w") * F.col("s")).alias("v"), F.max("n").alias("n"))
+    place = (F.col("bin") - ramp_from) / (F.col("n") - 1 - ramp_from)
+    up = F.when((F.col("bin") >= ramp_from) & (F.col("n") - 1 > ramp_from), ramp * place * place).otherwise(0.0)
+    out = smooth.select(*by, "bin", (F.col("v") + up).alias("smooth"))
+    return out.withColumn("weight", F.exp(-F.col("smooth")))
 
 
 def band_weight(bin_: Column, bins: int, low_w: float = 0.2, mid_w: float = 1.0, high_w: float = 0.6,

@@ -39,7 +39,7 @@ def features_reaching(imp: DataFrame, threshold: float) -> DataFrame:
 
 def low_importance(imp: DataFrame, thresholds: Sequence[float] = (1e-4, 1e-3, 1e-2), names: int = 5) -> DataFrame:
     """(threshold, features, pct, first): features below each threshold and the first names among them."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("o"), "feature")))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "feature")))
     one = imp.agg(ranked.alias("all"))
     parts = []
     for x in thresholds:

@@ -19,6 +19,7 @@ from flowpane.session import materialise, shuffle_width
 SEG = "_seg"
 LOC = "_loc"
 _LOC_MASK = (1 << 33) - 1
+SMALL_TABLE_ROWS = 100_000  # a table counted to be no larger may be broadcast, or ordered by one task
 
 
 def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -70,8 +71,17 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     ``following``, also that column's value in the next row of the group, ``<following>_next``.
 
     Meant for tables already aggregated to one row per (by, order): equal values must have been merged first, so
-    that a value held by a third of all rows is one row here.
+    that a value held by a third of all rows is one row here. The table is written and counted; only one that is
+    known to be small is run through plain windows, a task per group.
     """
+    df = materialise(df)
+    if df.count() <= SMALL_TABLE_ROWS:
+        group, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*order)
+        new = {f"{c}_cum": F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0)) for c in sums}
+        new.update({f"{c}_all": F.sum(c).over(group) for c in sums})
+        if following:
+            new[f"{following}_next"] = F.lead(following).over(line)
+        return df.withColumns(new)
     seg = range_segments(df, by, order)
     sorted_seg = Window.partitionBy(*by, SEG).orderBy(*order)
     local = sorted_seg.rowsBetween(Window.unboundedPreceding, 0)
@@ -119,9 +129,6 @@ def average_ranks(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return runs.withColumn("avg_rank", F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2.0)
 
 
-SMALL_TABLE_ROWS = 100_000
-
-
 def join_by_value(rows: DataFrame, values: DataFrame, on: Sequence[str], n: str = "n", how: str = "left",
                   written: bool = False) -> DataFrame:
     """Attach a per-value table (key columns and a few numbers) to the rows it was counted from.

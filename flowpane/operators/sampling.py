@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowpane.operators.ordered import with_position
+from flowpane.operators.ordered import SMALL_TABLE_ROWS, with_position
+from flowpane.session import materialise
 
 HASH_RANGE = 1 << 32
 
@@ -22,25 +22,29 @@ def sample_exact(df: DataFrame, key: str, quotas: Mapping, seed: int, by: str |
     """Exactly ``quotas[class]`` rows (or all, if fewer) of each class, those with the smallest hashes.
 
     ``key`` must identify a row. Only rows with a hash below a bound can be among the smallest: the bound is set
-    generously, the counts beneath it are checked, and if a class falls short the bound is not used.
+    generously, the counts beneath it are checked, and if a class falls short the bound is not used. The rows below
+    the bound are few more than the sample, and are written once.
     """
-    cls = F.col(by) if by else F.lit("all")
-    rows = df.withColumn("_class", cls.cast("string")).withColumn("_h", sample_hash(F.col(key), seed))
+    rows = df.withColumn("_class", (F.col(by) if by else F.lit("all")).cast("string")).withColumn(
+        "_h", sample_hash(F.col(key), seed))
     wanted = {str(k): int(v) for k, v in quotas.items()}
     sizes = {r["_class"]: r["count"] for r in
              rows.where(F.col("_class").isin(*wanted)).groupBy("_class").count().collect()}
-    in_class = lambda k: F.col("_class") == k
-    bound = {k: min(1.0, (1.2 * wanted[k] + 50) / n) for k, n in sizes.items()}
-    below = {k: in_class(k) & (F.col("_h") < int(b * HASH_RANGE)) for k, b in bound.items()}
-    if not below:
+    if not sizes:
         return df.limit(0)
-    near = rows.where(reduce(lambda a, b: a | b, below.values()))
+    bound = {k: int(min(1.0, (1.2 * wanted[k] + 50) / n) * HASH_RANGE) for k, n in sizes.items()}
+    per_class = F.create_map(*[F.lit(v) for kv in bound.items() for v in kv])
+    near = materialise(rows.where(F.col("_h") < F.try_element_at(per_class, F.col("_class"))))
     got = {r["_class"]: r["count"] for r in near.groupBy("_class").count().collect()}
-    if any(got.get(k, 0) < min(wanted[k], sizes[k]) for k in sizes):
-        near = rows.where(F.col("_class").isin(*wanted))
-    quota = reduce(lambda a, k: F.when(in_class(k), wanted[k]).otherwise(a), wanted, F.lit(0))
-    placed = with_position(near, ["_class"], ["_h", key], pos="_rank", count=None)
-    return placed.where(F.col("_rank") < quota).select(*df.columns)
+    if any(got.get(k, 0) < min(wanted[k], n) for k, n in sizes.items()):
+        near, got = rows.where(F.col("_class").isin(*wanted)), sizes
+    if max(got.values()) <= SMALL_TABLE_ROWS:
+        rank = F.row_number().over(Window.partitionBy("_class").orderBy("_h", key)) - 1
+        placed = near.withColumn("_rank", rank)
+    else:
+        placed = with_position(near, ["_class"], ["_h", key], pos="_rank", count=None)
+    quota = F.create_map(*[F.lit(v) for k in sizes for v in (k, wanted[k])])
+    return placed.where(F.col("_rank") < F.try_element_at(quota, F.col("_class"))).select(*df.columns)
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:

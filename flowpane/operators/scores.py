@@ -8,27 +8,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
+from flowpane.functions import signal as S
 from flowpane.operators.ordered import average_ranks, join_by_value
 from flowpane.session import materialise
 
 
 def recon_score(series: DataFrame, recon: Column, key: Sequence[str]) -> DataFrame:
     """Mean over rows and channels of (x - recon)^2, per window. ``recon`` is an array as long as ``x``."""
-    err = A.total(F.zip_with("x", recon, lambda u, v: (u - v) * (u - v)))
-    rows = series.select(*key, err.alias("_e"), F.size("x").alias("_n"))
+    rows = series.select(*key, S.squared_error(F.col("x"), recon).alias("_e"), F.size("x").alias("_n"))
     return rows.groupBy(*key).agg((F.sum("_e") / F.sum("_n")).alias("recon_score"))
 
 
+def residual_score(series: DataFrame, key: Sequence[str], residual: str = "residual") -> DataFrame:
+    """:func:`recon_score` where the residual x - recon is at hand already."""
+    rows = series.select(*key, F.explode(residual).alias("_r"))
+    return rows.groupBy(*key).agg(F.avg(F.col("_r") * F.col("_r")).alias("recon_score"))
+
+
 def spectral_baseline(spectra: DataFrame) -> DataFrame:
-    """(channel, mean ARRAY, var ARRAY): log-amplitude per bin over the given (normal training) windows.
+    """(channel, bin, mean, var): log-amplitude over the given (normal training) windows.
 
-    One row per channel; the shuffle carries one partial mean and variance per channel, bin and map task.
+    One row per channel and bin; the shuffle carries one partial mean and variance of each per map task.
     """
     tall = spectra.select("channel", F.posexplode("amp").alias("bin", "a"))
-    g = tall.groupBy("channel", "bin").agg(F.avg("a").alias("m"), F.var_pop("a").alias("v"))
-    one = g.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("bin", "m", "v"))).alias("s"))
-    return one.select("channel", F.col("s").getField("m").alias("mean"), F.col("s").getField("v").alias("var"))
+    return tall.groupBy("channel", "bin").agg(F.avg("a").alias("mean"), F.var_pop("a").alias("var"))
 
 
 def freq_score(spectra: DataFrame, baseline: DataFrame, key: Sequence[str], alpha: float = 2.0,
@@ -36,18 +39,14 @@ def freq_score(spectra: DataFrame, baseline: DataFrame, key: Sequence[str], alph
     """Squared distance of log-amplitudes from the baseline, with the part above the normal variance counted
     ``alpha`` times more, averaged over channels and the masked bins (all but DC, each masked once).
 
-    ``weight(bin)`` scales the squared distance of a bin instead of the boost.
+    ``weight(bin)`` scales the squared distance of a bin instead of the boost. Bins meet the baseline, which is as
+    small as a spectrum, in a broadcast, and are summed before any shuffle.
     """
-    both = F.arrays_zip(F.col("amp").alias("a"), F.col("mean").alias("m"), F.col("var").alias("v"))
-
-    def bin_error(z, i):
-        e = (z["a"] - z["m"]) * (z["a"] - z["m"])
-        scored = e + alpha * F.greatest(e - z["v"], F.lit(0.0)) if weight is None else e * weight(i)
-        return F.when(i > 0, scored).otherwise(0.0)
-
-    rows = spectra.join(materialise(baseline), "channel").select(
-        *key, A.total(F.transform(both, bin_error)).alias("_e"), (F.size("amp") - 1).alias("_n"))
-    return rows.groupBy(*key).agg((F.sum("_e") / (F.sum("_n") + 1e-8)).alias("freq_score"))
+    bins = spectra.select(*key, "channel", F.posexplode("amp").alias("bin", "a")).where("bin > 0")
+    e = (F.col("a") - F.col("mean")) * (F.col("a") - F.col("mean"))
+    scored = e + alpha * F.greatest(e - F.col("var"), F.lit(0.0)) if weight is None else e * weight(F.col("bin"))
+    joined = bins.join(materialise(baseline), ["channel", "bin"])
+    return joined.groupBy(*key).agg((F.sum(scored) / (F.count(F.lit(1)) + 1e-8)).alias("freq_score"))
 
 
 def rank_norm(df: DataFrame, col: str, by: Sequence[str] = ("split",), out: str | None = None) -> DataFrame:

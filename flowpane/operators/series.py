@@ -7,43 +7,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
 from flowpane.functions import signal as S
 from flowpane.operators.window_features import instance_norm
 
 X = "x"
 
 
+def _parts(df: DataFrame, split: Column) -> DataFrame:
+    """The fields of a split as columns."""
+    return df.withColumn("_s", split).select(*df.columns, "_s.*")
+
+
 def sma(df: DataFrame, k: int = 25) -> DataFrame:
-    return df.withColumn("trend", A.centred_mean(F.col(X), k))
+    return df.withColumn("trend", S.centred_mean(F.col(X), k))
 
 
 def causal_sma(df: DataFrame, k: int = 25) -> DataFrame:
-    return df.withColumn("trend", A.causal_mean(F.col(X), k))
+    return df.withColumn("trend", S.causal_mean(F.col(X), k))
 
 
 def ema(df: DataFrame, alpha: float = 0.3) -> DataFrame:
-    return df.withColumn("trend", A.ema(F.col(X), alpha))
+    return df.withColumn("trend", S.ema(F.col(X), alpha))
 
 
 def dema(df: DataFrame, alpha: float = 0.3) -> DataFrame:
-    return df.withColumn("trend", A.dema(F.col(X), alpha))
-
-
-def _with_rest(df: DataFrame) -> DataFrame:
-    return df.withColumn("residual", A.minus(F.col(X), F.col("trend")))
+    return df.withColumn("trend", S.dema(F.col(X), alpha))
 
 
 def decompose_ma(df: DataFrame, k: int = 25) -> DataFrame:
-    return _with_rest(sma(df, k))
+    return _parts(df, S.mean_split(F.col(X), [k]))
 
 
 def decompose_ma_multi(df: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Trend: the average of the moving averages of several widths."""
-    return _with_rest(df.withColumn("trend", A.mean_of([A.centred_mean(F.col(X), k) for k in ks])))
+    return _parts(df, S.mean_split(F.col(X), ks))
 
 
 def dft_energy_filter(df: DataFrame, top_k: int = 5, low: float = 0.4, tau: float = 0.95) -> DataFrame:
@@ -51,51 +51,34 @@ def dft_energy_filter(df: DataFrame, top_k: int = 5, low: float = 0.4, tau: floa
 
 
 def dft_topk(df: DataFrame, top_k: int = 5, low: float = 0.4) -> DataFrame:
-    out = df.withColumn("seasonal", S.strongest_bins(F.col(X), top_k, low))
-    return out.withColumn("trend", A.minus(F.col(X), F.col("seasonal")))
+    return _parts(df, S.strongest_bins(F.col(X), top_k, low))
 
 
 def decompose(df: DataFrame, trend: str = "ema", alpha: float = 0.3, k: int = 25, top_k: int = 5, low: float = 0.5,
               tau: float = 0.97) -> DataFrame:
     """x = trend + seasonal + residual; seasonal is the energy-filtered part of what the trend leaves."""
-    out = {"ema": lambda: ema(df, alpha), "dema": lambda: dema(df, alpha), "sma": lambda: sma(df, k)}[trend]()
-    rest = A.minus(F.col(X), F.col("trend"))
-    out = out.withColumn("_rest", rest)
-    out = out.withColumn("seasonal", S.energy_filtered(F.col("_rest"), top_k, low, tau))
-    return out.withColumn("residual", A.minus(F.col("_rest"), F.col("seasonal"))).drop("_rest")
+    return _parts(df, S.three_way_split(F.col(X), trend, alpha, k, top_k, low, tau))
 
 
 def hp_filter(df: DataFrame, lamb: float = 6400.0) -> DataFrame:
-    return _with_rest(df.withColumn("trend", S.hodrick_prescott(F.col(X), lamb)))
+    return _parts(df, S.hodrick_prescott(F.col(X), lamb))
 
 
 def lowpass(df: DataFrame, cut: int, eps: float = 1e-5) -> DataFrame:
     """Instance-normalise (sample variance), keep the first ``cut`` bins, undo the normalisation."""
     n = instance_norm(df, "mean", eps, unbiased=True)
     n = n.withColumn(X, S.low_passed(F.col(X), cut))
-    return n.withColumn("smooth", A.unshifted(F.col(X), F.col("centre"), F.col("scale"))).drop(X, "centre", "scale")
-
-
-def _with_delays(df: DataFrame, factor: int) -> DataFrame:
-    out = df.withColumn("_corr", S.circular_autocorrelation(F.col(X)))
-    return out.withColumn("_p", S.strongest_delays(F.col("_corr"), factor)).drop("_corr")
+    return n.withColumn("smooth", S.restored(F.col(X), F.col("centre"), F.col("scale"))).drop(X, "centre", "scale")
 
 
 def dominant_periods(df: DataFrame, factor: int = 1) -> DataFrame:
     """(…, rank, delay, weight) of the strongest delays of the circular autocorrelation, one row each."""
     keep = [c for c in df.columns if c != X]
-    out = _with_delays(df, factor).select(*keep, F.posexplode("_p").alias("rank", "p"))
+    out = df.withColumn("_p", S.strongest_delays(F.col(X), factor))
+    out = out.select(*keep, F.posexplode(F.arrays_zip("_p.delay", "_p.weight")).alias("rank", "p"))
     return out.select(*keep, "rank", F.col("p.delay").alias("delay"), F.col("p.weight").alias("weight"))
 
 
 def delay_aggregate(df: DataFrame, factor: int = 1) -> DataFrame:
     """Adds ``aggregated``: the weighted sum of the series rolled by each of its strongest delays."""
-    both = F.struct(F.col(X).alias("x"), F.col("_p").alias("p"))
-
-    def rolled(b):
-        n = F.size(b["x"])
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.aggregate(
-            b["p"], F.lit(0.0),
-            lambda a, p: a + p["weight"] * F.element_at(b["x"], ((t + p["delay"]) % n + 1).cast("int"))))
-
-    return _with_delays(df, factor).withColumn("aggregated", A.let(both, rolled)).drop("_p")
+    return df.withColumn("aggregated", S.delay_aggregated(F.col(X), factor))

@@ -87,7 +87,7 @@ def best_f1_percentile(df: DataFrame, score: str, label: str = "label", by: Sequ
     by = list(by)
     probs = [float(p) / 100 for p in np.linspace(lo, hi, n_steps)]
     q = exact_quantiles(df, by, score, probs)
-    grid = materialise(q.groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("_grid")))
+    grid = materialise(q.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_grid")))
     if by:
         rows = null_safe_join(df, grid, by)
     else:

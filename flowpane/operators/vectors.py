@@ -21,7 +21,7 @@ def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, vector): the mean vector of each class. Partial sums are formed before the shuffle."""
     pieces = df.select(label, F.posexplode(vector).alias("i", "v"))
     g = pieces.groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    rows = g.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+    rows = g.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"))
     return rows.select(label, F.col("s").getField("v").alias("vector"))
 
 

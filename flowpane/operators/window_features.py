@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
 from flowpane.functions import signal as S
 from flowpane.operators.sampling import HASH_RANGE, sample_hash
 from flowpane.operators.windows import WindowSpec, pane_windows, window_rows
@@ -44,7 +43,7 @@ def window_stats(df: DataFrame, spec: WindowSpec, features: Sequence[str],
             pane[f"{f}__l"], win[f"{f}_last"] = F.max_by(c, "pos"), F.last(f"{f}__l")
         if "median" in stats:
             pane[f"{f}__m"], win[f"{f}_median"] = F.collect_list(c), F.collect_list(f"{f}__m")
-            s = F.array_sort(F.flatten(f"{f}_median"))
+            s = F.sort_array(F.flatten(f"{f}_median"))
             post[f"{f}_median"] = (F.element_at(s, F.lit((spec.size + 1) // 2))
                                    + F.element_at(s, F.lit(spec.size // 2 + 1))) / 2
     out = pane_windows(df, spec, pane, win, whole_rows="median" in stats, post=post or None)
@@ -75,16 +74,14 @@ def instance_norm(series: DataFrame, mode: str = "mean", eps: float = 1e-5, unbi
 
     ``centre`` and ``scale`` stay with the row for :func:`instance_denorm`.
     """
-    x = F.col("x")
     if mode not in ("mean", "last"):
         raise ValueError(f"unknown mode {mode!r}")
-    centre = A.mean(x) if mode == "mean" else F.element_at(x, -1)
-    out = series.withColumns({"centre": centre, "scale": F.sqrt(A.variance(x, unbiased) + eps)})
-    return out.withColumn("x", A.shifted(F.col("x"), F.col("centre"), F.col("scale")))
+    keep = [c for c in series.columns if c != "x"]
+    return series.withColumn("_z", S.standardised(F.col("x"), mode, eps, unbiased)).select(*keep, "_z.x", "_z.centre", "_z.scale")
 
 
 def instance_denorm(series: DataFrame) -> DataFrame:
-    return series.withColumn("x", A.unshifted(F.col("x"), F.col("centre"), F.col("scale"))).drop("centre", "scale")
+    return series.withColumn("x", S.restored(F.col("x"), F.col("centre"), F.col("scale"))).drop("centre", "scale")
 
 
 def rfft_amplitude(series: DataFrame, log1p: bool = True) -> DataFrame:
@@ -104,26 +101,18 @@ def by_bin(spectra: DataFrame, col: str = "amp", out: str = "amp") -> DataFrame:
 
 
 def multiscale_pool(series: DataFrame, scales: Sequence[int] = (8, 4, 2), beta: float = 0.7) -> DataFrame:
-    """(…, scale, pooled ARRAY<STRUCT<avg, max, hybrid>>): non-overlapping pools, a short last one is dropped."""
-    def pools(k):
-        def one(i):
-            piece = F.slice("x", i * k + 1, k)
-            am = F.struct((A.total(piece) / k).alias("a"), F.array_max(piece).alias("m"))
-            return A.let(am, lambda p: F.struct(p["a"].alias("avg"), p["m"].alias("max"),
-                                                (beta * p["a"] + (1 - beta) * p["m"]).alias("hybrid")))
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / k).cast("int") - 1), one)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), pools(k).alias("pooled")) for k in scales]))
+    """(…, scale, pooled STRUCT<avg, max, hybrid, mean, std, top>): arrays over the non-overlapping pools of each
+    scale, a short last pool dropped, and statistics of (avg + max) / 2."""
     keep = [c for c in series.columns if c != "x"]
-    return series.select(*keep, each.alias("p")).select(*keep, "p.scale", "p.pooled")
+    out = series.withColumns({f"_p{k}": S.pooled(F.col("x"), k, beta) for k in scales})
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(f"_p{k}").alias("pooled")) for k in scales]))
+    return out.select(*keep, each.alias("p")).select(*keep, "p.scale", "p.pooled")
 
 
 def multiscale_stats(pooled: DataFrame) -> DataFrame:
     """Mean, sample deviation and maximum of (avg + max) / 2 per scale."""
-    mid = F.transform("pooled", lambda p: (p["avg"] + p["max"]) / 2)
-    stats = A.let(mid, lambda m: A.let(A.moments(m), lambda s: F.struct(
-        s["mean"].alias("mean"), F.sqrt(s["ss"] / (s["n"] - 1)).alias("std"), F.array_max(m).alias("max"))))
     keep = [c for c in pooled.columns if c != "pooled"]
-    return pooled.withColumn("_s", stats).select(*keep, "_s.mean", "_s.std", "_s.max")
+    return pooled.select(*keep, "pooled.mean", "pooled.std", F.col("pooled.top").alias("max"))
 
 
 def rolling_segment(bin_: Column, bins: int, segments: int) -> Column:
@@ -143,7 +132,7 @@ def mask_bins_random(spectra: DataFrame, key: Sequence[str], bins: int, seed: in
     k = F.bround(ratio * (bins - 1)).cast("int")
     drawn = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda b: F.struct(
         sample_hash(F.concat_ws("#", name, b), seed).alias("h"), b.alias("b")))
-    picked = F.array_sort(F.slice(F.array_sort(drawn), F.lit(1), k).getField("b"))
+    picked = F.sort_array(F.slice(F.sort_array(drawn), F.lit(1), k).getField("b"))
     out = spectra.withColumn("masked_bins", picked)
     return out.withColumn("amp_masked", F.transform(
         "amp", lambda a, i: F.when(F.array_contains("masked_bins", i), 0.0).otherwise(a)))

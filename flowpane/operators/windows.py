@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from flowpane.functions import labels as L
 from flowpane.functions import vocabulary as V
 from flowpane.operators.ordered import with_position
+from flowpane.session import shuffle_width
 
 
 @dataclass(frozen=True)
@@ -51,22 +52,22 @@ def position_flows(df: DataFrame, spec: WindowSpec, order: Sequence[str]) -> Dat
 
 
 def window_count(n_rows: Column, spec: WindowSpec) -> Column:
-    full = F.floor((n_rows - spec.size) / spec.step) + 1
+    full = F.floor((n_rows - spec.size) / spec.step) + 1  # one value per source
     return F.when(n_rows >= spec.size, full).otherwise(F.lit(0)).cast("bigint")
 
 
 def sliding_windows(df: DataFrame, spec: WindowSpec) -> DataFrame:
     """Long form: one row per (window, row), with the row's ``offset`` in the window. Needs no shuffle."""
-    last = F.least(window_count(F.col("n_rows"), spec) - 1, F.floor(F.col("pos") / spec.step))
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - spec.size + 1) / spec.step))
-    return (df.withColumn("_f", first.cast("bigint")).withColumn("_t", last.cast("bigint")).where("_f <= _t")
+    last = F.expr(f"least((n_rows - {spec.size}) div {spec.step}, pos div {spec.step})")
+    first = F.expr(f"greatest(0L, (pos - {spec.size} + {spec.step}) div {spec.step})")
+    return (df.where(F.col("n_rows") >= spec.size).withColumn("_f", first).withColumn("_t", last).where("_f <= _t")
             .withColumn("window_id", F.explode(F.sequence("_f", "_t")))
             .withColumn("offset", F.col("pos") - F.col("window_id") * spec.step).drop("_f", "_t"))
 
 
 def _blocks(df: DataFrame, spec: WindowSpec, panes_per_block: int) -> DataFrame:
-    pane = F.floor(F.col("pos") / spec.pane).cast("bigint")
-    block = F.floor(F.col("_pane") / panes_per_block).cast("bigint")
+    pane = F.expr(f"pos div {spec.pane}")
+    block = F.expr(f"_pane div {panes_per_block}")
     in_halo = (F.col("_pane") % panes_per_block < spec.panes_per_window - 1) & (block > 0)
     homes = F.when(in_halo, F.array(block, block - 1)).otherwise(F.array(block))
     return df.withColumn("_pane", pane).withColumn("_block", F.explode(homes))
@@ -85,17 +86,18 @@ def pane_windows(df: DataFrame, spec: WindowSpec, pane_aggs: dict[str, Column],
         raise ValueError("window of too many panes")
     rows = _blocks(df, spec, per_block)
     if whole_rows:
-        rows = rows.repartition(spec.source, "_block")
+        # a fixed width: what follows is heavy on computing and light on bytes, so tasks must not be merged by size
+        rows = rows.repartition(shuffle_width(df.sparkSession), spec.source, "_block")
     panes = rows.groupBy(spec.source, "_block", "_pane").agg(
         F.max("n_rows").alias("_n"), *[e.alias(k) for k, e in pane_aggs.items()])
     frame = (Window.partitionBy(spec.source, "_block").orderBy("_pane")
              .rowsBetween(0, spec.panes_per_window - 1))
     starts = (F.col("_pane") % spec.panes_per_step == 0) & (F.col("_pane") * spec.pane + spec.size <= F.col("_n")) & (
-        F.floor(F.col("_pane") / per_block) == F.col("_block"))
+        F.expr(f"_pane div {per_block}") == F.col("_block"))
     out = panes.withColumns({k: e.over(frame) for k, e in _distinct(window_aggs).items()}).where(starts)
     start = (F.col("_pane") * spec.pane).cast("bigint")
     names = [f"_w_{k}" for k in window_aggs]
-    out = out.select(spec.source, F.floor(F.col("_pane") / spec.panes_per_step).cast("bigint").alias("window_id"),
+    out = out.select(spec.source, F.expr(f"_pane div {spec.panes_per_step}").alias("window_id"),
                      start.alias("start_idx"), (start + spec.size).alias("end_idx"),
                      *[F.col(n).alias(k) for n, k in zip(names, window_aggs)])
     return out.withColumns(post) if post else out
@@ -107,7 +109,7 @@ def _distinct(aggs: dict[str, Column]) -> dict[str, Column]:
 
 def window_rows(df: DataFrame, spec: WindowSpec, cols: Sequence[str]) -> DataFrame:
     """One row per window holding its rows in order: ``rows ARRAY<STRUCT<pos, cols...>>``."""
-    piece = F.array_sort(F.collect_list(F.struct("pos", *cols)))
+    piece = F.sort_array(F.collect_list(F.struct("pos", *cols)))
     return pane_windows(df, spec, {"piece": piece}, {"rows": F.collect_list("piece")}, whole_rows=True,
                         post={"rows": F.flatten("rows")})
 
@@ -140,15 +142,15 @@ def window_meta(df: DataFrame, spec: WindowSpec, min_ratio: float = 0.0) -> Data
     """
     mal = L.is_malicious(F.col(spec.label), spec.benign)
     pane = {"t0": F.min_by(spec.ts, "pos"), "t1": F.max_by(spec.ts, "pos"), "m": F.sum(mal),
-            "piece": F.array_sort(F.collect_list(F.struct("pos", F.col(spec.label).alias("label"))))}
+            "piece": F.sort_array(F.collect_list(F.struct("pos", F.col(spec.label).alias("label"))))}
     over = {"start_time": F.first("t0"), "end_time": F.last("t1"), "n_malicious": F.sum("m"),
             "pieces": F.collect_list("piece")}
     wins = pane_windows(df, spec, pane, over, whole_rows=True)
     wins = wins.withColumn("original_labels", F.flatten("pieces").getField("label")).drop("pieces")
     attacks = F.filter("original_labels", lambda x: x != spec.benign)
-    counted = F.transform(F.array_sort(F.array_distinct(attacks)), lambda a: F.struct(
+    counted = F.transform(F.sort_array(F.array_distinct(attacks)), lambda a: F.struct(
         a.alias("label"), F.size(F.filter("original_labels", lambda x: x == a)).cast("bigint").alias("n")))
-    ranked = F.array_sort(F.transform("_c", lambda s: F.struct((-s["n"]).alias("o"), s["label"].alias("label"))))
+    ranked = F.sort_array(F.transform("_c", lambda s: F.struct((-s["n"]).alias("o"), s["label"].alias("label"))))
     return (wins.withColumn("is_malicious", (F.col("n_malicious") / spec.size > min_ratio).cast("int"))
             .withColumn("_c", counted)
             .withColumn("attack_types", F.map_from_entries("_c"))

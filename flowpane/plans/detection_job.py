@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
 from flowpane.operators import metrics, scores, series, thresholds
 from flowpane.operators.window_features import rfft_amplitude
 from flowpane.plans.window_job import WindowSet
@@ -23,9 +22,9 @@ def score_windows(windows: WindowSet, features: Sequence[str], trend: str = "ema
     with those of the normal training windows.
     """
     s = rfft_amplitude(series.decompose(windows.series(features), trend))
-    s = materialise(s.select(*KEY, "channel", "x", "amp", A.plus(F.col("trend"), F.col("seasonal")).alias("recon")))
+    s = materialise(s.select(*KEY, "channel", "residual", "amp"))
     base = scores.spectral_baseline(s.where("split = 'train' and is_malicious = 0"))
-    both = scores.recon_score(s, F.col("recon"), KEY).join(scores.freq_score(s, base, KEY), list(KEY))
+    both = scores.residual_score(s, KEY).join(scores.freq_score(s, base, KEY), list(KEY))
     both = both.where("split <> 'train' or is_malicious = 0").withColumnRenamed("is_malicious", "label")
     return scores.rank_fuse(materialise(both), ["recon_score", "freq_score"])
 

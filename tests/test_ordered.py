@@ -16,6 +16,11 @@ def skewed():
     return pd.DataFrame({"key": key, "ts": ts, "id": rng.permutation(n), "v": rng.integers(0, 30, n) / 10.0})
 
 
+@pytest.fixture(autouse=True, params=[0, 100_000], ids=["ranges", "small"])
+def table_size_rule(request, monkeypatch):
+    monkeypatch.setattr(O, "SMALL_TABLE_ROWS", request.param)
+
+
 def test_position_equals_pandas(spark, skewed):
     got = O.with_position(spark.createDataFrame(skewed), ["key"], ["ts", "id"]).toPandas()
     want = skewed.sort_values(["key", "ts", "id"]).assign(pos=lambda d: d.groupby("key").cumcount())
@@ -68,9 +73,7 @@ def test_forward_fill_crosses_ranges(spark):
     assert np.array_equal(got, np.repeat([0.0, 5.0, 2000.0], [5, 1995, 1000]))
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_join_by_value_keeps_every_row(spark, skewed, small, monkeypatch):
-    monkeypatch.setattr(O, "SMALL_TABLE_ROWS", small)
+def test_join_by_value_keeps_every_row(spark, skewed):
     df = spark.createDataFrame(skewed).withColumn("v", F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(F.col("v")))
     ranks = O.average_ranks(df, ["key"], "v").select("key", "v", "n", "avg_rank")
     got = O.join_by_value(df, ranks, ["key", "v"])

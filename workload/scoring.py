@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowpane.functions import arrays as A
 from flowpane.operators import attacks as T
 from flowpane.operators import drift as I
 from flowpane.operators import forest
@@ -52,7 +51,7 @@ def _(spark, sf):
 @query("reconstruction_score_hybrid", "J1 H9")
 def _(spark, sf):
     s = D.decompose(win.window_series(positioned(spark, sf).drop("label"), SPEC, FEATURES))
-    return rounded(J.recon_score(s, A.plus(F.col("trend"), F.col("seasonal")), KEY), 5)
+    return rounded(J.residual_score(s, KEY), 5)
 
 
 FREQ_SQL = SER_SPLIT_SQL + """,

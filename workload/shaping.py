@@ -130,7 +130,7 @@ pool AS (SELECT source, window_id, channel, scale, t // scale AS slot, avg(x) AS
 round(max, 6) AS max, round(0.7 * avg + 0.3 * max, 6) AS hybrid FROM pool""")
 def _(spark, sf):
     p = G.multiscale_pool(series(spark, sf))
-    p = p.select("source", "window_id", "channel", "scale", F.posexplode("pooled").alias("slot", "p"))
+    p = p.select("source", "window_id", "channel", "scale", F.posexplode(F.arrays_zip("pooled.avg", "pooled.max", "pooled.hybrid")).alias("slot", "p"))
     return p.select("source", "window_id", "channel", "scale", F.col("slot").cast("bigint").alias("slot"),
                     *[F.round(f"p.{c}", 6).alias(c) for c in ("avg", "max", "hybrid")])
 
