@@ -26,10 +26,11 @@ def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Da
     """Rows in global (by, order) order with their range number ``_seg`` and place in it ``_loc``; written once.
 
     Range bounds are sampled, so they may differ between two evaluations of the same plan. The written table
-    fixes them before anything is derived from the range numbers.
+    fixes them before anything is derived from the range numbers. No number of ranges is given: adaptive execution
+    merges neighbouring ranges up to its advisory size.
     """
     keys = [*by, *order]
-    placed = (df.repartitionByRange(shuffle_width(df.sparkSession), *keys)
+    placed = (df.repartitionByRange(*keys)
               .sortWithinPartitions(*keys)
               .withColumn(SEG, F.spark_partition_id())
               .withColumn(LOC, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOC_MASK))))

@@ -73,6 +73,16 @@ def _blocks(df: DataFrame, spec: WindowSpec, panes_per_block: int) -> DataFrame:
     return df.withColumn("_pane", pane).withColumn("_block", F.explode(homes))
 
 
+ROWS_PER_TASK = 50_000
+
+
+def _tasks_for(df: DataFrame) -> int:
+    """Width of a shuffle before work that is heavy on computing and light on bytes: tasks must not be merged by
+    their size in bytes there, so the width comes from the number of rows (a count over the written table)."""
+    spark = df.sparkSession
+    return max(1, min(shuffle_width(spark), max(spark.sparkContext.defaultParallelism, df.count() // ROWS_PER_TASK)))
+
+
 def pane_windows(df: DataFrame, spec: WindowSpec, pane_aggs: dict[str, Column], window_aggs: dict[str, Column],
                  whole_rows: bool = False, post: dict[str, Column] | None = None) -> DataFrame:
     """One row per window, from pane aggregates combined over a frame of panes.
@@ -86,8 +96,7 @@ def pane_windows(df: DataFrame, spec: WindowSpec, pane_aggs: dict[str, Column],
         raise ValueError("window of too many panes")
     rows = _blocks(df, spec, per_block)
     if whole_rows:
-        # a fixed width: what follows is heavy on computing and light on bytes, so tasks must not be merged by size
-        rows = rows.repartition(shuffle_width(df.sparkSession), spec.source, "_block")
+        rows = rows.repartition(_tasks_for(df), spec.source, "_block")
     panes = rows.groupBy(spec.source, "_block", "_pane").agg(
         F.max("n_rows").alias("_n"), *[e.alias(k) for k, e in pane_aggs.items()])
     frame = (Window.partitionBy(spec.source, "_block").orderBy("_pane")

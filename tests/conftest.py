@@ -11,6 +11,8 @@ from flowpane.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("tests", "local[8]", 8)
+    # small tables must still fall into several ranges here
+    s.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield s
     s.stop()
 
