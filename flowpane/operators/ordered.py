@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,18 +108,36 @@ def value_counts(df: DataFrame, by: Sequence[str], col: str, **counts) -> DataFr
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
+def _mark_span(probs: Sequence[float]):
+    """(lo, hi, n) -> STRUCT<a, b>: which of the sorted ``probs`` have their rank, rounded down or up, in [lo, hi)."""
+    p = np.asarray(probs, dtype=np.float64)
+
+    def span(lo: pd.Series, hi: pd.Series, n: pd.Series) -> pd.DataFrame:
+        first, last = np.zeros(len(lo), dtype=np.int32), np.zeros(len(lo), dtype=np.int32)
+        sizes = n.to_numpy()
+        for size in np.unique(sizes):
+            at, h = sizes == size, p * (size - 1)
+            first[at] = np.searchsorted(np.ceil(h), lo.to_numpy()[at], side="left")
+            last[at] = np.searchsorted(np.floor(h), hi.to_numpy()[at], side="left")
+        return pd.DataFrame({"a": first, "b": last})
+
+    return F.pandas_udf(span, "a int, b int")
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles per group: (by, prob, value). Exact at any size."""
+    probs = sorted({float(p) for p in probs})
     runs = running_totals(value_counts(df, by, col), by, [col], ["n"])
-    lo, hi = F.col("n_cum") - F.col("n"), F.col("n_cum")
-    marks = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("n_all") - 1)).alias("h"))
-        for p in probs])
-    hit = F.explode(F.filter(marks, lambda m: (F.ceil(m["h"]) >= lo) & (F.floor(m["h"]) < hi))).alias("m")
-    picked = runs.select(*by, F.col(col).alias("_v"), lo.alias("_lo"), hi.alias("_hi"), hit)
+    runs = runs.select(*by, F.col(col).alias("_v"), (F.col("n_cum") - F.col("n")).alias("_lo"), F.col("n_cum").alias("_hi"),
+                       "n_all")
+    # only the few values that hold a wanted rank go on
+    runs = runs.withColumn("_s", _mark_span(probs)("_lo", "_hi", "n_all")).where("_s.a < _s.b")
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
+    picked = runs.withColumn("_i", F.explode(F.sequence(F.col("_s.a"), F.col("_s.b") - 1))).withColumn("prob", prob)
+    picked = picked.withColumn("_h", F.col("prob") * (F.col("n_all") - 1))
     inside = lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))
-    h = F.col("m.h")
-    g = (picked.groupBy(*by, F.col("m.prob").alias("prob"))
+    h = F.col("_h")
+    g = (picked.groupBy(*by, "prob")
          .agg(F.max(F.when(inside(F.floor(h)), F.col("_v"))).alias("_a"),
               F.max(F.when(inside(F.ceil(h)), F.col("_v"))).alias("_b"),
               F.first(h - F.floor(h)).alias("_t")))

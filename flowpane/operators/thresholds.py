@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +88,27 @@ def best_f1_percentile(df: DataFrame, score: str, label: str = "label", by: Sequ
     by = list(by)
     probs = [float(p) / 100 for p in np.linspace(lo, hi, n_steps)]
     q = exact_quantiles(df, by, score, probs)
-    grid = materialise(q.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_grid")))
-    if by:
-        rows = null_safe_join(df, grid, by)
-    else:
-        only = [float(v) for v in grid.first()["_grid"]]
-        rows = df.withColumn("_grid", F.array(*[F.lit(v) for v in only]))
-    s = F.col(score).cast("double")
-    above = F.size(F.filter("_grid", lambda t: t < s))
-    binned = rows.where(s.isNotNull()).groupBy(*by, above.alias("above")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
+    grids = q.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_grid")).collect()  # a row per report group
+    table = np.array([[float(v) for v in r["_grid"]] for r in grids])
+    kinds = dict(df.dtypes)
+    names = df.sparkSession.createDataFrame(
+        [(*[r[c] for c in by], i, [float(v) for v in r["_grid"]]) for i, r in enumerate(grids)],
+        ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "_gid int", "_grid array<double>"]))
+
+    def above(s: pd.Series, gid: pd.Series) -> pd.Series:
+        out = np.zeros(len(s), dtype=np.int32)
+        for g in np.unique(gid):
+            at = (gid == g).to_numpy()
+            out[at] = np.searchsorted(table[g], s.to_numpy()[at], side="left")
+        return pd.Series(out)
+
+    slim = df.where(F.col(score).isNotNull()).select(*by, F.col(score).cast("double").alias("_s"), F.col(label).alias("_y"))
+    ids = names.drop("_grid")
+    rows = null_safe_join(slim, F.broadcast(ids), by) if by else slim.withColumn("_gid", F.lit(0))
+    binned = rows.groupBy(*by, F.pandas_udf(above, "int")("_s", "_gid").alias("above")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
     best = _best(binned, by)
-    best = null_safe_join(best, grid, by) if by else best.withColumn("_grid", F.array(*[F.lit(v) for v in only]))
+    best = null_safe_join(best, names, by) if by else best.withColumn("_grid", F.array(*[F.lit(float(v)) for v in table[0]]))
     return _finish(best, by, F.element_at("_grid", (F.col("i") + 1).cast("int")))
 
 
