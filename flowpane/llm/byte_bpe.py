@@ -176,7 +176,7 @@ class Pieces:
     def values_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(new) == len(self.table.index):  # the table has been dropped
             self.text, self.decoded = [], []
-        if len(self.known) > 400_000:
+        if len(self.known) > 250_000:
             self.known.clear()
         find = _pattern()[0].findall
         cut = list(map(find, new))

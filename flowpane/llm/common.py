@@ -17,7 +17,7 @@ from flowpane.session import scratch_dir
 #: Characters of text that are taken apart at once in a task; a longer text is a group of its own.
 GROUP_CHARS = 2_000_000
 #: Distinct segments that a worker keeps between groups; beyond it the table starts anew. It is a cache: no result depends on it.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

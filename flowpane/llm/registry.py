@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from flowpane.llm.byte_bpe import op7_byte_bpe
+from flowpane.llm.simhash import op8_simhash
 from flowpane.llm.token_counts import op4_token_counts
 from flowpane.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_token_counts, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_token_counts, op7_byte_bpe, op8_simhash)}
 ORACLE_SQL: dict[str, str] = {}

@@ -171,7 +171,7 @@ class PrefixCounter:
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
 
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 400_000:
+        if len(self.known) > 250_000:
             self.known.clear()
         counts = list(map(self.chunk, chunks))
         lens = np.fromiter(map(len, counts), np.int64, len(counts))

@@ -112,7 +112,7 @@ class WordEncoder:
         return [i for x in parts for i in self.pretoken(x)]
 
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 400_000:
+        if len(self.known) > 250_000:
             self.known.clear()
         ids = list(map(self.chunk, chunks))
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
