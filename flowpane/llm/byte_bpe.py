@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 LONG_PIECE = 96
 #: Pieces that go into one recursive query.
 QUERY_PIECES = 40_000
+#: Entries that a worker keeps; only time depends on them.
+CACHED_SEGMENTS, CACHED_PIECES = 900_000, 600_000
 
 ENCODE = """
 WITH RECURSIVE steps(piece, round, pos, npos, token, next, pair) AS (
@@ -149,7 +152,7 @@ def merge_long(tokens: list[int], merge_of: dict[tuple[int, int], int]) -> list[
 def _pattern():
     import public_tokenizers
     import regex
-    return regex.compile(public_tokenizers.PATTERN), regex.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$|\x00")
+    return regex.compile(public_tokenizers.PATTERN), re.compile(r"[^\S \n]|[ \n](?:[ \n]|\Z)|\A[ \n]|\x00")
 
 
 def segments(text: str) -> list[str]:
@@ -169,14 +172,14 @@ class Pieces:
     def __init__(self, name: str = BYTE_BPE) -> None:
         self.pairs = BytePairs(name)
         self.known: dict[str, tuple[list[int], bytes]] = {}
-        self.table = SegmentTable(self.values_of, np.int32)
+        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS)
         self.text: list[str] = []
         self.decoded: list[bytes] = []
 
     def values_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(new) == len(self.table.index):  # the table has been dropped
             self.text, self.decoded = [], []
-        if len(self.known) > 250_000:
+        if len(self.known) > CACHED_PIECES:
             self.known.clear()
         find = _pattern()[0].findall
         cut = list(map(find, new))
