@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from flowpane.llm import mixing, top_k
 from flowpane.llm.byte_bpe import op7_byte_bpe
+from flowpane.llm.mixing import op6_mixing
 from flowpane.llm.simhash import op8_simhash
 from flowpane.llm.token_counts import op4_token_counts
 from flowpane.llm.token_files import op1_token_files
+from flowpane.llm.top_k import op3_top_k
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_token_counts, op7_byte_bpe, op8_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_top_k, op4_token_counts, op6_mixing, op7_byte_bpe, op8_simhash)}
+ORACLE_SQL = {"op3_top_k": top_k.SQL, "op6_mixing": mixing.SQL}
