@@ -109,6 +109,7 @@ class SegmentTable:
     def __init__(self, values_of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.int32,
                  limit: int = CACHE_ENTRIES) -> None:
         self.values_of, self.dtype, self.limit = values_of, dtype, limit
+        self.dropped = False
         self._clear()
 
     def _clear(self) -> None:
@@ -118,6 +119,7 @@ class SegmentTable:
         """The numbers of the segments of several texts, one after another, and the count of segments of each text."""
         if len(self.index) > self.limit:
             self._clear()
+            self.dropped = True
         get = self.index.__getitem__
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.empty(int(counts.sum()), np.int64)

@@ -9,6 +9,7 @@ from flowpane.llm.simhash import op8_simhash
 from flowpane.llm.token_counts import op4_token_counts
 from flowpane.llm.token_files import op1_token_files
 from flowpane.llm.top_k import op3_top_k
+from flowpane.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_top_k, op4_token_counts, op6_mixing, op7_byte_bpe, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_top_k, op4_token_counts, op6_mixing, op7_byte_bpe, op8_simhash)}
 ORACLE_SQL = {"op3_top_k": top_k.SQL, "op6_mixing": mixing.SQL}
