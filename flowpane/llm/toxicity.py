@@ -33,7 +33,7 @@ CUT = 0.3
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Small samples go through more epochs, up to so many steps.
-LEAST_STEPS = 400
+LEAST_STEPS = 300
 #: Labelled rows of either class from which a language has a threshold of its own.
 OWN_THRESHOLD = 15
 _PAD = "\0"
@@ -67,7 +67,7 @@ class Model:
         """Responses of words (rows of three features, -1 for a blank) at every place of every filter."""
         e = self.embed[feats].mean(axis=1)
         e[feats[:, 0] < 0] = 0
-        return np.concatenate([e @ self.filters[k][j] for k, j in _OFFSETS], axis=1).astype(np.float32)
+        return e @ np.concatenate([self.filters[k][j] for k, j in _OFFSETS], axis=1)
 
     def pooled(self, responses: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Maximum of every filter over each run of words."""
@@ -115,9 +115,12 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], weights: t
         for some in np.array_split(rng.permutation(train), batches):
             step += 1
             grads = {n: np.zeros_like(p) for n, p in params.items()}
-            pools, tops = [], []
+            pools, tops, done = [], [], 0
+            met, inverse = np.unique(np.concatenate([runs[i] for i in some]), return_inverse=True)
+            together = model.responses(feats[met])[inverse]
             for i in some:
-                r, pool, top = model.responses(feats[runs[i]]), [], []
+                r, pool, top = together[done : done + len(runs[i])], [], []
+                done += len(r)
                 n, col = len(runs[i]), 0
                 for k in WIDTHS:
                     y = sum(r[j : n - k + 1 + j, col + j * FILTERS : col + (j + 1) * FILTERS] for j in range(k))
