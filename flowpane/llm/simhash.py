@@ -25,8 +25,6 @@ from flowpane.llm.common import stage, text_groups, text_or_empty
 from flowpane.llm.components import components
 
 SHINGLE_WORDS = 3
-#: Words of a shingle where no contract names a number.
-PIPELINE_WORDS = 5
 SEED = 42
 MAX_BITS = 2
 #: (shift, bits) of the segments, from the highest bits down; chains go round.
