@@ -29,9 +29,9 @@ from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 #: Positions must stay below 256, so that pair * 256 + pos orders pairs by rank, then from the left.
 LONG_PIECE = 96
 #: Pieces that go into one recursive query.
-QUERY_PIECES = 40_000
+QUERY_PIECES = 25_000
 #: Entries that a worker keeps; only time depends on them.
-CACHED_SEGMENTS, CACHED_PIECES = 900_000, 600_000
+CACHED_SEGMENTS, CACHED_PIECES = 200_000, 550_000
 
 ENCODE = """
 WITH RECURSIVE steps(piece, round, pos, npos, token, next, pair) AS (
@@ -71,7 +71,7 @@ class BytePairs:
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t))
                   if t[:k] in self.ranks and t[k:] in self.ranks]
         self.merge_of = {(a, b): rank for a, b, rank in merges}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._put("merges", pa.table({"a": a, "b": b, "rank": rank}))
         self._put("vocabulary", pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.hex() for t in self.ranks]}))
@@ -171,7 +171,7 @@ class Pieces:
 
     def __init__(self, name: str = BYTE_BPE) -> None:
         self.pairs = BytePairs(name)
-        self.known: dict[str, tuple[list[int], bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, decoded bytes
         self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS)
         self.text: list[str] = []
         self.decoded: list[bytes] = []
@@ -185,21 +185,25 @@ class Pieces:
         cut = list(map(find, new))
         todo = list({p for x in cut for p in x if p not in self.known})
         lens, tokens = self.pairs.encode([p.encode() for p in todo])
-        decoded, flat, at = self.pairs.decode(lens, tokens), tokens.tolist(), 0
+        decoded, flat, at = self.pairs.decode(lens, tokens), tokens.astype(np.int32).tobytes(), 0
         for p, n, back in zip(todo, lens.tolist(), decoded, strict=True):
-            self.known[p] = (flat[at : at + n], back)
-            at += n
+            self.known[p] = (flat[at : at + 4 * n], back)
+            at += 4 * n
         known, ids = self.known, []
         for x in cut:
             if len(x) == 1:
                 own, back = known[x[0]]
             else:
-                own, back = [i for p in x for i in known[p][0]], b"".join([known[p][1] for p in x])
+                own, back = b"".join([known[p][0] for p in x]), b"".join([known[p][1] for p in x])
             ids.append(own)
-            self.text.append(",".join(map(str, own)))
             self.decoded.append(back)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lens, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        values = np.frombuffer(b"".join(ids), np.int32)
+        numbers, at = values.tolist(), 0
+        for n in lens.tolist():
+            self.text.append(",".join(map(str, numbers[at : at + n])))
+            at += n
+        return lens, values
 
 
 _PIECES: dict[str, Pieces] = {}
