@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +19,48 @@ def headerless_schema() -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in V.HEADERLESS_COLUMNS])
 
 
+def _header_names(line: str) -> list[str]:
+    """Column names of a header line; a repeated name gets .1, .2 and so on."""
+    names, met = [], {}
+    for name in next(csv.reader([line.removeprefix("\xef\xbb\xbf")]), []):
+        name = name.strip()
+        met[name] = met.get(name, -1) + 1
+        names.append(f"{name}.{met[name]}" if met[name] else name)
+    return names
+
+
+def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """The files of ``path`` by their first line. One row per file comes to the driver."""
+    lines = (spark.read.option("encoding", "ISO-8859-1").option("sep", chr(1)).option("quote", "").schema("line string").csv(path)
+             .where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), "line")
+             .withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", "at").alias("line")))
+    found: dict[str, list[str]] = {}
+    for file, line in sorted((r["file"], r["line"]) for r in lines.collect() if r["line"]):
+        # paths are URIs here, and patterns where they are read
+        found.setdefault(line, []).append(re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(file)))
+    return found
+
+
 def read_flows(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
                tag: str | None = "source") -> DataFrame:
     """Flow CSVs as text columns: one dirty cell must not decide a column's type, and no inference pass is run.
 
-    Without ``schema`` the files have a header. ``tag`` names a column that receives the file name.
+    Without ``schema`` the files have a header, each its own: files are read under their own header and united by column
+    name, so order and spelling may differ between files; a column that a file lacks is null. ``tag`` names a column that
+    receives the file name.
     """
     reader = (spark.read.option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", True)
               .option("mode", "PERMISSIVE"))
-    if schema is None:
+    tagged = lambda df: df.withColumn(tag, F.col("_metadata.file_name")) if tag else df
+    if schema is not None:
+        return tagged(reader.schema(schema).option("header", False).csv(path))
+    groups = files_by_header(spark, path)
+    if not groups:
         df = reader.option("header", True).option("inferSchema", False).csv(path)
-        df = df.toDF(*[c.strip() for c in df.columns])
-    else:
-        df = reader.schema(schema).option("header", False).csv(path)
-    return df.withColumn(tag, F.col("_metadata.file_name")) if tag else df
+        return tagged(df.toDF(*[c.strip() for c in df.columns]))
+    parts = [tagged(reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in _header_names(line)]))
+                    .option("header", True).csv(files)) for line, files in sorted(groups.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_clean(spark: SparkSession, path: str, source: str = "source") -> DataFrame:

@@ -66,3 +66,16 @@ def test_scratch_dir_comes_from_the_session(spark):
     with pytest.raises(RuntimeError):
         scratch_dir(FakeSession("spark://host"))
     assert scratch_dir(spark) == scratch_dir(spark)
+
+
+def test_files_with_different_headers_keep_their_values(spark, tmp_path):
+    from flowpane.operators.clean import harmonise_columns
+    (tmp_path / "a, [1].csv").write_bytes(b"Dst Port, Tot Fwd Pkts,Label\r\n80, 5,Web Attack \x96 XSS\r\n81,6,BENIGN\r\n")
+    (tmp_path / "b.csv").write_bytes(b"Total Fwd Packets,Destination Port,Twice,Twice\n7,443,x,y\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    df = R.read_flows(spark, str(tmp_path))
+    assert "Twice.1" in df.columns
+    rows = sorted((r["Destination Port"], r["Total Fwd Packets"], r["Label"]) for r in harmonise_columns(df).collect() if r["Label"])
+    assert rows == [("80", "5", "Web Attack \x96 XSS"), ("81", "6", "BENIGN")]
+    b = harmonise_columns(df).where("Label IS NULL").first()
+    assert (b["Destination Port"], b["Total Fwd Packets"], b["Twice"], b["Twice.1"], b["source"]) == ("443", "7", "x", "y", "b.csv")
