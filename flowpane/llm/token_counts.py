@@ -171,7 +171,7 @@ class PrefixCounter:
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
 
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 250_000:
+        if len(self.known) > 600_000:
             self.known.clear()
         counts = list(map(self.chunk, chunks))
         lens = np.fromiter(map(len, counts), np.int64, len(counts))
@@ -195,7 +195,7 @@ _TABLES: dict[str, SegmentTable] = {}
 
 def prefix_table(tokenizer: str) -> SegmentTable:
     if tokenizer not in _TABLES:
-        _TABLES[tokenizer] = SegmentTable(PrefixCounter(tokenizer).values_of, np.int32)
+        _TABLES[tokenizer] = SegmentTable(PrefixCounter(tokenizer).values_of, np.int32, 600_000)
     return _TABLES[tokenizer]
 
 
