@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import SegmentTable, text_groups, text_or_empty
+from flowpane.llm.common import SegmentTable, sums_by, text_groups, text_or_empty
 from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 
 #: Longer pieces are merged by ``merge_long``: the recursive query takes a round per merge over the whole piece.
 #: Positions must stay below 256, so that pair * 256 + pos orders pairs by rank, then from the left.
 LONG_PIECE = 96
 #: Pieces that go into one recursive query.
-QUERY_PIECES = 25_000
-#: Entries that a worker keeps; only time depends on them.
-CACHED_SEGMENTS, CACHED_PIECES = 200_000, 550_000
+QUERY_PIECES = 10_000
+#: Entries that a worker keeps for digests; only time depends on them. Ids alone are asked for at the end of a pipeline,
+#: where the executor still holds the memory of earlier stages, and get by with fewer.
+CACHED_SEGMENTS, CACHED_PIECES = 500_000, 600_000
+CACHED_SEGMENTS_IDS, CACHED_PIECES_IDS = 200_000, 250_000
 
 ENCODE = """
 WITH RECURSIVE steps(piece, round, pos, npos, token, next, pair) AS (
@@ -167,25 +169,26 @@ def segments(text: str) -> list[str]:
 
 
 class Pieces:
-    """Segments with their tokens, and for each its ids as text and its decoded bytes."""
+    """Segments with their tokens and, for digests, each one's ids as text and its decoded bytes."""
 
-    def __init__(self, name: str = BYTE_BPE) -> None:
-        self.pairs = BytePairs(name)
+    def __init__(self, name: str = BYTE_BPE, digest: bool = False) -> None:
+        self.pairs, self.digest = BytePairs(name), digest
         self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, decoded bytes
-        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS)
+        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS if digest else CACHED_SEGMENTS_IDS)
         self.text: list[str] = []
         self.decoded: list[bytes] = []
 
     def values_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(new) == len(self.table.index):  # the table has been dropped
             self.text, self.decoded = [], []
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > (CACHED_PIECES if self.digest else CACHED_PIECES_IDS):
             self.known.clear()
         find = _pattern()[0].findall
         cut = list(map(find, new))
         todo = list({p for x in cut for p in x if p not in self.known})
         lens, tokens = self.pairs.encode([p.encode() for p in todo])
-        decoded, flat, at = self.pairs.decode(lens, tokens), tokens.astype(np.int32).tobytes(), 0
+        decoded = self.pairs.decode(lens, tokens) if self.digest else [b""] * len(lens)
+        flat, at = tokens.astype(np.int32).tobytes(), 0
         for p, n, back in zip(todo, lens.tolist(), decoded, strict=True):
             self.known[p] = (flat[at : at + 4 * n], back)
             at += 4 * n
@@ -196,46 +199,49 @@ class Pieces:
             else:
                 own, back = b"".join([known[p][0] for p in x]), b"".join([known[p][1] for p in x])
             ids.append(own)
-            self.decoded.append(back)
+            if self.digest:
+                self.decoded.append(back)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         values = np.frombuffer(b"".join(ids), np.int32)
-        numbers, at = values.tolist(), 0
-        for n in lens.tolist():
-            self.text.append(",".join(map(str, numbers[at : at + n])))
-            at += n
+        if self.digest:
+            numbers, at = values.tolist(), 0
+            for n in lens.tolist():
+                self.text.append(",".join(map(str, numbers[at : at + n])))
+                at += n
         return lens, values
 
 
-_PIECES: dict[str, Pieces] = {}
+_PIECES: dict[tuple[str, bool], Pieces] = {}
 
 
-def pieces_of(tokenizer: str) -> Pieces:
+def pieces_of(tokenizer: str, digest: bool = False) -> Pieces:
     """The worker's table of pieces, kept between tasks."""
-    if tokenizer not in _PIECES:
-        _PIECES[tokenizer] = Pieces(tokenizer)
-    return _PIECES[tokenizer]
+    if (tokenizer, digest) not in _PIECES:
+        _PIECES[tokenizer, digest] = Pieces(tokenizer, digest)
+    return _PIECES[tokenizer, digest]
 
 
 def _encode_batches(tokenizer: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(tokenizer)
+        pieces = pieces_of(tokenizer, digest)
         for batch in batches:
             for start, texts in text_groups(batch.column(1)):
                 at, counts = pieces.table.numbers(list(map(segments, texts)))
                 ids, lens = pieces.table.ragged, pieces.table.ragged.lens(at)
                 ends = np.cumsum(counts)
+                if not digest:
+                    cuts = np.concatenate([[0], np.cumsum(sums_by(counts, lens))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)),
+                                                      pa.ListArray.from_arrays(cuts, pa.array(ids.take(at)))], names=["doc_id", "ids"])
+                    continue
                 rows, numbers = [], at.tolist()
                 for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
                     own = numbers[a:b]
-                    if digest:
-                        rows.append({"n_tokens": int(lens[a:b].sum()),
-                                     "ids_sha256": hashlib.sha256(",".join([pieces.text[i] for i in own]).encode()).hexdigest(),
-                                     "decoded_sha256": hashlib.sha256(b"".join([pieces.decoded[i] for i in own])).hexdigest()})
-                    else:
-                        rows.append({"ids": ids.take(at[a:b]).tolist()})
+                    rows.append({"n_tokens": int(lens[a:b].sum()),
+                                 "ids_sha256": hashlib.sha256(",".join([pieces.text[i] for i in own]).encode()).hexdigest(),
+                                 "decoded_sha256": hashlib.sha256(b"".join([pieces.decoded[i] for i in own])).hexdigest()})
                 out = pa.RecordBatch.from_pylist(rows, pa.schema(
-                    [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digest
-                    else [("ids", pa.list_(pa.int32()))]))
+                    [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *out.columns], names=["doc_id", *out.schema.names])
     return run
 
