@@ -43,5 +43,5 @@ def ascii_label(c: Column, fallback: Column | None = None) -> Column:
 
 
 def is_malicious(c: Column, benign: str = V.BENIGN) -> Column:
-    """1 for any label but benign."""
-    return (c != benign).cast("int")
+    """1 for any label but benign; a missing label is not benign."""
+    return F.coalesce(c != benign, F.lit(True)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowpane.functions import labels as L
 from flowpane.functions import numbers as N
 from flowpane.operators.metrics import sorted_by_rate
-from flowpane.operators.ordered import exact_quantiles
+from flowpane.operators.ordered import exact_quantiles, null_safe_join
 from flowpane.session import materialise
 
 GID = "global_window_id"
@@ -54,7 +54,7 @@ def attack_recall(aligned: DataFrame, pred: str = "pred", prob: str = "prob", pu
         F.count(F.lit(1)).alias("count"), F.count_if(F.col("pred") == 1).alias("tp"),
         F.count_if(F.col("pred") == 0).alias("fn"), F.avg("prob").alias("mean_prob"))
     med = exact_quantiles(rows, ["attack"], "prob", [0.5]).select("attack", F.col("value").alias("median_prob"))
-    out = g.join(med, "attack").withColumn("detection_rate", N.ratio(F.col("tp"), F.col("count")))
+    out = null_safe_join(g, med, ["attack"], "left").withColumn("detection_rate", N.ratio(F.col("tp"), F.col("count")))
     return sorted_by_rate(out, "detection_rate", "attack")
 
 

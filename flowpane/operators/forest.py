@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowpane.operators.sampling import sample_exact, sample_hash
+from flowpane.operators.sampling import sample_exact
 
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 _EULER = 0.5772156649015329
@@ -51,20 +51,18 @@ def iforest_fit(df: DataFrame, features: Sequence[str], key: str, trees: int = 3
                 seed: int = 0) -> DataFrame:
     """Node table of ``trees`` trees, each grown on at most ``sample`` rows.
 
-    The trees * sample rows with the smallest key hashes are dealt out to the trees; where the table has fewer rows
-    than that, every tree draws its own sample of it.
+    The trees * sample rows with the smallest key hashes form a pool, and every tree draws its own sample of the pool: the
+    rows with the smallest hashes of key and tree. Only hashes below a bound that about four samples reach are sorted.
     """
     pool_size = trees * sample
     slim = df.select(F.col(key).cast("string").alias("_key"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     pool = sample_exact(slim, "_key", {"all": pool_size}, seed)
     total = pool.count()
-    if total >= pool_size:
-        order = F.row_number().over(Window.orderBy(sample_hash(F.col("_key"), seed), "_key"))  # trees * sample rows
-        dealt = pool.withColumn("tree", ((order - 1) % trees).cast("int"))
-    else:
-        every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        place = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed)), "_key")
-        dealt = every.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= sample)
+    bound = int(-2.0**63 + 2.0**64 * min(1.0, 4 * sample / max(total, 1))) - 1
+    trial = F.xxhash64("_key", "tree", F.lit(seed))
+    every = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_d", trial)
+    place = Window.partitionBy("tree").orderBy("_d", "_key")
+    dealt = every.where(F.col("_d") <= bound).withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= sample)
     limit = math.ceil(math.log2(max(min(sample, total), 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -101,9 +101,11 @@ def memory_length(acf_table: DataFrame, by: Sequence[str] = (), variant: str = "
 
 def memory_by_class(df: DataFrame, features: Sequence[str], order: Sequence[str], max_lag: int, label: str = "label",
                     benign: str = "Benign", variant: str = "strict") -> DataFrame:
-    """Memory length of benign and of attack rows; a class needs more than 100 rows."""
+    """Memory length of benign and of attack rows; a class of 100 rows or fewer has a null one."""
     cls = df.withColumn("class", F.when(F.col(label) == benign, "benign").otherwise("attack"))
-    return memory_length(acf(cls, features, order, max_lag, ["class"], 101), ["class"], variant, max_lag)
+    found = memory_length(acf(cls, features, order, max_lag, ["class"], 101), ["class"], variant, max_lag)
+    every = cls.select("class").distinct().withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
+    return every.join(found, ["class", "feature"], "left")
 
 
 def weighted_memory(memory: DataFrame, weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:

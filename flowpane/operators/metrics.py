@@ -41,8 +41,10 @@ def f1_at(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
 
 def score_curve(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score: positives and rows with it (``pos``, ``n``), with it or a higher one (``tp``,
-    ``hit``), and group totals. Everything the ranking metrics need, from one pass along the scores."""
-    runs = running_totals(value_counts(df.where(F.col(label).isNotNull()), by, score, pos=F.col(label).cast("bigint")),
+    ``hit``), and group totals. Everything the ranking metrics need, from one pass along the scores. Rows whose label is null or
+    whose score is null or NaN take no part."""
+    known = F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    runs = running_totals(value_counts(df.where(known), by, score, pos=F.col(label).cast("bigint")),
                           by, [score], ["n", "pos"])
     return runs.withColumns({"tp": F.col("pos_all") - F.col("pos_cum") + F.col("pos"),
                              "hit": F.col("n_all") - F.col("n_cum") + F.col("n")})

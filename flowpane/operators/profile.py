@@ -66,12 +66,14 @@ def histogram(df: DataFrame, col: str, bins: int, by: Sequence[str] = (), lo: fl
               hi: float | None = None, density: bool = False) -> DataFrame:
     """(by, bin, left, right, n[, density]): equal-width bins, the last one closed, empty bins included.
 
-    Without bounds the range is that of the whole column. ``density`` divides by group size and bin width.
+    Without bounds the range is that of the whole column, 0 to 1 if it has no values. ``density`` divides by group size and bin width.
     """
     if lo is None or hi is None:
         r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
         lo, hi = r["lo"], r["hi"]
-        if lo == hi:
+        if lo is None:
+            lo, hi = 0.0, 1.0
+        elif lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     slot = N.equal_width_bin(F.col(col), F.lit(lo), F.lit(hi), bins)

@@ -40,13 +40,15 @@ def freq_score(spectra: DataFrame, baseline: DataFrame, key: Sequence[str], alph
     ``alpha`` times more, averaged over channels and the masked bins (all but DC, each masked once).
 
     ``weight(bin)`` scales the squared distance of a bin instead of the boost. Bins meet the baseline, which is as
-    small as a spectrum, in a broadcast, and are summed before any shuffle.
+    small as a spectrum, in a broadcast, and are summed before any shuffle. A window with a bin that has no baseline keeps
+    its row, with a null score.
     """
     bins = spectra.select(*key, "channel", F.posexplode("amp").alias("bin", "a")).where("bin > 0")
     e = (F.col("a") - F.col("mean")) * (F.col("a") - F.col("mean"))
     scored = e + alpha * F.greatest(e - F.col("var"), F.lit(0.0)) if weight is None else e * weight(F.col("bin"))
-    joined = bins.join(materialise(baseline), ["channel", "bin"])
-    return joined.groupBy(*key).agg((F.sum(scored) / (F.count(F.lit(1)) + 1e-8)).alias("freq_score"))
+    joined = bins.join(materialise(baseline), ["channel", "bin"], "left")
+    covered = F.count("mean") == F.count(F.lit(1))
+    return joined.groupBy(*key).agg(F.when(covered, F.sum(scored) / (F.count(F.lit(1)) + 1e-8)).alias("freq_score"))
 
 
 def rank_norm(df: DataFrame, col: str, by: Sequence[str] = ("split",), out: str | None = None) -> DataFrame:

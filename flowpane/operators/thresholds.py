@@ -149,17 +149,20 @@ def _fit_likelihood(y: DataFrame, points: int = 48, rounds: int = 5) -> tuple[fl
 
 
 def pot_threshold(df: DataFrame, score: str, q: float = 0.98, risk: float = 1e-4, max_xi: float = 1.0,
-                  fit: str = "mle") -> DataFrame:
+                  fit: str = "mle", min_exceedances: int = 10) -> DataFrame:
     """One row: the threshold exceeded with probability ``risk`` under a generalised Pareto tail above quantile ``q``.
 
-    ``fit``: 'mle' or 'moments'. Fewer than ten exceedances: the quantile itself. The shape is capped at ``max_xi``
-    and the threshold at three times the largest score.
+    ``fit``: 'mle' or 'moments'. Fewer than ``min_exceedances`` exceedances, or only equal ones, have no tail to fit: the
+    threshold is the quantile itself, and ``xi`` and ``sigma`` are null. Without scores all but the counts is null. The
+    shape is capped at ``max_xi`` and the threshold at three times the largest score.
     """
-    t = exact_quantiles(df, [], score, [q]).first()["value"]
-    facts = df.agg(F.count(score).alias("n"), F.count_if(F.col(score) > t).alias("m"), F.max(score).alias("top")).first()
+    quantile = exact_quantiles(df, [], score, [q]).first()
+    t = quantile["value"] if quantile else None
+    over = F.when(F.col(score) > t, F.col(score))
+    facts = df.agg(F.count(score).alias("n"), F.count(over).alias("m"), F.min(over).alias("low"), F.max(score).alias("top")).first()
     xi = sigma = None
     threshold = t
-    if facts["m"] >= 10:
+    if facts["m"] >= min_exceedances and facts["low"] < facts["top"]:
         y = materialise(df.where(F.col(score) > t).select((F.col(score) - t).alias("y")))
         xi, sigma = _fit_moments(y) if fit == "moments" else _fit_likelihood(y)
         xi = min(xi, max_xi)
@@ -167,7 +170,7 @@ def pot_threshold(df: DataFrame, score: str, q: float = 0.98, risk: float = 1e-4
         threshold = t + (sigma * float(np.log(tail)) if abs(xi) < 1e-8 else sigma / xi * (tail ** xi - 1))
         threshold = min(threshold, facts["top"] * 3.0)
     return df.sparkSession.createDataFrame(
-        [(float(threshold), float(t), xi, sigma, int(facts["m"]), int(facts["n"]))],
+        [(None if t is None else float(threshold), None if t is None else float(t), xi, sigma, int(facts["m"]), int(facts["n"]))],
         "threshold double, initial double, xi double, sigma double, exceedances bigint, n bigint")
 
 

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from flowpane.functions import labels as L
 from flowpane.functions import vocabulary as V
-from flowpane.operators.ordered import with_position
-from flowpane.session import shuffle_width
+from flowpane.operators.ordered import null_safe_join, with_position
 
 
 @dataclass(frozen=True)
@@ -80,7 +79,7 @@ def _tasks_for(df: DataFrame) -> int:
     """Width of a shuffle before work that is heavy on computing and light on bytes: tasks must not be merged by
     their size in bytes there, so the width comes from the number of rows (a count over the written table)."""
     spark = df.sparkSession
-    return max(1, min(shuffle_width(spark), max(spark.sparkContext.defaultParallelism, df.count() // ROWS_PER_TASK)))
+    return max(1, spark.sparkContext.defaultParallelism, df.count() // ROWS_PER_TASK)
 
 
 def pane_windows(df: DataFrame, spec: WindowSpec, pane_aggs: dict[str, Column], window_aggs: dict[str, Column],
@@ -92,8 +91,6 @@ def pane_windows(df: DataFrame, spec: WindowSpec, pane_aggs: dict[str, Column],
     by block and both steps run on that partitioning.
     """
     per_block = max(256, 8 * spec.panes_per_window)
-    if spec.panes_per_window > per_block:
-        raise ValueError("window of too many panes")
     rows = _blocks(df, spec, per_block)
     if whole_rows:
         rows = rows.repartition(_tasks_for(df), spec.source, "_block")
@@ -168,14 +165,17 @@ def window_meta(df: DataFrame, spec: WindowSpec, min_ratio: float = 0.0) -> Data
 
 
 def source_sizes(df: DataFrame, spec: WindowSpec, source_order: Sequence[str] | None = None) -> DataFrame:
-    """(source, n_rows, n_windows, first_global_id) in the declared order, or by name. One row per source."""
+    """(source, n_rows, n_windows, first_global_id) in the declared order, or by name. One row per source.
+
+    Sources that were not declared, the null one among them, follow the declared ones by name.
+    """
     sizes = (df.groupBy(spec.source).agg(F.max("n_rows").alias("n_rows"))
              .withColumn("n_windows", window_count(F.col("n_rows"), spec)))
     if source_order is None:
         place = F.lit(0)
     else:
-        place = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col(spec.source)), F.lit(0))
-        sizes = sizes.where(place > 0)
+        declared = F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col(spec.source))
+        place = F.coalesce(F.nullif(declared, F.lit(0)), F.lit(len(source_order) + 1))
     w = Window.orderBy(place, spec.source).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("first_global_id", F.coalesce(F.sum("n_windows").over(w), F.lit(0)).cast("bigint"))
 
@@ -183,7 +183,7 @@ def source_sizes(df: DataFrame, spec: WindowSpec, source_order: Sequence[str] |
 def integrate(meta: DataFrame, sizes: DataFrame, spec: WindowSpec) -> DataFrame:
     """Windows of all sources in one sequence: ``global_window_id`` is the source's offset plus the window's id."""
     offsets = sizes.select(spec.source, "first_global_id")
-    return (meta.join(offsets, spec.source)
+    return (null_safe_join(meta, offsets, [spec.source])
             .withColumn("global_window_id", F.col("first_global_id") + F.col("window_id")).drop("first_global_id"))
 
 
