@@ -2,10 +2,12 @@
 
 Base rules find emails, IP addresses, card numbers and phone numbers. Beside them, high-recall generators propose spans that
 may overlap: addresses with written-out signs, runs of digits with any separators, dotted numbers with blanks. Gradient
-boosted trees judge a proposal by its format and its context. They learn from the proposals in a bounded sample of documents:
-those that a base rule confirms are positive, others negative, with the base rule's own verdict never a feature of the
-context. A threshold per kind is calibrated on proposals that were not fitted, at a precision of ``PRECISION``. Proposals
-that reach it and touch no base span are added; of added spans that touch, the first stays.
+boosted trees judge a proposal by its format and its context. Positive are base spans written out in another form (signs in words,
+other separators, no plus) within their own context, as far as a generator finds them; negative are proposals that touch no
+base span, but for those that are valid and have the signs or the context of their kind, which are left unlabelled. Trees are
+fitted on a bounded sample of documents; a threshold per kind is calibrated on the proposals of all other documents, at a
+precision of ``PRECISION``. Proposals that reach it, are valid for their kind whatever the separators, and touch no base span
+are added; of added spans that touch, the first stays.
 
 Matches are found by putting marks around them, so positions are code points. The patterns are linear: they start at the head
 of a run and never give back. Defined results: a null or empty text has no spans, base_sha256 that of the empty string and
@@ -31,7 +33,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATORS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\x20\.\x20|\x20?\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]++(?:\x20?[.]\x20?[0-9]++){3}+",
     "card": r"(?<![0-9])[0-9](?:[\x20./-]{0,2}[0-9]){7,}+",
     "phone": r"(?<![0-9])[+(]{0,2}[0-9](?:[\x20()./-]{0,3}[0-9]){6,}+",
@@ -39,12 +41,19 @@ GENERATORS = {
 CONTEXT_WORDS = r"(?i)mail|phone|tel|call|card|visa|pay|addr|host|server|\bip\b|contact"
 #: Documents whose proposals are fitted, in expectation.
 TRAIN_DOCS = 20_000
+#: The largest part of the documents that is fitted; the others calibrate.
+FITTED = 0.8
 TREES, DEPTH = 8, 3
 PRECISION = 0.99
-FEATURES = ("kind", "length", "digits", "letters", "blanks", "dots", "dashes", "plus", "bracket", "at", "luhn", "largest", "before_letter",
+FEATURES = ("kind", "length", "digits", "letters", "blanks", "dots", "dashes", "bracket", "luhn", "largest", "before_letter",
             "before_digit", "after_letter", "after_digit", "near_digits", "named")
 _OPEN, _CLOSE, _OTHER = chr(1), chr(2), chr(3)
 _BLOCK = 64
+#: Other forms in which base spans are written out for the fit: signs of an address, separators of numbers.
+AT, DOT = (" [at] ", "[at]", " (at) ", "(at)", " @ "), (" [dot] ", "[dot]", "(dot)", ".")
+IP_SIGNS, CARD_SIGNS, PHONE_SIGNS = (" . ", ". ", " ."), (".", "/", "  ", ". "), ("-", ".", " ", "/")
+#: Characters of context on either side.
+_NEAR = 24
 
 
 def running(lens: Column) -> Column:
@@ -91,10 +100,15 @@ def _valid(kind: str, found: Column) -> Column:
     return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
 
 
+def _valid_loosely(kind: str, found: Column) -> Column:
+    """Whether a proposal is valid for its kind whatever its separators."""
+    return _valid(kind, F.regexp_replace(found, r"[^0-9.]", "") if kind == "ip" else found)
+
+
 #: What a text must hold to be searched for a kind at all.
 _HINT = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
 _SPAN = "array<struct<start:int,no:int,kind:string,end:int>>"
-_MAYBE = "array<struct<start:int,no:int,kind:string,end:int,found:string>>"
+_MAYBE = "array<struct<start:int,no:int,kind:string,end:int,found:string,ok:boolean>>"
 
 
 def _base_of(text: Column, kind: str) -> Column:
@@ -105,7 +119,8 @@ def _base_of(text: Column, kind: str) -> Column:
 
 def _proposals_of(text: Column, kind: str) -> Column:
     spans = F.transform(matches(text, GENERATORS[kind]), lambda m: F.struct(
-        m["start"], F.lit(KINDS.index(kind)).alias("no"), F.lit(kind).alias("kind"), m["end"], m["found"]))
+        m["start"], F.lit(KINDS.index(kind)).alias("no"), F.lit(kind).alias("kind"), m["end"], m["found"],
+        _valid_loosely(kind, m["found"]).alias("ok")))
     hint = text.contains("@") | text.contains("at]") | text.contains("at)") if kind == "email" else text.rlike("[0-9]")
     return F.when(hint, spans).otherwise(F.array().cast(_MAYBE))
 
@@ -129,8 +144,8 @@ def _features(text: Column, m: Column) -> dict[str, Column]:
     largest = F.array_max(F.transform(F.split(found, "[^0-9]+"), lambda p: F.when(F.length(p) > 4, 9999).otherwise(F.coalesce(p.try_cast("int"), F.lit(0)))))
     return {
         "kind": one(m["no"]), "length": one(F.length(found)), "digits": one(F.length(digits)),
-        "letters": one(F.length(F.regexp_replace(found, "[^A-Za-z]", ""))), "blanks": count(" "), "dots": count("."), "dashes": count("-"), "plus": count("+"),
-        "bracket": count("(["), "at": count("@"), "luhn": one(_luhn(digits)), "largest": one(largest),
+        "letters": one(F.length(F.regexp_replace(found, "[^A-Za-z]", ""))), "blanks": count(" "), "dots": count("."), "dashes": count("-"),
+        "bracket": count("(["), "luhn": one(_luhn(digits)), "largest": one(largest),
         "before_letter": one(before.rlike("[A-Za-z]")), "before_digit": one(before.rlike("[0-9]")), "after_letter": one(after.rlike("[A-Za-z]")),
         "after_digit": one(after.rlike("[0-9]")), "near_digits": one(F.length(F.regexp_replace(near, "[^0-9]", ""))), "named": one(near.rlike(CONTEXT_WORDS))}
 
@@ -142,6 +157,48 @@ def _tree(node, names, row: Column) -> Column:
     return F.when(row[names[split.featureIndex()]] <= float(split.threshold()), _tree(node.leftChild(), names, row)).otherwise(_tree(node.rightChild(), names, row))
 
 
+def _free(maybe: Column, base: Column) -> Column:
+    """The proposals that touch no base span."""
+    return F.filter(maybe, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+
+def _written_out(no: Column, found: Column, v: Column) -> Column:
+    """A base span in another form, chosen by the number ``v``."""
+    one = lambda signs, x: F.element_at(F.array(*[F.lit(c) for c in signs]), (F.pmod(x, F.lit(len(signs))) + 1).cast("int"))
+    email = F.concat(F.substring_index(found, "@", 1), one(AT, v), F.replace(F.substring_index(found, "@", -1), F.lit("."), one(DOT, F.floor(v / len(AT)))))
+    ip = F.replace(found, F.lit("."), one(IP_SIGNS, v))
+    card = F.replace(F.regexp_replace(_digits(found), "([0-9]{4})(?=[0-9])", "$1~"), F.lit("~"), one(CARD_SIGNS, v))
+    bare = F.substring(found, 2, 1 << 30)
+    signs = F.replace(F.regexp_replace(bare, "[^0-9]+", "~"), F.lit("~"), one(PHONE_SIGNS, F.floor(v / 3)))
+    phone = F.when(v % 3 == 0, bare).when(v % 3 == 1, signs).otherwise(F.regexp_replace(found, r"^\+[0-9]+[\x20.-]*", ""))
+    return F.when(no == 0, email).when(no == 1, ip).when(no == 2, card).otherwise(phone)
+
+
+def _examples(found: DataFrame, *others: str) -> DataFrame:
+    """``FEATURES`` and label of the proposals that touch no base span, and of the base spans written out in another form."""
+    text = F.col("__text")
+
+    def around(m: Column, own: Column, ok: Column, label: float) -> Column:
+        return F.struct(F.substring(text, F.greatest(m["start"] - (_NEAR - 1), F.lit(1)), F.least(m["start"], F.lit(_NEAR))).alias("left"), own.alias("found"),
+                        F.substring(text, m["end"] + 1, F.lit(_NEAR)).alias("right"), m["no"].alias("no"), ok.alias("ok"), F.lit(label).alias("label"))
+    base = F.transform("__base", lambda b: around(b, F.substring(text, b["start"] + 1, b["end"] - b["start"]), F.lit(True), 1.0))
+    free = F.transform(_free(F.col("__maybe"), F.col("__base")), lambda m: around(m, m["found"], m["ok"], 0.0))
+    each = found.select(*others, F.explode(F.concat(base, free)).alias("x")).select(*others, "x.*")
+    v = F.pmod(F.xxhash64("left", "found", "right"), F.lit(1_000_003))
+    each = each.withColumn("found", F.when(F.col("label") == 1, _written_out(F.col("no"), F.col("found"), v)).otherwise(F.col("found")))
+    each = each.withColumn("__text", F.concat("left", "found", "right"))
+    start, end = F.length("left"), F.length("left") + F.length("found")
+    again = F.lit(False)
+    for no, kind in enumerate(KINDS):
+        again = F.when(F.col("no") == no, F.exists(_proposals_of(text, kind), lambda m: (m["start"] == start) & (m["end"] == end) & m["ok"])).otherwise(again)
+    m = F.struct(start.alias("start"), F.col("no"), end.alias("end"), F.col("found"))
+    rows = each.filter((F.col("label") == 0) | again).select(*others, "label", "ok", "found", *[c.alias(k) for k, c in _features(text, m).items()])
+    named, kind = F.col("named") > 0, F.col("kind")
+    signs = ((kind == 0) & F.col("found").rlike(r"at[\])]")) | (kind == 2)
+    bare = (kind == 3) & (F.col("digits") == F.col("length"))
+    return rows.filter(F.when(F.col("label") == 1, ~bare | named).otherwise(~(F.col("ok") & (named | signs)))).select(*others, *FEATURES, "label")
+
+
 class Judge:
     """The trees as one expression, and a threshold per kind (none: nothing of that kind is added)."""
 
@@ -166,22 +223,16 @@ class Judge:
                 c = F.when(m["no"] == no, F.lit(threshold)).otherwise(c)
             row = F.struct(*[v.alias(k) for k, v in _features(text, m).items()])
             return F.exists(F.array(row), lambda r: self.probability(r) >= c)
-        free = F.filter(maybe, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        taken = F.array_sort(F.transform(F.filter(free, accepted), lambda m: F.struct(m["start"], m["no"], m["kind"], m["end"])))
+        taken = F.array_sort(F.transform(F.filter(_free(maybe, base), lambda m: m["ok"] & accepted(m)), lambda m: F.struct(m["start"], m["no"], m["kind"], m["end"])))
         return F.filter(taken, lambda m, i: ~F.exists(F.slice(taken, 1, i), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Judge:
-    """Boosted trees over the proposals of about ``train_docs`` documents, and thresholds from a fifth of them."""
+    """Boosted trees over the proposals of about ``train_docs`` documents, and thresholds from those of all others."""
     n = docs.count()
-    text = text_or_empty()
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(1_000_000))
-    some = found_in(docs.select("doc_id", "text").filter(part < int(1_000_000 * min(1.0, train_docs / max(n, 1)))))
-    each = some.select("__text", "__base", F.explode("__maybe").alias("m"))
-    m = F.col("m")
-    label = F.exists(F.col("__base"), lambda b: (b["start"] == m["start"]) & (b["end"] == m["end"]) & (b["no"] == m["no"])).cast("double")
-    rows = stage(each.select(*[v.alias(k) for k, v in _features(F.col("__text"), m).items()], label.alias("label"),
-                             (F.pmod(F.xxhash64("__text", m["start"], m["no"]), F.lit(5)) == 0).alias("__held")), "proposals")
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text_or_empty()), F.lit(1_000_000))
+    held = (part >= int(1_000_000 * min(FITTED, train_docs / max(n, 1)))).alias("__held")
+    rows = stage(_examples(found_in(docs.select("doc_id", "text", held)), "__held"), "proposals")
     classes = {(r["__held"], r["label"]) for r in rows.groupBy("__held", "label").count().collect()}
     if not {(False, 0.0), (False, 1.0)} <= classes:
         return Judge(None, {})

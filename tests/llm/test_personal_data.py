@@ -63,6 +63,26 @@ def test_proposals_are_learned_and_redacted(spark):
     assert redact(empty).count() == 0
 
 
+def test_other_forms_are_added(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        d = "".join(rng.choices("0123456789", k=15))
+        card = next(d + c for c in "0123456789" if luhn(d + c))
+        wrong = d + str((int(card[-1]) + 3) % 10)
+        other = "".join(rng.choices("0123456789", k=rng.randint(8, 14)))
+        rows.append((i, f"words {i} of name.{i}@host{i % 7}.example.com then +1 (988) 555-{i:04d} and 10.{i % 256}.3.4, or {card} but {wrong} or {other} ok"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = train(docs)
+    assert set(judge.thresholds) == {0, 1, 2, 3}
+    cases = {
+        "some jane.doe [at] mail [dot] example.com or": "some [EMAIL] or", "some jane.doe(at)mail.example.com. Then": "some [EMAIL]. Then",
+        "then 1 (988) 555-2485 and": "then [PHONE] and", "then (988) 555-2485 and": "then [PHONE] and", "or 4111.1111.1111.1111 but": "or [CARD] but",
+        "and 10 . 0 . 3 . 4, or": "and [IP], or", "or 4111.1111.1111.1112 but": None, "or 4111111111111112 but": None, "and 10 . 0 . 3 . 400, or": None, "or 12345678901 ok": None}
+    new = spark.createDataFrame(list(enumerate(cases)), docs.schema)
+    assert {r["text"] for r in redact(new, judge).collect()} == {v or k for k, v in cases.items()}
+
+
 def test_query(spark):
     got = op10_personal_data(spark, "/root/testdata/sf0.001").collect()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
