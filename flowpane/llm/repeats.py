@@ -291,9 +291,8 @@ def _judged(group: list, whole: bool) -> Iterator[dict]:
         low, high = _extent(key)
         low = max(low, LENGTH - most)
         ranges.append((low, high) if low <= high else None)
-    if not any(r and g[1] < 2 for r, g in zip(ranges, group, strict=True)):
-        return
-    if whole and len(group) < 2:
+    # decided contexts count for those that another range holds
+    if whole and (len(group) < 2 or not any(r and g[1] < 2 for r, g in zip(ranges, group, strict=True))):
         return
     hashes = [window_hashes(g[0], *r) if r else np.zeros((0, 2), np.int64) for r, g in zip(ranges, group, strict=True)]
     if not whole:

@@ -2,8 +2,10 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from flowpane.llm import repeats
 from flowpane.llm.repeats import LENGTH, LoserTree, common_prefix, without_repeats
 
 
@@ -53,3 +55,23 @@ def test_against_brute_force(spark):
     assert without_repeats(docs.filter(F.lit(False))).count() == 0
     kept = {r["doc_id"]: bytes(r["kept"]) for r in without_repeats(docs.filter("doc_id < 3")).collect()}
     assert kept[1] == texts[1].encode()
+
+
+def test_splitters_between_all_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = prose(900)
+    texts = [prose(300) + passage + prose(200)] * 2 + [prose(100) + passage[:760] + prose(150), prose(50) + passage[130:] + prose(90), prose(500)]
+    keys = set()
+    for raw in (t.encode() for t in texts):
+        found = repeats.anchors(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))
+        keys |= {repeats.context(raw, int(p), int(low), int(high)) for _, p, low, high, _ in zip(*found)}
+    cut = repeats._cut_batches
+    monkeypatch.setattr(repeats, "_cut_batches", lambda splitters: cut(sorted(keys)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = collections.Counter(tuple(r)[1:] for r in without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_text=False).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == collections.Counter(brute([t.encode() for t in texts]))
