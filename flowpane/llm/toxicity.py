@@ -6,8 +6,9 @@ maxima. Because convolution is linear in the embeddings, scoring looks up every
 computes once per distinct word.
 
 The model is fitted on the driver on a bounded sample of labelled rows (``TRAIN_ROWS`` of either class, in the order of a
-hash); rows whose crc32(doc_id) mod 4 is 2 are held out. A fifth of the sample calibrates the scores and the thresholds of
-the languages; lang picks a threshold and never enters a score.
+hash); rows whose crc32(doc_id) mod 4 is 2 are held out. A fifth of the sample calibrates the scores. The thresholds of the
+languages come from counts of scores over all labelled rows that are neither held out nor fitted, so that either class counts
+as often as it occurs; lang picks a threshold and never enters a score.
 
 Defined results: a null or empty text gets the score of no words; a null doc_id is not held out; without labels of both
 classes every score is 0 and nothing is rejected; a null or rare lang takes the threshold of all languages; repeated rows give
@@ -34,8 +35,11 @@ BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Small samples go through more epochs, up to so many steps.
 LEAST_STEPS = 300
+#: Bins of scores that are counted; a cut lies between two of them.
+SCORE_BINS = 1000
 #: Labelled rows of either class from which a language has a threshold of its own.
 OWN_THRESHOLD = 15
+SEED = 7
 _PAD = "\0"
 _OFFSETS = [(k, j) for k in WIDTHS for j in range(k)]
 _EDGES = " .,;:!?\"'()[]{}<>-–—…«»¡¿*_|#"
@@ -92,7 +96,16 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], weights: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Model | None:
+def _calibrating(toxic: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A fifth of either class, which is not fitted."""
+    held = np.zeros(len(toxic), bool)
+    for c in (0, 1):
+        own = rng.permutation(np.flatnonzero(toxic == c))
+        held[own[: len(own) // 5]] = True
+    return held
+
+
+def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], weights: tuple[float, float] = (1.0, 1.0), seed: int = SEED) -> Model | None:
     """A model of the texts; None without both classes. ``weights``: how many rows a clean and a toxic one stand for."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
@@ -100,10 +113,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], weights: t
     table: dict[str, int] = {_PAD: 0}
     runs = [np.array([table.setdefault(w, len(table)) for w in _words(t)]) for t in texts]
     feats = np.array([(-1, -1, -1), *[features(w) for w in list(table)[1:]]])
-    held = np.zeros(len(texts), bool)
-    for c in (0, 1):
-        own = rng.permutation(np.flatnonzero(toxic == c))
-        held[own[: len(own) // 5]] = True
+    held = _calibrating(toxic, rng)
     model = Model(rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32),
                   {k: rng.normal(0, 0.3, (k, DIMS, FILTERS)).astype(np.float32) for k in WIDTHS},
                   np.full(FILTERS * len(WIDTHS), 0.1, np.float32), rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
@@ -176,30 +186,65 @@ def _calibrate(model: Model, runs, feats, toxic, langs, held, weights) -> None:
         a, b = a - np.clip(da, -1, 1), b - np.clip(db, -2, 2)
     model.scale, model.shift = max(a, 0.05), b
     scores = model.scores(pooled)
-    model.threshold = best_cut(scores, y)
+    model.threshold = best_cut(scores, y, w)
     for lang in set(langs[own]):
         m = langs[own] == lang
         if lang and min((y[m] == 1).sum(), (y[m] == 0).sum()) >= OWN_THRESHOLD:
-            model.thresholds[lang] = best_cut(scores[m], y[m])
+            model.thresholds[lang] = best_cut(scores[m], y[m], w[m])
 
 
-def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
-    """The cut of best F1, in the middle of its gap between scores."""
+def best_cut(scores: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The cut of best F1, in the middle of its gap between scores. ``weights``: how many rows each stands for."""
+    w = np.ones(len(y)) if weights is None else weights
     order = np.argsort(-scores)
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits = np.cumsum((w * y)[order])
+    f1 = 2 * hits / (np.cumsum(w[order]) + (w * y).sum())
     f1[:-1][scores[order][:-1] == scores[order][1:]] = -1
     k = int(f1.argmax())
     below = scores[order[k + 1]] if k + 1 < len(y) else 0.0
     return float((scores[order[k]] + below) / 2)
 
 
+def _cut_of_bins(bins: list) -> float:
+    """``best_cut`` from bins of scores, each with the number of rows and of toxic ones, its least and its greatest score."""
+    bins = sorted(bins, key=lambda r: -r["at"])
+    n, hits = (np.cumsum([r[x] for r in bins]) for x in ("n", "hits"))
+    k = int((2 * hits / (n + hits[-1])).argmax())
+    return (bins[k]["low"] + (bins[k + 1]["high"] if k + 1 < len(bins) else 0.0)) / 2
+
+
+def _set_thresholds(model: Model, docs: DataFrame, given: DataFrame, fitted: list[int]) -> None:
+    """Cuts of best F1 over all labelled rows of ``given`` that are not ``fitted``; those of the sample stay where a class is missing."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    ids = docs.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long")
+    own = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").alias("y")).join(F.broadcast(ids), "doc_id", "left_anti")
+    found = scored(rows, model).select("doc_id", "lang", "__toxicity").join(own, "doc_id")
+    # a row for each language and bin at most
+    bins = found.groupBy("lang", F.floor(F.col("__toxicity") * SCORE_BINS).alias("at")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.min("__toxicity").alias("low"), F.max("__toxicity").alias("high")).collect()
+
+    def least(some: list) -> int:
+        return min(sum(r["hits"] for r in some), sum(r["n"] - r["hits"] for r in some))
+
+    if not least(bins):
+        return
+    every: dict[int, dict] = {}
+    for r in bins:
+        b = every.setdefault(r["at"], {"at": r["at"], "n": 0, "hits": 0, "low": r["low"], "high": r["high"]})
+        b |= {"n": b["n"] + r["n"], "hits": b["hits"] + r["hits"], "low": min(b["low"], r["low"]), "high": max(b["high"], r["high"])}
+    model.threshold, model.thresholds = _cut_of_bins(list(every.values())), {}
+    for lang in {r["lang"] for r in bins if r["lang"]}:
+        some = [r for r in bins if r["lang"] == lang]
+        if least(some) >= OWN_THRESHOLD:
+            model.thresholds[lang] = _cut_of_bins(some)
+
+
 def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled documents of either class that are not held out."""
+    """Fit on at most ``rows`` labelled documents of either class that are not held out; thresholds from all others."""
     given = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~_held_out())
     sizes = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = None
@@ -212,7 +257,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
              .join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * rows).collect())
     y = np.array([r["y"] for r in found], np.int64)
     weights = tuple(sizes.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
-    return fit([r["text"] for r in found], y, [r["lang"] for r in found], weights)
+    model = fit([r["text"] for r in found], y, [r["lang"] for r in found], weights)
+    if model is not None:
+        held = _calibrating(y, np.random.default_rng(SEED))
+        _set_thresholds(model, docs, given, [r["doc_id"] for r, h in zip(found, held, strict=True) if not h])
+    return model
 
 
 def _score_batches(model: Model | None):

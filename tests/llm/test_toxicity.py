@@ -56,3 +56,22 @@ def test_documents(spark):
     none = train(docs, labels.filter("toxic = 0"))
     assert none is None and scored(docs, none).filter("__toxicity <> 0 OR __rejected").count() == 0
     assert scored(docs.filter(F.lit(False)), model).count() == 0
+
+
+def test_thresholds_come_from_the_natural_mix(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 9 == 0
+        words = ["".join(rng.choices(["th", "on", "er", "ing", "ea"], k=2)) for _ in range(30)]
+        # a word in three tenths of the toxic texts and in a tenth of the clean ones: most texts that have it are clean
+        word = ("meh" if rng.random() < 0.3 else "idiot") if toxic else "meh" if rng.random() < 0.1 else "calm"
+        for _ in range(3):
+            words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["__rejected"] for r in scored(docs, train(docs, labels, 100)).collect()}
+    meh = np.mean([got[i] for i, t, _ in rows if "meh" in t])
+    assert meh < 0.5, meh
+    assert np.mean([got[i] for i, t, _ in rows if "idiot" in t]) > 0.9
