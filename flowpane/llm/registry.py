@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flowpane.llm import mixing, top_k
+from flowpane.llm import lexical, mixing, top_k
 from flowpane.llm.byte_bpe import op7_byte_bpe
 from flowpane.llm.fertility import op5_fertility
+from flowpane.llm.lexical import op13_lexical_search
 from flowpane.llm.mixing import op6_mixing
 from flowpane.llm.personal_data import op10_personal_data
 from flowpane.llm.repeats import op9_repeats
@@ -14,5 +15,5 @@ from flowpane.llm.token_files import op1_token_files
 from flowpane.llm.top_k import op3_top_k
 from flowpane.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_top_k, op4_token_counts, op5_fertility, op6_mixing, op7_byte_bpe, op8_simhash, op9_repeats, op10_personal_data)}
-ORACLE_SQL = {"op3_top_k": top_k.SQL, "op6_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_top_k, op4_token_counts, op5_fertility, op6_mixing, op7_byte_bpe, op8_simhash, op9_repeats, op10_personal_data, op13_lexical_search)}
+ORACLE_SQL = {"op3_top_k": top_k.SQL, "op6_mixing": mixing.SQL, "op13_lexical_search": lexical.SQL}
