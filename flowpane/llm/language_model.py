@@ -16,7 +16,7 @@ words that occur once, so the V + 1 events sum to one. Counts are of all trainin
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as an empty string for the split; rows that
 repeat a document are counted and scored each; without training documents every score is 0; an empty table gives an empty
-result. Only doc_id and text are read. Words are told apart by 128-bit hashes, longer n-grams by 64 bits.
+result. Only doc_id and text are read. Words are told apart by 96-bit hashes, longer n-grams by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import Interned, stage, text_groups, text_or_empty
+from flowpane.llm.common import Interned, release, scratch_path, stage, text_groups, text_or_empty
+from flowpane.llm.packing import pack, unpack
 
 ORDER = 2
 FOLDS, HELD = 7, 2
@@ -44,7 +45,7 @@ _GOLDEN, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1C
 _ZERO_RATIO, _RATIO_STEPS, _MOST_RATIO = 0, 4, 159
 
 _CELL = "block long, level int, range int, n int, keys binary, counts binary"
-_DOCS = "doc_ids array<long>, train array<boolean>, lens array<int>, ids array<int>, hashes array<long>"
+_DOCS = "doc_ids array<long>, train array<boolean>, lens array<int>, ids binary, by_use binary, hashes binary"
 
 
 # --- n-grams of a block ---------------------------------------------------------------------------------------------
@@ -97,31 +98,33 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(starts, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the greatest needs, byte by byte of equal weight."""
-    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unpack(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], n).T
-    return out.view("<u8").ravel()
-
-
 def _pack_keys(keys: np.ndarray, low: np.ndarray | None) -> bytes:
-    """Sorted 64-bit keys as differences; of words also the lower halves of their hashes."""
-    return int(keys[0]).to_bytes(8, "little") + (low.astype("<u8").tobytes() if low is not None else b"") + _pack(np.diff(keys))
+    """Sorted 64-bit keys as differences; of words also 32 bits from the lower halves of their hashes."""
+    return int(keys[0]).to_bytes(8, "little") + (low.astype("<u4").tobytes() if low is not None else b"") + pack(np.diff(keys))
 
 
 def _unpack_keys(raw: bytes, n: int, words: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    low = np.frombuffer(raw, "<u8", n, 8) if words else None
+    low = np.frombuffer(raw, "<u4", n, 8) if words else None
     keys = np.empty(n, np.uint64)
     keys[0] = int.from_bytes(raw[:8], "little")
-    keys[1:] = _unpack(raw[8 + 8 * n * words :], n - 1)
+    keys[1:] = unpack(raw[8 + 4 * n * words :], n - 1)
     return np.cumsum(keys, dtype=np.uint64), low
 
 
+def _pack_ids(ids: np.ndarray, n_words: int) -> tuple[bytes, bytes]:
+    """Word numbers, compressed as places among the words by falling use, and the words in that order."""
+    import zstandard
+    by_use = np.argsort(-np.bincount(ids, minlength=n_words), kind="stable")
+    place = np.empty(n_words, np.int64)
+    place[by_use] = np.arange(n_words)
+    return zstandard.compress(pack(place[ids])), pack(by_use)
+
+
+def _unpack_ids(raw: bytes, by_use: bytes, n: int, n_words: int) -> np.ndarray:
+    import zstandard
+    return unpack(by_use, n_words).astype(np.int64)[unpack(zstandard.decompress(raw), n)]
+
+
 class _Block:
     """Documents gathered for a block, their words numbered as they come."""
 
@@ -146,7 +149,8 @@ class _Block:
         rank[by_hash] = np.arange(len(by_hash), dtype=np.int32)
         digests = digests[by_hash]
         ids, lens = rank[np.concatenate(self.ids)], np.array(self.lens, np.int64)
-        yield (block, 0, 0, len(digests), None, None, self.doc_ids, self.train, lens.astype(np.int32), ids, digests[:, 0].view(np.int64))
+        yield (block, 0, 0, len(digests), None, None, self.doc_ids, self.train, lens.astype(np.int32), *_pack_ids(ids, len(digests)),
+               _pack_keys(digests[:, 0], None))
         grams = Grams(ids, lens, len(digests), order)
         weight = np.repeat(np.array(self.train, np.float64), lens)
         for level, keys in enumerate(grams.hashes(digests[:, 0])):
@@ -157,13 +161,13 @@ class _Block:
             cuts = _bounds(keys, ranges)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[r], cuts[r + 1]
-                yield (block, level + 1, r, int(b - a), _pack_keys(keys[a:b], None if low is None else low[a:b]), _pack(counts[a:b]),
-                       None, None, None, None, None)
+                yield (block, level + 1, r, int(b - a), _pack_keys(keys[a:b], None if low is None else low[a:b]), pack(counts[a:b]),
+                       *[None] * 6)
 
 
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()),
-          pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-_NAMES = ["block", "level", "range", "n", "keys", "counts", "doc_ids", "train", "lens", "ids", "hashes"]
+          pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+_NAMES = ["block", "level", "range", "n", "keys", "counts", "doc_ids", "train", "lens", "ids", "by_use", "hashes"]
 
 
 def _ask(order: int, ranges: int, block_bytes: int):
@@ -197,7 +201,7 @@ def _sum_range(key: tuple, table: pa.Table) -> pa.Table:
     level = key[0].as_py()
     rows = table.select(["block", "n", "keys", "counts"]).to_pylist()
     keys, low = zip(*(_unpack_keys(r["keys"], r["n"], level == 1) for r in rows), strict=True)
-    counts = np.concatenate([_unpack(r["counts"], r["n"]) for r in rows])
+    counts = np.concatenate([unpack(r["counts"], r["n"]) for r in rows])
     keys = np.concatenate(keys)
     if level == 1:
         low = np.concatenate(low)
@@ -210,7 +214,7 @@ def _sum_range(key: tuple, table: pa.Table) -> pa.Table:
     at[order] = np.cumsum(new) - 1
     totals = np.bincount(at, counts).astype(np.uint64)
     cuts = np.cumsum([0] + [r["n"] for r in rows])
-    replies = [_pack(totals[at[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    replies = [pack(totals[at[a:b]]) for a, b in zip(cuts, cuts[1:])]
     facts = [[int((totals > 0).sum()), int((totals == 1).sum()), int(totals.sum())]] if level == 1 else [[0, 0, 0]]
     words, once, tokens = zip(*(facts + [[0, 0, 0]] * (len(rows) - 1)), strict=True)
     n = len(rows)
@@ -359,7 +363,8 @@ def fit_shares(evidence: dict[tuple[int, int, int], int], order: int) -> list[np
 
 # --- whole jobs -----------------------------------------------------------------------------------------------------
 
-_MODEL = f"block long, {_DOCS}, counts array<binary>, sizes array<int>, levels array<int>, steps array<int>, times array<long>"
+_MODEL = ("doc_ids array<long>, train array<boolean>, lens array<int>, ids binary, by_use binary, counts array<binary>, sizes array<int>, "
+          "levels array<int>, steps array<int>, times array<long>")
 
 
 def _flat(table: pa.Table | pa.RecordBatch, name: str, dtype) -> np.ndarray:
@@ -373,13 +378,15 @@ def _gather(facts: Facts):
     def run(table: pa.Table) -> pa.Table:
         level = table["level"].to_numpy()
         docs = table.filter(pa.array(level == 0))
-        ids, lens, words = _flat(docs, "ids", np.int64), _flat(docs, "lens", np.int64), _flat(docs, "hashes", np.int64).view(np.uint64)
-        grams = Grams(ids, lens, len(words), facts.order)
+        lens, n_words = _flat(docs, "lens", np.int64), docs["n"][0].as_py()
+        ids = _unpack_ids(docs["ids"][0].as_py(), docs["by_use"][0].as_py(), int(lens.sum()), n_words)
+        words = _unpack_keys(docs["hashes"][0].as_py(), n_words, False)[0]
+        grams = Grams(ids, lens, n_words, facts.order)
         keys = grams.hashes(words)
         counts = []
         for k in range(facts.order):
             rows = sorted(table.filter(pa.array(level == k + 1)).select(["range", "n", "counts"]).to_pylist(), key=lambda r: r["range"])
-            sums = np.concatenate([_unpack(r["counts"], r["n"]) for r in rows] or [np.zeros(0, np.uint64)]).astype(np.int64)
+            sums = np.concatenate([unpack(r["counts"], r["n"]) for r in rows] or [np.zeros(0, np.uint64)]).astype(np.int64)
             if k:
                 by_hash, sums_ = np.argsort(keys[k], kind="stable"), sums
                 sums = np.empty(len(by_hash), np.int64)
@@ -388,9 +395,8 @@ def _gather(facts: Facts):
         automaton = Automaton(grams, counts, facts, [np.full(64, 0.5)] * (facts.order - 1))
         weight = np.repeat(_flat(docs, "train", np.float64), lens)
         found = [automaton.evidence(k, weight) for k in range(1, facts.order)]
-        columns = {name: docs[name] for name in ("block", "doc_ids", "train", "lens", "ids", "hashes")}
-        columns["hashes"] = pa.array([[]], pa.list_(pa.int64()))
-        columns["counts"] = pa.array([[_pack(c.astype(np.uint64)) for c in counts]], pa.list_(pa.binary()))
+        columns = {name: docs[name] for name in ("doc_ids", "train", "lens", "ids", "by_use")}
+        columns["counts"] = pa.array([[pack(c.astype(np.uint64)) for c in counts]], pa.list_(pa.binary()))
         columns["sizes"] = pa.array([[len(c) for c in counts]], pa.list_(pa.int32()))
         levels = [np.full(len(k), i + 2) for i, (k, _) in enumerate(found)]
         empty = [np.zeros(0, np.int64)]
@@ -406,9 +412,9 @@ def _score_batches(facts: Facts, shares: list[np.ndarray]):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                ids, lens = _flat(row, "ids", np.int64), _flat(row, "lens", np.int64)
-                sizes = _flat(row, "sizes", np.int64).tolist()
-                counts = [_unpack(c, n).astype(np.int64) for c, n in zip(row.column("counts").to_pylist()[0], sizes, strict=True)]
+                lens, sizes = _flat(row, "lens", np.int64), _flat(row, "sizes", np.int64).tolist()
+                ids = _unpack_ids(row.column("ids")[0].as_py(), row.column("by_use")[0].as_py(), int(lens.sum()), sizes[0])
+                counts = [unpack(c, n).astype(np.int64) for c, n in zip(row.column("counts").to_pylist()[0], sizes, strict=True)]
                 automaton = Automaton(Grams(ids, lens, sizes[0], facts.order), counts, facts, shares)
                 own = np.ones(len(ids), bool)
                 own[np.cumsum(lens) - lens] = False
@@ -429,20 +435,23 @@ def is_training(doc_id: Column) -> Column:
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), is_training(F.col("doc_id")).alias("trains"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
-    ranges = max(1, math.ceil(size / RANGE_BYTES))
-    asked = stage(texts.mapInArrow(_ask(order, ranges, BLOCK_BYTES), f"{_CELL}, {_DOCS}"), "grams")
-    replies = stage(asked.filter("level > 0").select("block", "level", "range", "n", "keys", "counts").groupBy("level", "range")
-                    .applyInArrow(_sum_range, _REPLY), "counts")
+    size = texts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ranges = max(1, math.ceil(size["bytes"] / RANGE_BYTES))
+    path, schema = scratch_path(docs.sparkSession, "grams"), f"{_CELL}, {_DOCS}"
+    asked = texts.mapInArrow(_ask(order, ranges, BLOCK_BYTES), schema).withColumn("asks", F.col("level") > 0)
+    asked.write.option("compression", "zstd").partitionBy("asks").parquet(path)
+    blocks, asked = (docs.sparkSession.read.schema(schema).parquet(f"{path}/asks={x}") if size["rows"] else asked for x in ("false", "true"))
+    replies = stage(asked.select("block", "level", "range", "n", "keys", "counts").groupBy("level", "range").applyInArrow(_sum_range, _REPLY), "counts")
+    release(docs.sparkSession, f"{path}/asks=true")  # answered, and the answers are written
     row = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "once")]).first()
     facts = Facts(row["tokens"], row["words"], row["once"], order)
-    parts = (asked.filter("level = 0").select("block", "level", "range", "n", *_NAMES[6:])
+    parts = (blocks.select("block", "level", "range", "n", *_NAMES[6:])
              .unionByName(replies.select("block", "level", "range", "n", "counts"), allowMissingColumns=True))
     model = stage(parts.groupBy("block").applyInArrow(_gather(facts), _MODEL), "automata")
     evidence = (model.select(F.explode(F.arrays_zip("levels", "steps", "times")).alias("e"))
                 .groupBy(F.col("e.levels").alias("level"), F.col("e.steps").alias("step")).agg(F.sum("e.times").alias("n")))
     shares = fit_shares({(r["level"], r["step"] // 512, r["step"] % 512): r["n"] for r in evidence.collect()}, order)
-    return (model.select("doc_ids", "train", "lens", "ids", "counts", "sizes")
+    return (model.select("doc_ids", "train", "lens", "ids", "by_use", "counts", "sizes")
             .mapInArrow(_score_batches(facts, shares), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                                        "base_score double, score double"))
 

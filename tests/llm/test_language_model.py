@@ -140,3 +140,6 @@ def test_no_training_documents_and_empty_tables(spark):
     df = spark.createDataFrame([(held, "a b")], "doc_id long, text string")
     assert rows_of(score(df)) == [(held, True, 3, 0, 0, 0.0, 0.0)]
     assert score(df.filter("false")).count() == 0
+    nothing = spark.createDataFrame([(i, t) for i in range(8) for t in (None, "", " ")], "doc_id long, text string")
+    rows = rows_of(score(nothing))
+    assert len(rows) == 24 and all(r[2:5] == (1, 1, 18) for r in rows) and {r[1] for r in rows} == {False, True}
