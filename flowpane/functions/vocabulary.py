@@ -86,6 +86,7 @@ HEADERLESS_CATEGORIES = ["proto", "state", "service"]
 
 # Spellings of labels.
 BENIGN = "Benign"
+UNKNOWN = "Unknown"
 BENIGN_SPELLINGS = ["BENIGN", "Benign", "benign", "Normal", "NORMAL", "normal"]
 MISSING_CATEGORIES = ["", "nan", "None"]
 CATEGORY_RENAMES = {"Backdoor": "Backdoors"}

@@ -1,4 +1,4 @@
-"""Differences between two groups of rows: moments, empirical distributions, kernels, spectra.
+"""Differences between two groups of rows: moments, empirical distributions, spectra, verdicts (``discrepancy`` has kernels).
 
 The input is tall: key columns (feature, bin, ...), a ``value`` and a ``side`` ('a' or 'b'). All keys are handled in
 one job. Distribution distances first merge equal values, then run along the ordered values of all keys at once.
@@ -8,16 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowpane.functions import numbers as N
 from flowpane.functions.signal import gaussian_weights
 from flowpane.operators.ordered import running_totals
-from flowpane.operators.sampling import sample_exact
-from flowpane.operators.vectors import kernel_sums
 from flowpane.session import materialise
 
 
@@ -68,61 +64,6 @@ def with_significance(distances: DataFrame, level: float = 0.05) -> DataFrame:
     return distances.withColumn("p_value", p).withColumn("significant", F.col("p_value") < level)
 
 
-# ---- maximum mean discrepancy --------------------------------------------------------------------------------------
-
-def _medians(sample: DataFrame, by: Sequence[str], heads: int) -> DataFrame:
-    """Median Euclidean distance between the first ``heads`` vectors of each side; at most heads^2 numbers a group."""
-    kinds = dict(sample.dtypes)
-
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-        a, b = m[(pdf["side"] == "a").to_numpy()], m[(pdf["side"] == "b").to_numpy()]
-        d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-        row = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([{**row, "median": float(np.median(np.sqrt(d2))) if d2.size else None}])
-
-    rank = F.row_number().over(Window.partitionBy(*by, "side").orderBy("_h", "key"))
-    head = sample.withColumn("_r", rank).where(F.col("_r") <= heads).drop("_r")
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "median double"])
-    return head.groupBy(*by).applyInPandas(median, schema)
-
-
-def mmd(vectors: DataFrame, by: Sequence[str] = (), max_samples: int = 5000, gamma: float | None = None,
-        seed: int = 0, heads: int = 1000) -> DataFrame:
-    """(by, mmd2, mmd, gamma): maximum mean discrepancy with a Gaussian kernel between the two sides.
-
-    ``vectors`` has ``side``, ``vector``, a unique text ``key`` and the ``by`` columns. Each side of each group is
-    sampled down to ``max_samples`` rows by the hash of their keys, as the estimate is meant to be; without
-    ``gamma`` the kernel width comes from the median distance of the first ``heads`` rows of both sides.
-    """
-    from flowpane.operators.sampling import sample_hash
-    by = list(by)
-    cls = F.concat_ws("\u0001", *by, "side")
-    groups = [r["_g"] for r in vectors.select(cls.alias("_g")).distinct().collect()]
-    sample = sample_exact(vectors.withColumn("_g", cls), "key", {g: max_samples for g in groups}, seed, "_g")
-    sample = materialise(sample.drop("_g").withColumn("_h", sample_hash(F.col("key"), seed)))
-    if gamma is None:
-        widths = materialise(_medians(sample, by, min(heads, max_samples)).withColumn(
-            "gamma", 1.0 / (2 * F.col("median") * F.col("median") + 1e-10)).drop("median"))
-    else:
-        widths = sample.select(*by).distinct().withColumn("gamma", F.lit(float(gamma))) if by else None
-    if by:
-        scaled = sample.join(widths, by)
-    else:
-        scaled = sample.withColumn("gamma", F.lit(float(gamma if gamma is not None else widths.first()["gamma"])))
-    sums = kernel_sums(scaled, [*by, "gamma"], "side", "vector", "key", 2 * max_samples, lambda z: np.exp(-z), "gamma")
-    part = lambda p, q: F.max(F.when((F.col("side_a") == p) & (F.col("side_b") == q), F.col("s") / F.col("n")))
-    out = sums.groupBy(*by, "gamma").agg(
-        F.greatest(part("a", "a") + part("b", "b") - 2 * part("a", "b"), F.lit(0.0)).alias("mmd2"))
-    return out.withColumn("mmd", F.sqrt("mmd2"))
-
-
-def mmd_per_feature(tall: DataFrame, max_samples: int = 5000, gamma: float | None = None, seed: int = 0) -> DataFrame:
-    """One-dimensional discrepancy of each feature; ``tall`` has feature, side, value and a row ``key``."""
-    v = tall.select("feature", "side", F.array("value").alias("vector"), "key")
-    return mmd(v, ["feature"], max_samples, gamma, seed)
-
-
 def mmd_outliers(mmds: DataFrame) -> DataFrame:
     """Flags features whose discrepancy is more than one deviation above the mean. One row per feature."""
     w = Window.partitionBy()

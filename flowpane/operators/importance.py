@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowpane.operators.ordered import exact_quantiles, running_totals
 from flowpane.operators.profile import histogram
 
 
 def importance_table(imp: DataFrame) -> DataFrame:
-    """Adds ``rank`` and ``cumulative``, most important first, by name among equals."""
-    w = Window.orderBy(F.desc("importance"), "feature")
-    return imp.withColumns({"rank": F.row_number().over(w),
-                            "cumulative": F.sum("importance").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    """Adds ``rank`` and ``cumulative``, most important first, by name among equals. An ordered scan over ranges of rows."""
+    rows = imp.withColumns({"_o": -F.col("importance"), "_one": F.lit(1)})
+    t = running_totals(rows, [], ["_o", "feature"], ["importance", "_one"])
+    return t.select(*imp.columns, F.col("_one_cum").cast("int").alias("rank"), F.col("importance_cum").alias("cumulative"))
+
+
+def _first(imp: DataFrame, k: int, *order) -> DataFrame:
+    """The first ``k`` rows of an order with their ``rank``: tasks keep ``k`` rows each before they meet."""
+    return imp.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def importance_cutoffs(imp: DataFrame, thresholds: Sequence[float] = (0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
@@ -39,23 +46,26 @@ def features_reaching(imp: DataFrame, threshold: float) -> DataFrame:
 
 def low_importance(imp: DataFrame, thresholds: Sequence[float] = (1e-4, 1e-3, 1e-2), names: int = 5) -> DataFrame:
     """(threshold, features, pct, first): features below each threshold and the first names among them."""
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "feature")))
-    one = imp.agg(ranked.alias("all"))
-    parts = []
-    for x in thresholds:
-        below = F.filter("all", lambda s: -s["o"] < x)
-        parts.append(F.struct(F.lit(float(x)).alias("threshold"), F.size(below).cast("bigint").alias("features"),
-                              (F.size(below) * 100 / F.size("all")).alias("pct"),
-                              F.slice(below, 1, names).getField("feature").alias("first")))
-    return one.select(F.explode(F.array(*parts)).alias("e")).select("e.*")
+    below = [F.col("importance") < float(x) for x in thresholds]
+    one = imp.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(below)])
+    per = one.select("total", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("threshold"), F.col(f"c{i}").alias("features")) for i, x in enumerate(thresholds)])).alias("e"))
+    firsts = reduce(DataFrame.unionByName, [
+        _first(imp.where(c), names, F.desc("importance"), "feature").select(F.lit(i).alias("i"), "rank", "feature") for i, c in enumerate(below)])
+    listed = firsts.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).getField("feature").alias("first"))
+    return (per.select("e.*", "total").join(listed, "i", "left")
+            .select("threshold", "features", (F.col("features") * 100 / F.col("total")).alias("pct"),
+                    F.coalesce("first", F.array().cast("array<string>")).alias("first")))
 
 
 def importance_stats(imp: DataFrame) -> DataFrame:
     """One row: count, mean, median, sample deviation, largest, smallest, and the 0.7 and 0.9 quantiles."""
     i = F.col("importance")
-    q = lambda p: F.percentile(i, F.lit(p))
-    return imp.agg(F.count(i).alias("features"), F.avg(i).alias("mean"), q(0.5).alias("median"), F.stddev_samp(i).alias("std"),
-                   F.max(i).alias("max"), F.min(i).alias("min"), q(0.7).alias("q70"), q(0.9).alias("q90"))
+    q = {r["prob"]: r["value"] for r in exact_quantiles(imp, [], "importance", [0.5, 0.7, 0.9]).collect()}
+    quantile = lambda p: F.lit(q.get(p)).cast("double")
+    return imp.agg(F.count(i).alias("features"), F.avg(i).alias("mean"), F.stddev_samp(i).alias("std"), F.max(i).alias("max"),
+                   F.min(i).alias("min")).select("features", "mean", quantile(0.5).alias("median"), "std", "max", "min",
+                                                 quantile(0.7).alias("q70"), quantile(0.9).alias("q90"))
 
 
 def importance_histogram(imp: DataFrame, bins: int = 50) -> DataFrame:
@@ -67,7 +77,7 @@ def importance_histogram(imp: DataFrame, bins: int = 50) -> DataFrame:
 
 def select_top_k(imp: DataFrame, k: int) -> DataFrame:
     """The ``k`` most important features in their original column order."""
-    return importance_table(imp).where(F.col("rank") <= k).select("ordinal", "feature", "importance").orderBy("ordinal")
+    return _first(imp, k, F.desc("importance"), "feature").select("ordinal", "feature", "importance").orderBy("ordinal")
 
 
 def select_median(imp: DataFrame) -> DataFrame:
@@ -78,7 +88,6 @@ def select_median(imp: DataFrame) -> DataFrame:
 
 def decode_flat(imp: DataFrame, features: int, k: int = 10) -> DataFrame:
     """(rank, idx, time_step, feature_idx, importance) of the ``k`` most important places of a flattened window."""
-    w = Window.orderBy(F.desc("importance"), F.desc("idx"))
-    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+    return _first(imp, k, F.desc("importance"), F.desc("idx")).select(
         "rank", "idx", F.floor(F.col("idx") / features).cast("int").alias("time_step"),
         (F.col("idx") % features).cast("int").alias("feature_idx"), "importance")

@@ -21,7 +21,7 @@ from flowpane.session import materialise, shuffle_width
 SEG = "_seg"
 LOC = "_loc"
 _LOC_MASK = (1 << 33) - 1
-SMALL_TABLE_ROWS = 100_000  # a table counted to be no larger may be broadcast, or ordered by one task
+BROADCAST_ROWS = 100_000  # a table counted to be no larger is sent to all tasks
 
 
 def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -74,17 +74,8 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     ``following``, also that column's value in the next row of the group, ``<following>_next``.
 
     Meant for tables already aggregated to one row per (by, order): equal values must have been merged first, so
-    that a value held by a third of all rows is one row here. The table is written and counted; only one that is
-    known to be small is run through plain windows, a task per group.
+    that a value held by a third of all rows is one row here. Small tables end up in few ranges.
     """
-    df = materialise(df)
-    if df.count() <= SMALL_TABLE_ROWS:
-        group, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*order)
-        new = {f"{c}_cum": F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0)) for c in sums}
-        new.update({f"{c}_all": F.sum(c).over(group) for c in sums})
-        if following:
-            new[f"{following}_next"] = F.lead(following).over(line)
-        return df.withColumns(new)
     seg = range_segments(df, by, order)
     sorted_seg = Window.partitionBy(*by, SEG).orderBy(*order)
     local = sorted_seg.rowsBetween(Window.unboundedPreceding, 0)
@@ -95,7 +86,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
         *by, SEG, *ahead,
         *[F.coalesce(F.sum(c).over(_before(by)), F.lit(0)).alias(f"_b_{c}") for c in sums],
         *[F.sum(c).over(Window.partitionBy(*by)).alias(f"{c}_all") for c in sums])
-    out = null_safe_join(seg, materialise(parts), [*by, SEG])
+    out = null_safe_join(seg, parts, [*by, SEG])
     new = {f"{c}_cum": F.col(f"_b_{c}") + F.sum(c).over(local) for c in sums}
     if following:
         new[f"{following}_next"] = F.coalesce(F.lead(following).over(sorted_seg), F.col("_ahead"))
@@ -154,13 +145,13 @@ def join_by_value(rows: DataFrame, values: DataFrame, on: Sequence[str], n: str
                   written: bool = False) -> DataFrame:
     """Attach a per-value table (key columns and a few numbers) to the rows it was counted from.
 
-    A table of at most ``SMALL_TABLE_ROWS`` values is broadcast: its size has just been counted. Beyond that only
+    A table of at most ``BROADCAST_ROWS`` values is broadcast: its size has just been counted. Beyond that only
     the hot values are: a value is hot when it holds more than one shuffle partition's share of the rows, so there
     are fewer hot values than shuffle partitions. All other values go through an ordinary join.
     """
     values = values if written else materialise(values)
     facts = values.agg(F.count(F.lit(1)).alias("c"), F.sum(n).alias("t"), F.max(n).alias("m")).first()
-    if facts["c"] <= SMALL_TABLE_ROWS:
+    if facts["c"] <= BROADCAST_ROWS:
         return null_safe_join(rows, F.broadcast(values), on, how)
     cut = facts["t"] / shuffle_width(rows.sparkSession)
     if facts["m"] <= cut:
@@ -173,13 +164,8 @@ def join_by_value(rows: DataFrame, values: DataFrame, on: Sequence[str], n: str
 
 
 def number_values(values: DataFrame, order: Sequence[str], pos: str) -> DataFrame:
-    """Number a table of distinct values from 0; written. Small tables are numbered in one task, large ones in ranges."""
-    values = materialise(values)
-    if values.count() <= SMALL_TABLE_ROWS:
-        numbered = values.withColumn(pos, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    else:
-        numbered = with_position(values, [], order, pos=pos, count=None)
-    return materialise(numbered)
+    """Number a table of distinct values from 0; written."""
+    return materialise(with_position(values, [], order, pos=pos, count=None))
 
 
 def forward_fill(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str],

@@ -54,13 +54,14 @@ def split_assess(info: DataFrame) -> DataFrame:
 
 
 def split_by_source(meta: DataFrame, train: Sequence[str], val: Sequence[str], test: Sequence[str],
-                    source: str = "source") -> DataFrame:
+                    source: str = "source", keep_rest: bool = False) -> DataFrame:
     """Split by source: train and val take normal windows; malicious windows of a val source that is also a test
-    source go to test; windows that no rule takes are left out."""
+    source go to test. Windows that no rule takes belong to no part: they are left out, or kept with a null split."""
     s, normal = F.col(source), F.col("is_malicious") == 0
     rule = (F.when(s.isin(*train) & normal, "train").when(s.isin(*val) & normal, "val")
             .when(s.isin(*test) & (~s.isin(*val) | ~normal), "test"))
-    return meta.withColumn("split", rule).where("split is not null")
+    out = meta.withColumn("split", rule)
+    return out if keep_rest else out.where("split is not null")
 
 
 def split_purity(split: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Dense vectors: class prototypes, pairwise cosines and kernel sums, by blocks.
+"""Dense vectors: class prototypes and pairwise cosines, by blocks.
 
 All-pairs quantities are computed on block cells: vectors are dealt into blocks of bounded size, each unordered pair
 of blocks is one cell, and a vector is sent to the cells its block takes part in. A cell is one matrix product; what
@@ -7,8 +7,6 @@ leaves it is a few sums, unless the pairs themselves are the result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,39 +79,3 @@ def cosine_matrix(df: DataFrame, key: str, vector: str) -> DataFrame:
         return pd.concat([one, one.rename(columns={"a": "b", "b": "a"})[["a", "b", "cosine"]]], ignore_index=True)
 
     return _unit_cells(df, key, vector).groupBy("_i", "_j").applyInPandas(cell, f"a {kind}, b {kind}, cosine double")
-
-
-def kernel_sums(df: DataFrame, by: Sequence[str], side: str, vector: str, key: str, rows: int,
-                kernel: Callable[[np.ndarray], np.ndarray], scale: str | None = None) -> DataFrame:
-    """(by, side_a, side_b, n, s): number and sum of ``kernel(squared distance * scale)`` over the ordered pairs
-    between and within the sides, for each ``by`` group. ``rows`` bounds the rows of a group."""
-    by = list(by)
-    blocked, blocks = with_block(df, key, rows)
-    kinds = dict(df.dtypes)
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[vector]])
-        sides = pdf[side].to_numpy()
-        block = pdf["_block"].to_numpy()
-        factor = float(pdf[scale].iloc[0]) if scale else 1.0
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        out = []
-        for p in np.unique(sides):
-            for q in np.unique(sides):
-                a, b = m[(block == i) & (sides == p)], m[(block == j) & (sides == q)]
-                if not len(a) or not len(b):
-                    continue
-                d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-                k = kernel(d2 * factor)
-                out.append((p, q, k.size, k.sum()))
-                if i != j:
-                    out.append((q, p, k.size, k.sum()))
-        frame = pd.DataFrame(out, columns=["side_a", "side_b", "n", "s"])
-        for c in by:
-            frame[c] = pdf[c].iloc[0]
-        return frame[[*by, "side_a", "side_b", "n", "s"]]
-
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"side_a {kinds[side]}", f"side_b {kinds[side]}",
-                        "n bigint", "s double"])
-    parts = block_cells(blocked, blocks).groupBy(*by, "_i", "_j").applyInPandas(cell, schema)
-    return parts.groupBy(*by, "side_a", "side_b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))

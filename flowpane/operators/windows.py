@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from flowpane.functions import labels as L
 from flowpane.functions import vocabulary as V
-from flowpane.operators.ordered import null_safe_join, with_position
+from flowpane.operators.ordered import null_safe_join, running_totals, with_position
 
 
 @dataclass(frozen=True)
@@ -141,27 +141,46 @@ def window_labels(df: DataFrame, spec: WindowSpec, min_ratio: float = 0.0) -> Da
         "is_malicious": (F.col("n_malicious") / spec.size > min_ratio).cast("int")})
 
 
-def window_meta(df: DataFrame, spec: WindowSpec, min_ratio: float = 0.0) -> DataFrame:
-    """Per window: bounds, times, label, attack counts, primary attack and the row labels in order.
+def attack_counts(df: DataFrame, spec: WindowSpec) -> DataFrame:
+    """(source, window_id, attack, n): the malicious rows of each window by label, windows without one left out.
 
-    ``primary_attack`` is the most frequent attack, the alphabetically first among equals.
+    Rows of one attack that enter and leave at the same windows are one count. A count is added where it enters and taken off
+    where it leaves; the running sum of these differences along a source's windows is what a window holds, constant between two
+    borders. Only attacks are touched, and no labels are gathered. A missing label is an attack of unknown kind.
     """
-    mal = L.is_malicious(F.col(spec.label), spec.benign)
-    pane = {"t0": F.min_by(spec.ts, "pos"), "t1": F.max_by(spec.ts, "pos"), "m": F.sum(mal),
-            "piece": F.sort_array(F.collect_list(F.struct("pos", F.col(spec.label).alias("label"))))}
-    over = {"start_time": F.first("t0"), "end_time": F.last("t1"), "n_malicious": F.sum("m"),
-            "pieces": F.collect_list("piece")}
-    wins = pane_windows(df, spec, pane, over, whole_rows=True)
-    wins = wins.withColumn("original_labels", F.flatten("pieces").getField("label")).drop("pieces")
-    attacks = F.filter("original_labels", lambda x: x != spec.benign)
-    counted = F.transform(F.sort_array(F.array_distinct(attacks)), lambda a: F.struct(
-        a.alias("label"), F.size(F.filter("original_labels", lambda x: x == a)).cast("bigint").alias("n")))
-    ranked = F.sort_array(F.transform("_c", lambda s: F.struct((-s["n"]).alias("o"), s["label"].alias("label"))))
-    return (wins.withColumn("is_malicious", (F.col("n_malicious") / spec.size > min_ratio).cast("int"))
-            .withColumn("_c", counted)
-            .withColumn("attack_types", F.map_from_entries("_c"))
-            .withColumn("primary_attack", F.try_element_at(ranked, F.lit(1)).getField("label"))
-            .drop("_c"))
+    first = F.expr(f"greatest(0L, (pos - {spec.size} + {spec.step}) div {spec.step})")
+    after = F.expr(f"least((n_rows - {spec.size}) div {spec.step}, pos div {spec.step}) + 1")
+    bad = df.where((F.col("n_rows") >= spec.size) & (L.is_malicious(F.col(spec.label), spec.benign) == 1))
+    spans = (bad.select(spec.source, F.coalesce(F.col(spec.label), F.lit(V.UNKNOWN)).alias("attack"), first.alias("_f"), after.alias("_t"))
+             .where("_f < _t").groupBy(spec.source, "attack", "_f", "_t").agg(F.count(F.lit(1)).alias("_n")))
+    border = F.explode(F.array(F.struct(F.col("_f").alias("w"), F.col("_n").alias("d")), F.struct(F.col("_t").alias("w"), (-F.col("_n")).alias("d"))))
+    borders = (spans.select(spec.source, "attack", border.alias("b")).groupBy(spec.source, "attack", F.col("b.w").alias("w"))
+               .agg(F.sum("b.d").alias("d")).where("d <> 0"))
+    runs = running_totals(borders, [spec.source, "attack"], ["w"], ["d"], following="w").where("d_cum > 0")
+    return runs.select(spec.source, F.explode(F.sequence(F.col("w"), F.col("w_next") - 1)).alias("window_id"), "attack", F.col("d_cum").alias("n"))
+
+
+def window_meta(df: DataFrame, spec: WindowSpec, min_ratio: float = 0.0, original_labels: bool = False) -> DataFrame:
+    """Per window: bounds, times, label, attack counts, primary attack and, if asked for, the row labels in order.
+
+    ``primary_attack`` is the most frequent attack, the alphabetically first among equals. The counts of ``attack_types`` add up to
+    ``n_malicious``: a missing label is malicious and counts as unknown.
+    """
+    pane = {"t0": F.min_by(spec.ts, "pos"), "t1": F.max_by(spec.ts, "pos"), "m": F.sum(L.is_malicious(F.col(spec.label), spec.benign))}
+    over = {"start_time": F.first("t0"), "end_time": F.last("t1"), "n_malicious": F.sum("m")}
+    if original_labels:
+        pane["piece"] = F.sort_array(F.collect_list(F.struct("pos", F.col(spec.label).alias("label"))))
+        over["pieces"] = F.collect_list("piece")
+    wins = pane_windows(df, spec, pane, over, whole_rows=original_labels)
+    if original_labels:
+        wins = wins.withColumn("original_labels", F.flatten("pieces").getField("label")).drop("pieces")
+    counts = attack_counts(df, spec).groupBy(spec.source, "window_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("attack").alias("label"), "n"))).alias("_c"),
+        F.min(F.struct((-F.col("n")).alias("o"), F.col("attack").alias("label"))).getField("label").alias("primary_attack"))
+    out = null_safe_join(wins, counts, [spec.source, "window_id"], "left")
+    none = F.array().cast("array<struct<label:string,n:bigint>>")
+    return (out.withColumn("is_malicious", (F.col("n_malicious") / spec.size > min_ratio).cast("int"))
+            .withColumn("attack_types", F.map_from_entries(F.coalesce("_c", none))).drop("_c"))
 
 
 def source_sizes(df: DataFrame, spec: WindowSpec, source_order: Sequence[str] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ class WindowSet:
 def build_window_set(clean: DataFrame, spec: WindowSpec, order: Sequence[str], features: Sequence[str],
                      source_order: Sequence[str] | None = None) -> WindowSet:
     """Drop the columns nobody asked for, number the rows of each source, and size the sources."""
-    slim = clean.select(spec.source, spec.label, *[c for c in dict.fromkeys([spec.ts, *order, *features])])
+    slim = clean.select(*dict.fromkeys([spec.source, spec.label, spec.ts, *order, *features]))
     flows = W.position_flows(slim, spec, order)
     sizes = materialise(W.source_sizes(flows, spec, source_order))
     return WindowSet(flows, sizes, total_windows(sizes), spec)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +29,38 @@ def _header_names(line: str) -> list[str]:
     return names
 
 
+#: Jobs that read first lines at the same time.
+HEADER_JOBS = 16
+
+
+def list_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The data files under ``path``, by any path that Spark can read; no file is opened."""
+    paths = [path] if isinstance(path, str) else list(path)
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(paths).select("path").collect())
+
+
+def _pattern_safe(file: str) -> str:
+    """A file name as the pattern that only it matches."""
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", file)
+
+
+def first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is not blank; a job with one task that stops there, so a few kilobytes are read."""
+    lines = (spark.read.option("encoding", "ISO-8859-1").option("sep", chr(1)).option("quote", "").schema("line string").csv(_pattern_safe(file)))
+    found = lines.where(F.length(F.trim("line")) > 0).head(1)
+    return found[0]["line"] if found else None
+
+
 def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
-    """The files of ``path`` by their first line. One row per file comes to the driver."""
-    lines = (spark.read.option("encoding", "ISO-8859-1").option("sep", chr(1)).option("quote", "").schema("line string").csv(path)
-             .where(F.col("_metadata.file_block_start") == 0).select(F.col("_metadata.file_path").alias("file"), "line")
-             .withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("line", "at").alias("line")))
+    """The files of ``path`` (as patterns) by their first line that is not blank; files without one are left out, as they
+    have no rows. One name and one line per file come to the driver."""
+    files = list_files(spark, path)
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f), files))
     found: dict[str, list[str]] = {}
-    for file, line in sorted((r["file"], r["line"]) for r in lines.collect() if r["line"]):
-        # paths are URIs here, and patterns where they are read
-        found.setdefault(line, []).append(re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(file)))
+    for file, line in zip(files, lines, strict=True):
+        if line is not None:
+            found.setdefault(line, []).append(_pattern_safe(file))
     return found
 
 

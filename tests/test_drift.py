@@ -41,20 +41,6 @@ def test_pvalue(spark):
     assert p[0] == 1.0 and p[1] == pytest.approx(0.0495, abs=2e-3) and p[2] < 1e-9
 
 
-def test_mmd_equals_brute_force(spark):
-    rng = np.random.default_rng(4)
-    a, b = rng.normal(size=(60, 3)), rng.normal(0.8, 1, size=(50, 3))
-    rows = [("a", v.tolist(), f"a{i}") for i, v in enumerate(a)] + [("b", v.tolist(), f"b{i}") for i, v in enumerate(b)]
-    df = spark.createDataFrame(rows, "side string, vector array<double>, key string")
-    d2 = lambda x, y: ((x[:, None] - y[None]) ** 2).sum(-1)
-    k = lambda x, y, g: np.exp(-g * d2(x, y)).mean()
-    want = lambda g: k(a, a, g) + k(b, b, g) - 2 * k(a, b, g)
-    assert I.mmd(df, gamma=0.3).first()["mmd2"] == pytest.approx(want(0.3))
-    auto = I.mmd(df).first()
-    g = 1 / (2 * np.median(np.sqrt(d2(a, b))) ** 2 + 1e-10)
-    assert auto["gamma"] == pytest.approx(g) and auto["mmd2"] == pytest.approx(want(g))
-
-
 def test_block_cells_see_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(V, "with_block", lambda df, key, rows, block_rows=0: (
         df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(5)).cast("int")), 5))
@@ -67,12 +53,6 @@ def test_block_cells_see_each_pair_once(spark, monkeypatch):
     assert (s["mean"], s["max"], s["min"]) == pytest.approx((off.mean(), off.max(), off.min()))
     m = V.cosine_matrix(df, "id", "v").toPandas()
     assert len(m) == 83 * 83 and np.allclose(m["cosine"], g[m["a"], m["b"]])
-    # kernel sums with several blocks
-    d = df.withColumn("side", F.when(F.col("id") % 2 == 0, "a").otherwise("b")).withColumn("key", F.col("id").cast("string"))
-    sums = {(r.side_a, r.side_b): (r.n, r.s) for r in V.kernel_sums(d, [], "side", "v", "key", 83, lambda z: np.exp(-0.1 * z)).collect()}
-    a, b = x[::2], x[1::2]
-    k = np.exp(-0.1 * ((a[:, None] - b[None]) ** 2).sum(-1))
-    assert sums[("a", "b")] == (k.size, pytest.approx(k.sum())) and sums[("b", "a")] == (k.size, pytest.approx(k.sum()))
 
 
 def test_band_weight_shape(spark):

@@ -80,7 +80,7 @@ def test_ranking_metrics(df, pdf):
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_rank_fusion(df, pdf, small, monkeypatch):
     from flowpane.operators import ordered
-    monkeypatch.setattr(ordered, "SMALL_TABLE_ROWS", small)
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", small)
     got = J.rank_fuse(df.withColumn("other", -F.col("id")), ["score", "other"]).toPandas().set_index("id")["fused_score"]
     g = pdf.assign(other=-pdf["id"]).groupby("split")
     norm = lambda c: (g[c].rank() - 1) / (g[c].transform("size") - 1)

@@ -16,9 +16,9 @@ def skewed():
     return pd.DataFrame({"key": key, "ts": ts, "id": rng.permutation(n), "v": rng.integers(0, 30, n) / 10.0})
 
 
-@pytest.fixture(autouse=True, params=[0, 100_000], ids=["ranges", "small"])
+@pytest.fixture(autouse=True, params=[0, 100_000], ids=["hot_values", "broadcast"])
 def table_size_rule(request, monkeypatch):
-    monkeypatch.setattr(O, "SMALL_TABLE_ROWS", request.param)
+    monkeypatch.setattr(O, "BROADCAST_ROWS", request.param)
 
 
 def test_position_equals_pandas(spark, skewed):

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from flowpane.functions import vocabulary as V
@@ -79,3 +81,25 @@ def test_files_with_different_headers_keep_their_values(spark, tmp_path):
     assert rows == [("80", "5", "Web Attack \x96 XSS"), ("81", "6", "BENIGN")]
     b = harmonise_columns(df).where("Label IS NULL").first()
     assert (b["Destination Port"], b["Total Fwd Packets"], b["Twice"], b["Twice.1"], b["source"]) == ("443", "7", "x", "y", "b.csv")
+
+
+def test_header_discovery_reads_first_lines_only(spark, tmp_path):
+    """A file of 6 GB (sparse: header, two rows, then one endless line) has its header found at once, and files are not opened to be listed."""
+    with (tmp_path / "huge.csv").open("wb") as f:
+        f.write(b"\n  \nLabel,Port\nBENIGN,80\nBENIGN,81\n")
+        f.truncate(6 << 30)
+    for i in range(30):
+        (tmp_path / f"day {i}.csv").write_text("Label,Port\nBENIGN,1\n" if i % 2 else "Port,Label\n1,BENIGN\n")
+    (tmp_path / "blank.csv").write_text("\n \n")
+    start = time.monotonic()
+    found = R.files_by_header(spark, str(tmp_path))
+    assert time.monotonic() - start < 30
+    assert {k: len(v) for k, v in found.items()} == {"Label,Port": 16, "Port,Label": 15}
+
+
+def test_blank_lines_before_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n\nLabel,Port\nBENIGN,80\n")
+    (tmp_path / "b.csv").write_text("Port,Label\n81,BENIGN\n")
+    (tmp_path / "c.csv").write_text("\n")
+    df = R.read_flows(spark, str(tmp_path))
+    assert sorted((r["Label"], r["Port"], r["source"]) for r in df.collect()) == [("BENIGN", "80", "a.csv"), ("BENIGN", "81", "b.csv")]

@@ -41,7 +41,7 @@ def test_meta_equals_brute_force(spark, flows, size, step):
     spec = WindowSpec(size, step)
     pos = W.position_flows(spark.createDataFrame(flows), spec, ["ts"])
     got = {(r.source, r.window_id): (r.start_idx, r.end_idx, r.start_time, r.end_time, r.is_malicious, r.n_malicious,
-                                     r.attack_types, r.primary_attack, r.original_labels) for r in W.window_meta(pos, spec).collect()}
+                                     r.attack_types, r.primary_attack, r.original_labels) for r in W.window_meta(pos, spec, original_labels=True).collect()}
     assert got == brute(flows, size, step)
 
 
@@ -98,3 +98,23 @@ def test_balanced_split_falls_back(spark):
                                  "source string, window_id bigint, global_window_id bigint, is_malicious int")
     p = X.balanced_points(meta).first()
     assert (p["train_end"], p["val_end"], p["fallback"]) == (26, 32, True)
+
+
+@pytest.mark.parametrize("size,step", SPECS)
+def test_attack_counts_add_up_with_missing_labels(spark, flows, size, step):
+    """A missing label is malicious and an attack of unknown kind: every window's counts sum to its malicious rows."""
+    spec = WindowSpec(size, step)
+    holes = flows.assign(label=[None if i % 11 == 3 else x for i, x in enumerate(flows["label"])])
+    meta = W.window_meta(W.position_flows(spark.createDataFrame(holes), spec, ["ts"]), spec)
+    assert "original_labels" not in meta.columns
+    want = brute(holes.assign(label=holes["label"].fillna("Unknown")), size, step)
+    got = {(r.source, r.window_id): (r.n_malicious, r.attack_types, r.primary_attack) for r in meta.collect()}
+    assert got == {k: (v[5], v[6], v[7]) for k, v in want.items()}
+    assert all(n == sum(c.values()) for n, c, _ in got.values())
+
+
+def test_attack_counts_gather_no_lists(spark, flows):
+    spec = WindowSpec(20, 5)
+    pos = W.position_flows(spark.createDataFrame(flows), spec, ["ts"])
+    plan = W.attack_counts(pos, spec)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -80,23 +80,43 @@ def _(spark, sf):
         F.countDistinct(F.trim("Label")).alias("labels"))
 
 
+@query("two_header_csv_flows", "A1 B1", f"""WITH {DIRTY}
+SELECT source, event_id, trim(label_text) AS label, trim(value_text) AS value_text, trim(k_text) AS packets, CASE WHEN event_id % 2 = 1 THEN event_type END AS only_odd
+FROM dirty""")
+def _(spark, sf):
+    # one folder, two kinds of file: other names, other order, another column
+    path = scratch_path(spark, "headers")
+    d = dirty(spark, sf)
+    even = d.where("event_id % 2 = 0").select("event_id", F.col("label_text").alias("Label"), F.col("k_text").alias("Tot Fwd Pkts"), "value_text", "source")
+    odd = d.where("event_id % 2 = 1").select("source", F.col("k_text").alias("Total Fwd Packets"), F.col("event_type").alias("only odd"),
+                                             F.col("label_text").alias(" Label"), "value_text", "event_id")
+    for part in (even, odd):
+        part.write.mode("append").option("header", True).csv(path)
+    df = C.harmonise_columns(R.read_flows(spark, path, tag=None))
+    return df.select("source", F.col("event_id").cast("bigint").alias("event_id"), F.trim("Label").alias("label"), F.trim("value_text").alias("value_text"),
+                     F.trim("Total Fwd Packets").alias("packets"), F.col("only odd").alias("only_odd"))
+
+
 @query("headerless_csv_flows", "A2 B4 B8 B20", f"""WITH {DIRTY},
 raw AS (SELECT CAST(TRY_CAST(epoch_text AS DOUBLE) AS BIGINT) AS s, event_type,
   TRY_CAST(trim(value_text) AS DOUBLE) AS v,
   CASE WHEN flag = 0 OR coalesce(trim(category), '') IN ('', 'nan', 'None', 'Normal') THEN 'Benign'
-       WHEN trim(category) = 'Backdoor' THEN 'Backdoors' ELSE trim(category) END AS label FROM dirty WHERE rn = 0),
+       WHEN trim(category) = 'Backdoor' THEN 'Backdoors' ELSE trim(category) END AS label, event_id FROM dirty),
+once AS (SELECT *, row_number() OVER (PARTITION BY event_type, coalesce(CASE WHEN isinf(v) THEN 0 ELSE v END, 0), event_id
+  ORDER BY s, label) AS pick FROM raw WHERE s IS NOT NULL),
 codes AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS proto FROM (SELECT DISTINCT event_type FROM raw))
 SELECT label, count(*) AS flow_rows, CAST(sum(proto) AS DOUBLE) AS proto_sum,
        round(sum(CASE WHEN isinf(v) THEN 0 ELSE coalesce(v, 0) END), 2) AS dur_sum
-FROM raw JOIN codes USING (event_type) WHERE s IS NOT NULL GROUP BY label""")
+FROM once JOIN codes USING (event_type) WHERE pick = 1 GROUP BY label""")
 def _(spark, sf):
     values = {"proto": F.col("event_type"), "state": F.lit("CON"), "service": F.lit("-"),
               "dur": F.col("value_text"), "Stime": F.col("epoch_text"), "Ltime": F.col("epoch_text"),
               "sbytes": F.col("event_id").cast("string"), "attack_cat": F.col("category"),
               "label": F.col("flag").cast("string"), "ct_ftp_cmd": F.lit(" ")}
     path = scratch_path(spark, "headerless")
-    rows = dirty(spark, sf).where("rn = 0").select(*[values.get(c, F.lit("0")).alias(c) for c in V.HEADERLESS_COLUMNS])
-    rows.write.option("header", False).csv(path)
+    rows = dirty(spark, sf).select(*[values.get(c, F.lit("0")).alias(c) for c in V.HEADERLESS_COLUMNS])
+    # a file is a source, and copies are found within their source
+    rows.repartition("sbytes").write.option("header", False).csv(path)
     df = clean_headerless(R.read_flows(spark, path, R.headerless_schema()))
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("flow_rows"), F.sum("proto").alias("proto_sum"),
                                    F.round(F.sum("dur"), 2).alias("dur_sum"))
@@ -110,11 +130,11 @@ def _(spark, sf):
 
 
 @query("clean_parquet_by_source", "A4", f"""WITH {FLOWS_SQL}
-SELECT source, event_id, label, value FROM flows WHERE source >= '2024-01-10'""")
+SELECT source, event_id, label, value FROM flows""")
 def _(spark, sf):
     path = scratch_path(spark, "clean")
     W.write_clean(flows(spark, sf), path)
-    return R.read_clean(spark, path).where("source >= '2024-01-10'").select("source", "event_id", "label", "value")
+    return R.read_clean(spark, path).select("source", "event_id", "label", "value")
 
 
 @query("union_of_sources", "A5", """
@@ -127,11 +147,15 @@ def _(spark, sf):
 
 
 @query("class_extracts", "A6", f"""WITH {FLOWS_SQL}
-SELECT event_id, label, value FROM flows WHERE label <> 'Benign'""")
+SELECT 'malicious' AS extract, event_id, label, value FROM flows WHERE label <> 'Benign'
+UNION ALL SELECT 'benign', event_id, label, value FROM flows WHERE label = 'Benign'
+UNION ALL SELECT 'all', event_id, label, value FROM flows""")
 def _(spark, sf):
     path = scratch_path(spark, "classes")
     W.write_by_class(flows(spark, sf), path)
-    return spark.read.parquet(path).where("is_malicious = 1").select("event_id", "label", "value")
+    every = spark.read.parquet(path)
+    extracts = {"malicious": every.where("is_malicious = 1"), "benign": every.where("is_malicious = 0"), "all": every}
+    return R.union_sources({k: d.select("event_id", "label", "value") for k, d in extracts.items()}, "extract")
 
 
 @query("window_set_round_trip", "A7", f"""WITH {META_SQL}

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from flowpane.operators import windows as W
+from flowpane.plans.clean_job import CleanSpec, clean_flows
 from flowpane.plans.detection_job import detection_report, score_windows
 from flowpane.plans.drift_job import feature_drift, frequency_drift
 from flowpane.plans.window_job import build_window_set
 from flowpane.session import materialise
+from flowpane.sources.readers import read_flows
+from workload.cleaning import CLEANED, SECONDS, raw_flows, scratch_path
 from workload.inputs import EVENT_ORDER, FEATURES, SPEC, flows, query
 
 
@@ -26,3 +32,38 @@ def _(spark, sf):
 @query("frequency_drift_job", "I10 I11")
 def _(spark, sf):
     return frequency_drift(window_set(spark, sf), FEATURES)
+
+
+RAW_WINDOWS = "cleaned AS (" + CLEANED.format("ts IS NOT NULL AND value IS NOT NULL AND k IS NOT NULL", "value", "k", "value", "k").replace(
+    "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts", "ts") + """),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts, "Flow Bytes/s", "Total Fwd Packets", label) - 1 AS pos,
+  count(*) OVER (PARTITION BY source) AS n_rows FROM cleaned),
+win AS (SELECT *, pos - window_id * 20 AS woff FROM (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((pos - 99) / 20.0) AS BIGINT)),
+  least((n_rows - 100) // 20, pos // 20))) AS window_id FROM placed WHERE n_rows >= 100)),
+per AS (SELECT source, window_id, count(*) FILTER (label <> 'Benign') AS n_malicious, sum("Flow Bytes/s") AS total, min(ts) AS t0, max(ts) AS t1
+  FROM win GROUP BY ALL),
+gid AS (SELECT *, row_number() OVER (ORDER BY source, window_id) - 1 AS global_window_id, count(*) OVER () AS n FROM per)"""
+
+
+@query("raw_folder_to_windows", "A1 A5 B1 B7 B11 B13 B17 D1 D2 D3 D4 D8 D11 E1", f"""WITH {RAW_WINDOWS}
+SELECT source, window_id, global_window_id, CAST(n_malicious > 0 AS INTEGER) AS is_malicious, n_malicious, round(total, 4) AS total,
+  strftime(t0, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(t1, '%Y-%m-%d %H:%M:%S') AS end_time,
+  CASE WHEN global_window_id < CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN global_window_id < CAST(floor(n * (0.6 + 0.2)) AS BIGINT) THEN 'val'
+  ELSE 'test' END AS split FROM gid""")
+def _(spark, sf):
+    """A folder of raw CSVs under two headers, to windows of all sources in one sequence with their split."""
+    path = scratch_path(spark, "raw")
+    raw = raw_flows(spark, sf)
+    odd = F.xxhash64("Timestamp", "Flow Byts/s") % 2 != 0
+    raw.where(~odd).write.mode("append").option("header", True).csv(path)
+    other = {"Flow Byts/s": "Flow Bytes/s", "Tot Fwd Pkts": "Total Fwd Packets"}
+    raw.where(odd).select("Flow ID", "Label", *[F.col(c).alias(n) for c, n in other.items()], "source", "Timestamp").write.mode("append").option(
+        "header", True).csv(path)
+    clean = clean_flows(read_flows(spark, path, tag=None), CleanSpec(ts_format=SECONDS, na_policy="drop"))
+    features = ["Flow Bytes/s", "Total Fwd Packets"]
+    windows = build_window_set(clean, SPEC, ["ts", *features, "label"], features)
+    sums = W.pane_windows(windows.flows, SPEC, {"s": F.sum("Flow Bytes/s"), "t0": F.min("ts"), "t1": F.max("ts")},
+                          {"total": F.sum("s"), "start_time": F.min("t0"), "end_time": F.max("t1")})
+    both = windows.labels().join(sums.drop("start_idx", "end_idx"), ["source", "window_id"])
+    return both.select("source", "window_id", "global_window_id", "is_malicious", "n_malicious", F.round("total", 4).alias("total"),
+                       *[F.date_format(c, SECONDS).alias(c) for c in ("start_time", "end_time")], "split")

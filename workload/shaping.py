@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowpane.operators import long_series as LS
 from flowpane.operators import memory as M
 from flowpane.operators import series as D
 from flowpane.operators import vectors as V
@@ -112,11 +113,11 @@ def _(spark, sf):
 
 
 @query("spectrum_phase", "G7", f"""WITH {DFT_SQL}
-SELECT source, window_id, channel, bin, CASE WHEN bin NOT IN (0, 50) THEN round(atan2(im, re), 4) + 0.0 END AS phase
-FROM dft WHERE bin NOT IN (0, 50)""")
+SELECT source, window_id, channel, bin, CASE WHEN bin NOT IN (0, 50) THEN round(atan2(im, re), 4) + 0.0 WHEN round(re, 6) < 0 THEN round(pi(), 4) ELSE 0 END AS phase
+FROM dft""")
 def _(spark, sf):
     s = G.by_bin(G.rfft_phase(series(spark, sf)), "phase", "phase")
-    return s.where("bin not in (0, 50)").select(
+    return s.select(
         "source", "window_id", "channel", F.col("bin").cast("bigint").alias("bin"),
         (F.round("phase", 4) + 0.0).alias("phase"))
 
@@ -302,9 +303,9 @@ curve AS (SELECT ts, event_id, label, sum(value) OVER w AS value, sum(k) OVER w
 
 
 def curve(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("source").orderBy(*EVENT_ORDER).rowsBetween(-9, 0)
-    return flows(spark, sf).select("ts", "event_id", "label", *[F.sum(f).over(w).alias(f) for f in FEATURES])
+    sums = {f"_{f}": (lambda f=f: F.sum(f)) for f in FEATURES}
+    rows = LS.framed(flows(spark, sf), ["source"], EVENT_ORDER, sums, 9)
+    return rows.select("ts", "event_id", "label", *[F.col(f"_{f}").alias(f) for f in FEATURES])
 
 
 def memory_sql(by=""):
@@ -389,6 +390,68 @@ def _(spark, sf):
     return at_rows(D.delay_aggregate(n), "aggregated", digits=5)
 
 
+# ---- long series ---------------------------------------------------------------------------------------------------
+
+LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+LINE_SERIES = f"""line AS (SELECT l_returnflag AS key, l_orderkey AS id, l_linenumber AS line, l_extendedprice AS x,
+  row_number() OVER (PARTITION BY l_returnflag ORDER BY {', '.join(LINE_ORDER)}) - 1 AS pos FROM lineitem)"""
+
+
+def long_ema_sql(src, out, alpha, terms):
+    """Exponential average as a weighted sum of the last ``terms`` values: weights beyond are below 1e-16."""
+    return f"""{out} AS MATERIALIZED (SELECT a.key, a.pos, sum(b.x * CASE WHEN b.pos = 0 THEN pow({1 - alpha}, i) ELSE {alpha} * pow({1 - alpha}, i) END) AS x
+  FROM (SELECT key, pos, unnest(range(least(pos + 1, {terms}))) AS i FROM {src}) a JOIN {src} b ON b.key = a.key AND b.pos = a.pos - a.i GROUP BY a.key, a.pos)"""
+
+
+def line_series(spark, sf):
+    return table(spark, sf, "lineitem").select(*LINE_ORDER, "l_returnflag")
+
+
+@query("long_series_ema", "H3", f"""WITH {LINE_SERIES}, {long_ema_sql('line', 'one', 0.1, 350)}
+SELECT key, id, line, l.x AS value, round(one.x, 2) AS trend FROM line l JOIN one USING (key, pos)""")
+def _(spark, sf):
+    e = LS.exponential_mean(line_series(spark, sf), ["l_returnflag"], LINE_ORDER, "l_extendedprice", 0.1)
+    return e.select(F.col("l_returnflag").alias("key"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+                    F.col("l_extendedprice").alias("value"), F.round("trend", 2).alias("trend"))
+
+
+@query("long_series_double_ema", "H4", f"""WITH {LINE_SERIES}, {long_ema_sql('line', 'one', 0.3, 110)}, {long_ema_sql('one', 'two', 0.3, 110)}
+SELECT key, id, line, round(2 * one.x - two.x, 2) AS trend FROM line JOIN one USING (key, pos) JOIN two USING (key, pos)""")
+def _(spark, sf):
+    e = LS.exponential_mean(line_series(spark, sf), ["l_returnflag"], LINE_ORDER, "l_extendedprice", 0.3, double=True)
+    return e.select(F.col("l_returnflag").alias("key"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+                    F.round("trend", 2).alias("trend"))
+
+
+@query("long_series_decomposition", "H1 H2 H5", f"""WITH {LINE_SERIES},
+m AS (SELECT *, avg(x) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS trend,
+  avg(x) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS past FROM line)
+SELECT key, id, line, round(trend, 2) AS trend, round(x - trend, 2) + 0.0 AS residual, round(past, 2) AS past FROM m""")
+def _(spark, sf):
+    means = {"trend": (12, 12), "past": (24, 0)}
+    rows = line_series(spark, sf)
+    for name, (before, after) in means.items():
+        rows = LS.framed(rows, ["l_returnflag"], LINE_ORDER, {name: lambda: F.avg("l_extendedprice")}, before, after)
+    return rows.select(F.col("l_returnflag").alias("key"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+                       F.round("trend", 2).alias("trend"), (F.round(F.col("l_extendedprice") - F.col("trend"), 2) + 0.0).alias("residual"),
+                       F.round("past", 2).alias("past"))
+
+
+@query("series_files_ema", "H3 A1", f"""WITH series AS (SELECT CAST(ascii(o_orderstatus) AS DOUBLE) AS key, o_totalprice AS x,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), {long_ema_sql('series', 'one', 0.3, 110)}
+SELECT key AS code, CAST(pos AS INTEGER) AS t, round(x, 2) AS trend FROM one""")
+def _(spark, sf):
+    from flowpane.operators.ordered import with_position
+    from flowpane.sources.readers import read_series
+    from workload.cleaning import scratch_path
+    path = scratch_path(spark, "series")
+    o = with_position(table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderdate", "o_orderkey"])
+    rows = o.select(F.col("pos").alias("time_step"), F.col("o_totalprice").alias("value"), F.ascii("o_orderstatus").alias("code"))
+    rows.repartition("code").sortWithinPartitions("time_step").write.option("header", True).csv(path)
+    e = LS.exponential_mean(read_series(spark, path), ["series_id", "code"], ["t"], "value", 0.3)
+    return e.select("code", "t", F.round("trend", 2).alias("trend"))
+
+
 PROTO_SQL = """proto AS (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(1, 65)) AS i,
   CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label, i),
 nrm AS (SELECT label, sqrt(sum(v * v)) AS n FROM proto GROUP BY label),

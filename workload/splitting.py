@@ -70,26 +70,26 @@ def _(spark, sf):
 
 TRAIN_DAYS = [f"2024-01-{d:02d}" for d in range(1, 11)]
 VAL_DAYS = [f"2024-01-{d:02d}" for d in range(11, 16)]
-TEST_DAYS = [f"2024-01-{d:02d}" for d in range(13, 29)]
+TEST_DAYS = [f"2024-01-{d:02d}" for d in range(13, 32)]
 quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
 BY_SOURCE_SQL = META_SQL + f""", bysource AS (
-SELECT * FROM (SELECT meta.*, CASE WHEN source IN ({quoted(TRAIN_DAYS)}) AND is_malicious = 0 THEN 'train'
+SELECT meta.*, CASE WHEN source IN ({quoted(TRAIN_DAYS)}) AND is_malicious = 0 THEN 'train'
   WHEN source IN ({quoted(VAL_DAYS)}) AND is_malicious = 0 THEN 'val'
   WHEN source IN ({quoted(TEST_DAYS)}) AND (source NOT IN ({quoted(VAL_DAYS)}) OR is_malicious = 1) THEN 'test' END AS split
-  FROM meta) WHERE split IS NOT NULL)"""
+  FROM meta)"""
 
 
 @query("split_by_source", "E3", f"""WITH {BY_SOURCE_SQL} SELECT source, window_id, split FROM bysource""")
 def _(spark, sf):
     m, _n = with_labels(spark, sf)
-    return X.split_by_source(m, TRAIN_DAYS, VAL_DAYS, TEST_DAYS).select("source", "window_id", "split")
+    return X.split_by_source(m, TRAIN_DAYS, VAL_DAYS, TEST_DAYS, keep_rest=True).select("source", "window_id", "split")
 
 
 @query("split_purity", "E4", f"""WITH {BY_SOURCE_SQL}
 SELECT split, count(*) AS windows, round(avg(is_malicious) * 100, 6) AS anomaly_rate FROM bysource GROUP BY split""")
 def _(spark, sf):
     m, _n = with_labels(spark, sf)
-    return rounded(X.split_purity(X.split_by_source(m, TRAIN_DAYS, VAL_DAYS, TEST_DAYS)))
+    return rounded(X.split_purity(X.split_by_source(m, TRAIN_DAYS, VAL_DAYS, TEST_DAYS, keep_rest=True)))
 
 
 BALANCED_SQL = META_SQL + """,

@@ -59,7 +59,7 @@ SELECT source, window_id, start_idx, end_idx, strftime(start_time, '%Y-%m-%d %H:
        coalesce(attack_types, '') AS attack_types, primary_attack, original_labels
 FROM meta LEFT JOIN amap USING (source, window_id) LEFT JOIN labs USING (source, window_id)""")
 def _(spark, sf):
-    m = win.window_meta(positioned(spark, sf), SPEC)
+    m = win.window_meta(positioned(spark, sf), SPEC, original_labels=True)
     shown = F.array_join(F.transform(F.array_sort(F.map_keys("attack_types")), lambda k: F.concat(
         k, F.lit("="), F.element_at("attack_types", k).cast("string"))), ",")
     return m.select("source", "window_id", "start_idx", "end_idx", F.date_format("start_time", STAMP).alias("start_time"),
