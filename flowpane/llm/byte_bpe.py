@@ -30,7 +30,7 @@ from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 LONG_PIECE = 96
 #: Pieces that go into one recursive query.
 QUERY_PIECES = 10_000
-#: Entries that a worker keeps; only time depends on them.
+#: Entries that a worker keeps, half as many where only ids are wanted (other stages share its memory there); only time depends on them.
 CACHED_SEGMENTS, CACHED_PIECES = 500_000, 600_000
 
 ENCODE = """
@@ -172,20 +172,25 @@ class Pieces:
     def __init__(self, name: str = BYTE_BPE, digest: bool = False) -> None:
         self.pairs, self.digest = BytePairs(name), digest
         self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, decoded bytes
-        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS)
+        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS if digest else CACHED_SEGMENTS // 2)
         self.text: list[str] = []
         self.decoded: list[bytes] = []
 
     def values_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(new) == len(self.table.index):  # the table has been dropped
             self.text, self.decoded = [], []
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > (CACHED_PIECES if self.digest else CACHED_PIECES // 2):
             self.known.clear()
         find = _pattern()[0].findall
         cut = list(map(find, new))
         todo = list({p for x in cut for p in x if p not in self.known})
-        lens, tokens = self.pairs.encode([p.encode() for p in todo])
-        decoded = self.pairs.decode(lens, tokens) if self.digest else [b""] * len(lens)
+        raw = [p.encode() for p in todo]
+        lens, tokens = self.pairs.encode(raw)
+        decoded = self.pairs.decode(lens, tokens)
+        if not self.digest:
+            if decoded != raw:  # a text is its pieces one after another
+                raise ValueError("ids that do not give the text back")
+            decoded = [b""] * len(lens)
         flat, at = tokens.astype(np.int32).tobytes(), 0
         for p, n, back in zip(todo, lens.tolist(), decoded, strict=True):
             self.known[p] = (flat[at : at + 4 * n], back)
@@ -258,7 +263,7 @@ def _decode_batches(tokenizer: str):
 
 
 def encode(docs: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
-    """(doc_id, ids) of every text."""
+    """(doc_id, ids) of every text; every distinct piece's ids are decoded again and compared with it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_encode_batches(tokenizer, False), "doc_id long, ids array<int>")
 

@@ -9,8 +9,8 @@ stands around an anchor (its suffix, then what precedes it, backwards) decides a
 3. The runs are cut at sampled splitters and exchanged. A loser tree merges the runs of a range; it knows the common prefix of
    every head with the last output, so no known prefix is compared again, and puts out the common prefix of neighbours.
 4. Equal contexts have all windows repeated. Of different ones, neighbours' common prefixes leave the windows that may be
-   repeated; those are compared by 128-bit hashes: within the task where the neighbourhood lies in one range, and by a grouped
-   count over all ranges where it reaches over a splitter (so that a passage in very many documents is no task's burden).
+   repeated; those are compared by 128-bit hashes within the task, which settles all that stand twice there. Where a neighbourhood
+   reaches over a splitter, its other windows, and one row for each different settled one, go to a grouped count over all ranges.
 
 Defined results: a null text counts as empty; a null doc_id is kept; rows that repeat a document repeat its windows, and so lose
 them; texts under ``LENGTH`` bytes lose nothing; an empty table gives an empty result. Only doc_id and text are read.
@@ -295,21 +295,25 @@ def _judged(group: list, whole: bool) -> Iterator[dict]:
     if whole and (len(group) < 2 or not any(r and g[1] < 2 for r, g in zip(ranges, group, strict=True))):
         return
     hashes = [window_hashes(g[0], *r) if r else np.zeros((0, 2), np.int64) for r, g in zip(ranges, group, strict=True)]
-    if not whole:
-        for r, g, h in zip(ranges, group, hashes, strict=True):
-            if r:
-                k1, k2, pos = g[2][0] if g[1] < 2 else (None, None, None)
-                yield {"k1": k1, "k2": k2, "pos": pos, "low": r[0], "high": r[1], "w1": h[:, 0].tolist(), "w2": h[:, 1].tolist(), "times": g[1]}
-        return
     every = np.concatenate(hashes)
-    _, inverse, counts = np.unique(every, axis=0, return_inverse=True, return_counts=True)
-    twice, at = counts[inverse.ravel()] > 1, 0
+    times = np.repeat([g[1] for g in group], [len(h) for h in hashes])
+    _, first, inverse = np.unique(every, axis=0, return_index=True, return_inverse=True)
+    twice, at = (np.bincount(inverse.ravel(), times, len(first)) > 1)[inverse.ravel()], 0
     for r, g, h in zip(ranges, group, hashes, strict=True):
         if g[1] < 2:
-            for a, b in stretches(twice[at : at + len(h)]):
-                k1, k2, pos = g[2][0]
+            k1, k2, pos = g[2][0]
+            settled = twice[at : at + len(h)]
+            for a, b in stretches(settled):
                 yield {"k1": k1, "k2": k2, "pos": pos, "low": r[0] + a, "high": r[0] + b}
+            for a, b in stretches(~settled) if not whole else ():
+                yield {"k1": k1, "k2": k2, "pos": pos, "low": r[0] + a, "high": r[0] + b, "w1": h[a : b + 1, 0].tolist(),
+                       "w2": h[a : b + 1, 1].tolist(), "times": 1}
         at += len(h)
+    if not whole:
+        # what stands twice here is one row for each different window, whatever the number of its members
+        for some in np.array_split(first[twice[first]], max(1, len(first) // 2000)):
+            if len(some):
+                yield {"k1": None, "k2": None, "pos": None, "low": 0, "high": 0, "w1": every[some, 0].tolist(), "w2": every[some, 1].tolist(), "times": 2}
 
 
 def _merge_range(rows: list[dict]) -> Iterator[dict]:
@@ -428,17 +432,18 @@ def _clean_batches(with_text: bool):
                         start = b
                     left = b"".join([*kept, raw[start:]])
                     rows.append({"doc_id": row["doc_id"], "n_bytes": len(raw), "n_removed": len(raw) - len(left), "n_spans": len(spans),
-                                 "kept_sha256": hashlib.sha256(left).hexdigest()} | ({"kept": left} if with_text else {}))
+                                 "kept_sha256": hashlib.sha256(left).hexdigest(), "has_repeat": bool(spans)} | ({"kept": left} if with_text else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+                    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
+                     ("has_repeat", pa.bool_())]
                     + [("kept", pa.binary())] * with_text))
     return run
 
 
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """Per document n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that stay."""
+    """Per document n_bytes, n_removed, n_spans, kept_sha256, whether it has a repeat and, if asked for, the bytes that stay."""
     rows = _keyed(docs).join(repeated_spans(docs), ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(_clean_batches(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(_clean_batches(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeat boolean" + ", kept binary" * with_text)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

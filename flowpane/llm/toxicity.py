@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import SegmentTable, text_groups, text_or_empty
+from flowpane.llm.common import SegmentTable, fresh_names, text_groups, text_or_empty
 
 #: Labelled rows of either class that are fitted at most.
 TRAIN_ROWS = 3_000
@@ -217,11 +217,11 @@ def _set_thresholds(model: Model, docs: DataFrame, given: DataFrame, fitted: lis
     """Cuts of best F1 over all labelled rows of ``given`` that are not ``fitted``; those of the sample stay where a class is missing."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     ids = docs.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long")
-    own = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").alias("y")).join(F.broadcast(ids), "doc_id", "left_anti")
-    found = scored(rows, model).select("doc_id", "lang", "__toxicity").join(own, "doc_id")
+    own = given.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), "doc_id", "left_anti")
+    found = scored(rows, model, "score", "rejected").select("doc_id", "lang", "score").join(own, "doc_id")
     # a row for each language and bin at most
-    bins = found.groupBy("lang", F.floor(F.col("__toxicity") * SCORE_BINS).alias("at")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.min("__toxicity").alias("low"), F.max("__toxicity").alias("high")).collect()
+    bins = found.groupBy("lang", F.floor(F.col("score") * SCORE_BINS).alias("at")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
 
     def least(some: list) -> int:
         return min(sum(r["hits"] for r in some), sum(r["n"] - r["hits"] for r in some))
@@ -246,15 +246,15 @@ def _held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on at most ``rows`` labelled documents of either class that are not held out; thresholds from all others."""
     given = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").filter(~_held_out())
+    given = given.groupBy("doc_id").agg(F.max("y").alias("y"))  # a document with both labels is toxic
     sizes = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = None
     for y in (0, 1):
         some = given.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         sample = some if sample is None else sample.union(some)
-    sample = sample.dropDuplicates(["doc_id"])
-    # at most 2 * rows ids
-    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"))
-             .join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * rows).collect())
+    # at most 2 * rows ids, and of the rows that share one the first by text and language
+    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang")).alias("r"))
+             .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("r").alias("r")).select("doc_id", "y", "r.*").orderBy("doc_id").collect())
     y = np.array([r["y"] for r in found], np.int64)
     weights = tuple(sizes.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
     model = fit([r["text"] for r in found], y, [r["lang"] for r in found], weights)
@@ -264,15 +264,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     return model
 
 
-def _score_batches(model: Model | None):
-    """Every batch with the score of its last column, the text, in that column's place."""
+def _score_batches(model: Model | None, score: str):
+    """Every batch with the score of its last column, the text, after it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values_of(words: list[str]):
             rows = np.array([(-1, -1, -1) if w == _PAD else features(w) for w in words], np.int32)
             return np.full(len(words), 3), rows.ravel()
         table, held, done = SegmentTable(values_of, np.int32, 250_000), np.zeros((1 << 16, FILTERS * len(_OFFSETS)), np.float32), 0
         for batch in batches:
-            for start, texts in text_groups(batch.columns[-1], 1_000_000):
+            for start, texts in text_groups(batch.columns[-1].fill_null(""), 1_000_000):
                 scores = np.zeros(len(texts))
                 if model is not None:
                     at, counts = table.numbers([_words(t) for t in texts])
@@ -284,31 +284,29 @@ def _score_batches(model: Model | None):
                     held[done:n] = model.responses(table.ragged.flat[3 * done : 3 * n].reshape(-1, 3))
                     done = n
                     scores = model.scores(model.pooled(held, at, counts))
-                rest = batch.slice(start, len(texts)).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(scores)], names=[*batch.schema.names[:-1], "__toxicity"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(scores)], names=[*batch.schema.names, score])
     return run
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with the columns __toxicity (the score) and __rejected (the score reaches its language's threshold)."""
-    kept = [c for c in docs.columns if c not in ("__toxicity", "__rejected")]
-    schema = docs.select(*kept).withColumn("__toxicity", F.lit(0.0)).schema
-    out = docs.select(*kept, text_or_empty().alias("__text")).mapInArrow(_score_batches(model), schema)
-    if model is None:
-        return out.withColumn("__rejected", F.lit(False))
-    cut = F.lit(model.threshold)
-    for lang, own in sorted(model.thresholds.items()):
+def scored(docs: DataFrame, model: Model | None, score: str, rejected: str) -> DataFrame:
+    """``docs`` with the columns ``score`` and ``rejected`` (the score reaches its language's threshold). The text goes to Python once."""
+    kept = [c for c in docs.columns if c not in (score, rejected)]
+    rows = docs.select(*[c for c in kept if c != "text"], F.col("text").cast("string").alias("text"))
+    out = rows.mapInArrow(_score_batches(model, score), rows.withColumn(score, F.lit(0.0)).schema)
+    cut = F.lit(2.0 if model is None else model.threshold)
+    for lang, own in sorted(model.thresholds.items()) if model else ():
         cut = F.when(F.col("lang") == lang, own).otherwise(cut)
-    return out.withColumn("__rejected", F.col("__toxicity") >= cut)
+    return out.withColumn(rejected, F.col(score) >= cut).select(*kept, score, rejected)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
-    return scored(docs, train(docs, labels)).filter("NOT __rejected").drop("__toxicity", "__rejected")
+    """The rows of ``docs`` that are not rejected, with all their columns, whatever those are called."""
+    score, rejected = fresh_names(docs, "score", "rejected")
+    return scored(docs, train(docs, labels), score, rejected).filter(~F.col(rejected)).drop(score, rejected)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", _held_out().alias("held_out"), F.col("__toxicity").alias("score"),
-                                      (F.col("__toxicity") >= CUT).cast("int").alias("predicted"), F.col("__rejected").alias("rejected"))
+    return scored(docs, model, "score", "rejected").select("doc_id", _held_out().alias("held_out"), "score",
+                                                           (F.col("score") >= CUT).cast("int").alias("predicted"), "rejected")

@@ -50,7 +50,7 @@ def test_against_brute_force(spark):
     rows = [("x", i, t) for i, t in enumerate(texts)] + [("x", None, texts[5]), ("x", 7, texts[7])]
     docs = spark.createDataFrame(rows, "h string, doc_id long, text string")
     want = collections.Counter((r[1], *w) for r, w in zip(rows, brute([(r[2] or "").encode() for r in rows])))
-    got = collections.Counter(tuple(r) for r in without_repeats(docs, with_text=False).collect())
+    got = collections.Counter(tuple(r)[:-1] for r in without_repeats(docs, with_text=False).collect())
     assert got == want
     assert without_repeats(docs.filter(F.lit(False))).count() == 0
     kept = {r["doc_id"]: bytes(r["kept"]) for r in without_repeats(docs.filter("doc_id < 3")).collect()}

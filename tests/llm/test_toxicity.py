@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from flowpane.llm import toxicity
 from flowpane.llm.toxicity import _words, best_cut, features, fit, keep_clean, scored, train
 
 
@@ -47,15 +48,15 @@ def test_documents(spark):
     docs = spark.createDataFrame(rows, "score string, doc_id long, text string, lang string, toxic int")
     labels = spark.createDataFrame([(i, int(y), 1) for i, y in enumerate(toxic)] + [(3, None, 1), (None, 1, 1), (0, 1, 1)], "doc_id long, toxic int, quality int")
     model = train(docs, labels)
-    got = {r["doc_id"]: r for r in scored(docs, model).collect()}
+    got = {r["doc_id"]: r for r in scored(docs, model, "__toxicity", "__rejected").collect()}
     held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i]["__toxicity"] >= 0.3) == toxic[i] for i in held]) > 0.97
     assert not got[1000]["__rejected"] and not got[1002]["__rejected"] and got[None]["__rejected"]
     clean = keep_clean(docs, labels)
     assert clean.columns == docs.columns and 380 < clean.count() < 440
     none = train(docs, labels.filter("toxic = 0"))
-    assert none is None and scored(docs, none).filter("__toxicity <> 0 OR __rejected").count() == 0
-    assert scored(docs.filter(F.lit(False)), model).count() == 0
+    assert none is None and scored(docs, none, "__toxicity", "__rejected").filter("__toxicity <> 0 OR __rejected").count() == 0
+    assert scored(docs.filter(F.lit(False)), model, "a", "b").count() == 0
 
 
 def test_thresholds_come_from_the_natural_mix(spark):
@@ -71,7 +72,20 @@ def test_thresholds_come_from_the_natural_mix(spark):
         rows.append((i, " ".join(words), "en"))
         labels.append((i, int(toxic)))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = {r["doc_id"]: r["__rejected"] for r in scored(docs, train(docs, labels, 100)).collect()}
+    got = {r["doc_id"]: r["__rejected"] for r in scored(docs, train(docs, labels, 100), "__toxicity", "__rejected").collect()}
     meh = np.mean([got[i] for i, t, _ in rows if "meh" in t])
     assert meh < 0.5, meh
     assert np.mean([got[i] for i, t, _ in rows if "idiot" in t]) > 0.9
+
+
+def test_copies_of_one_document_leave_the_others_in_the_sample(spark):
+    """Thousands of rows of one labelled document are one row of the sample; a document with both labels is toxic; any column name stays."""
+    good, bad = "calm river stones under quiet trees", "vile filth rotten scum stupid trash"
+    ids = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, bad if i % 4 == 0 else good, "en", 1) for i in ids] + [(ids[1], good, "en", 2)] * 6100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").withColumns({"__rejected": F.lit("r"), "__toxicity": F.lit("t")})
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids] + [(ids[0], 0), (ids[0], 1)], "doc_id long, toxic int")
+    model = train(docs, labels, 3000)
+    assert model is not None
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and kept.filter("doc_id % 4 = 0").count() == 0 and kept.count() == len([i for i in ids if i % 4]) + 6100
