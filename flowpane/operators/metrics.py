@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,18 +135,34 @@ def score_histogram(df: DataFrame, score: str, by: Sequence[str], bins: int = 45
 def score_kde(df: DataFrame, score: str, by: Sequence[str], points: int = 400, lo: float = 0.0, hi: float = 2.0) -> DataFrame:
     """(by, x, density): Gaussian kernel density on an even grid, Scott's bandwidth; 0 for constant or single scores.
 
-    Equal scores are merged first; a score then meets the grid inside its task, and the shuffle carries partial sums.
+    Equal scores are merged first. A batch of scores meets the whole grid as one matrix; only its sums leave the task, one row per
+    group of the batch.
     """
+    by, grid = list(by), np.linspace(lo, hi, points)
     facts = materialise(df.groupBy(*by).agg(F.count(score).alias("_n"), F.stddev_samp(score).alias("_sd")))
-    counts = null_safe_join(value_counts(df, by, score), facts, by)
-    width = (hi - lo) / (points - 1)
-    x = F.lit(lo) + F.col("_i") * width
-    bw = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    z = (x - F.col(score)) / bw
     usable = (F.col("_n") > 1) & (F.col("_sd") > 0)
-    k = F.when(usable, F.col("n") * F.exp(-0.5 * z * z) / (bw * F.col("_n") * F.lit((2 * 3.141592653589793) ** 0.5))).otherwise(0.0)
-    spread = counts.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    return spread.groupBy(*by, "_i").agg(F.sum(k).alias("density")).select(*by, x.alias("x"), "density")
+    counts = null_safe_join(value_counts(df, by, score), facts, by).select(
+        *by, F.col(score).cast("double").alias("_s"), F.col("n").cast("double").alias("_w"), F.when(usable, F.col("_sd") * F.pow(
+            F.col("_n").cast("double"), F.lit(-0.2))).alias("_bw"), F.col("_n").cast("double").alias("_n"))
+
+    def sums(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                pdf = part.to_pandas()
+                code = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), int)
+                s, w, bw, n = (pdf[c].to_numpy(dtype=float) for c in ("_s", "_w", "_bw", "_n"))
+                bw = np.where(np.isnan(bw), np.inf, bw)  # no spread, no density
+                kernels = np.exp(-0.5 * ((grid[None, :] - s[:, None]) / bw[:, None]) ** 2) * (w / (bw * n * math.sqrt(2 * math.pi)))[:, None]
+                groups, first = np.unique(code, return_index=True)
+                rows = pa.Table.from_batches([part]).take(pa.array(first)).select(by)
+                yield from rows.append_column("_d", pa.array([kernels[code == g].sum(axis=0) for g in groups], pa.list_(pa.float64()))).to_batches()
+
+    kinds = dict(counts.dtypes)
+    parts = counts.mapInArrow(sums, ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "_d array<double>"]))
+    x = F.lit(lo) + F.col("_i") * ((hi - lo) / (points - 1))
+    return (parts.select(*by, F.posexplode("_d").alias("_i", "_v")).groupBy(*by, "_i").agg(F.sum("_v").alias("density"))
+            .select(*by, x.alias("x"), "density"))
 
 
 def ecdf(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:

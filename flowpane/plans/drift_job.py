@@ -19,9 +19,13 @@ def feature_drift(windows: WindowSet, features: Sequence[str]) -> DataFrame:
     return drift.drift_sources(drift.distribution_distances(drift.as_pairs(tall), ["pair", "feature"]))
 
 
-def frequency_drift(windows: WindowSet, features: Sequence[str]) -> DataFrame:
-    """Per frequency bin: distances between normal training and normal test spectra, with the band means beside."""
+def frequency_drift(windows: WindowSet, features: Sequence[str], digits: int = 7) -> DataFrame:
+    """Per frequency bin: distances between normal training and normal test spectra, with the band means beside.
+
+    Amplitudes are rounded to ``digits``, so that spectra which are equal but for rounding errors stay ties.
+    """
     normal = rfft_amplitude(windows.series(features)).where("is_malicious = 0")
+    normal = normal.withColumn("amp", F.transform("amp", lambda a: F.round(a, digits)))
     curve = materialise(drift.spectral_drift(drift.two_sides(normal, "split", "train", "test")))
     bins = windows.spec.size // 2 + 1
     band = drift.band_summary(curve, "wasserstein", bins).first()

@@ -12,7 +12,9 @@ from flowpane.plans.window_job import build_window_set
 from flowpane.session import materialise
 from flowpane.sources.readers import read_flows
 from workload.cleaning import CLEANED, SECONDS, raw_flows, scratch_path
+from workload.drifting import DIST_SQL, PAIR_SQL, SPEC_SQL
 from workload.inputs import EVENT_ORDER, FEATURES, SPEC, flows, query
+from workload.splitting import rounded
 
 
 def window_set(spark, sf):
@@ -24,14 +26,23 @@ def _(spark, sf):
     return detection_report(materialise(score_windows(window_set(spark, sf), FEATURES)))
 
 
-@query("feature_drift_job", "I2 I9")
+@query("feature_drift_job", "I2 I9", f"""WITH {PAIR_SQL}, {DIST_SQL.format(by='pair, feature', src='paired')},
+j AS (SELECT a.feature, a.ks AS ks_a, b.ks AS ks_b, a.ks - b.ks AS diff FROM dist a JOIN dist b USING (feature) WHERE a.pair = 'A' AND b.pair = 'B')
+SELECT feature, round(ks_a, 6) AS ks_a, round(ks_b, 6) AS ks_b, round(diff, 6) + 0.0 AS diff,
+  CASE WHEN ks_b > 0.1 AND diff < 0.05 THEN 'Covariate' WHEN diff > 0.1 THEN 'Anomaly' ELSE 'Mixed' END AS source FROM j""")
 def _(spark, sf):
-    return feature_drift(window_set(spark, sf), FEATURES)
+    return rounded(feature_drift(window_set(spark, sf), FEATURES)).withColumn("diff", F.col("diff") + 0.0)
 
 
-@query("frequency_drift_job", "I10 I11")
+@query("frequency_drift_job", "I10 I11", f"""WITH {SPEC_SQL}, {DIST_SQL.format(by='bin', src='spec')},
+g AS (SELECT avg(wasserstein) AS o, avg(wasserstein) FILTER (bin < 10) AS l, avg(wasserstein) FILTER (bin >= 40) AS h FROM dist)
+SELECT bin, round(ks, 6) AS ks, round(wasserstein, 5) AS wasserstein, n_a, n_b, round(o, 5) AS overall_mean, round(l, 5) AS low_mean, round(h, 5) AS high_mean
+FROM dist, g""")
 def _(spark, sf):
-    return frequency_drift(window_set(spark, sf), FEATURES)
+    d = frequency_drift(window_set(spark, sf), FEATURES)
+    means = [f"{k}_mean" for k in ("overall", "low", "high")]
+    return d.select(F.col("bin").cast("bigint").alias("bin"), F.round("ks", 6).alias("ks"), F.round("wasserstein", 5).alias("wasserstein"), "n_a", "n_b",
+                    *[F.round(c, 5).alias(c) for c in means])
 
 
 RAW_WINDOWS = "cleaned AS (" + CLEANED.format("ts IS NOT NULL AND value IS NOT NULL AND k IS NOT NULL", "value", "k", "value", "k").replace(

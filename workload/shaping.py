@@ -14,10 +14,10 @@ from workload.inputs import EVENT_ORDER, FEATURES, FLOWS_SQL, META_SQL, SPEC, WI
 from workload.splitting import rounded
 
 SERIES_SQL = WIN_SQL + """,
-ser AS (SELECT source, window_id, woff AS t, 'value' AS channel, value AS x FROM win
+ser AS MATERIALIZED (SELECT source, window_id, woff AS t, 'value' AS channel, value AS x FROM win
         UNION ALL SELECT source, window_id, woff, 'k', k FROM win)"""
 DFT_SQL = SERIES_SQL + """,
-dft AS (SELECT source, window_id, channel, b AS bin, sum(x * cos(2 * pi() * ((b * t) % 100) / 100)) AS re,
+dft AS MATERIALIZED (SELECT source, window_id, channel, b AS bin, sum(x * cos(2 * pi() * ((b * t) % 100) / 100)) AS re,
                -sum(x * sin(2 * pi() * ((b * t) % 100) / 100)) AS im
         FROM ser, (SELECT unnest(range(51)) AS b) GROUP BY ALL)"""
 # Inverse transform of the bins kept in table `kept` (source, window_id, channel, bin, re, im)
@@ -197,7 +197,7 @@ def _(spark, sf):
 
 def ema_sql(x="x", src="ser", a=0.3, out="y"):
     """y_t = (1-a)^t x_0 + sum a (1-a)^(t-s) x_s as a join within the window."""
-    return f"""(SELECT c.source, c.window_id, c.channel, c.t, sum(CASE WHEN p.t = 0 THEN 1 ELSE {a} END
+    return f"""MATERIALIZED (SELECT c.source, c.window_id, c.channel, c.t, sum(CASE WHEN p.t = 0 THEN 1 ELSE {a} END
       * pow({1 - a}, c.t - p.t) * p.{x}) AS {out} FROM {src} c JOIN {src} p ON p.source = c.source AND p.window_id = c.window_id
       AND p.channel = c.channel AND p.t <= c.t GROUP BY ALL)"""
 
@@ -250,8 +250,8 @@ def _(spark, sf):
 
 
 @query("hybrid_decomposition", "H9", f"""WITH {SERIES_SQL}, e AS {ema_sql()},
-rest AS (SELECT source, window_id, channel, t, y AS trend, x - y AS d FROM e JOIN ser USING (source, window_id, channel, t)),
-dft AS (SELECT source, window_id, channel, b AS bin, sum(d * cos(2 * pi() * ((b * t) % 100) / 100)) AS re,
+rest AS MATERIALIZED (SELECT source, window_id, channel, t, y AS trend, x - y AS d FROM e JOIN ser USING (source, window_id, channel, t)),
+dft AS MATERIALIZED (SELECT source, window_id, channel, b AS bin, sum(d * cos(2 * pi() * ((b * t) % 100) / 100)) AS re,
   -sum(d * sin(2 * pi() * ((b * t) % 100) / 100)) AS im FROM rest, (SELECT unnest(range(51)) AS b) GROUP BY ALL),
 {energy_sql(0.5, 0.97)}, {INVERSE_SQL}
 SELECT source, window_id, channel, t, round(trend + {NUDGE}, 5) + 0.0 AS trend, round(y + {NUDGE}, 5) + 0.0 AS seasonal,
@@ -265,6 +265,19 @@ def _(spark, sf):
     return at_rows(D.hp_filter(series(spark, sf)), "trend", "residual", digits=5)
 
 
+@query("hodrick_prescott_equation", "H10", f"""WITH {SERIES_SQL}
+SELECT source, window_id, channel, t, round(x + {NUDGE}, 3) + 0.0 AS restored, round(x + {NUDGE}, 3) + 0.0 AS total FROM ser""")
+def _(spark, sf):
+    """The trend's own equation: (I + lamb D'D) trend = x, with second differences D; and trend + residual = x."""
+    y = F.col("trend")
+    second = F.transform(F.sequence(F.lit(1), F.size(y) - 2), lambda i: F.get(y, i - 1) - 2 * F.get(y, i) + F.get(y, i + 1))
+    s = D.hp_filter(series(spark, sf), 50.0).withColumn("d", second)
+    at = lambda i: F.coalesce(F.when(i >= 0, F.get("d", i)), F.lit(0.0))
+    restored = F.transform(y, lambda v, i: v + 50.0 * (at(i) - 2 * at(i - 1) + at(i - 2)))
+    s = s.withColumn("restored", restored).withColumn("total", F.zip_with("trend", "residual", lambda a, b: a + b))
+    return at_rows(s, "restored", "total", digits=3, nudge=NUDGE)
+
+
 @query("low_passed_series", "H11", f"""WITH {DFT_SQL}, kept AS (SELECT * FROM dft WHERE bin < 10), {INVERSE_SQL}
 SELECT source, window_id, channel, t, round(y, 5) + 0.0 AS smooth FROM inv""")
 def _(spark, sf):
@@ -384,7 +397,16 @@ def _(spark, sf):
                     F.col("delay").cast("bigint").alias("delay"), F.round("weight", 6).alias("weight"))
 
 
-@query("delay_aggregated_series", "H17")
+@query("delay_aggregated_series", "H17", f"""WITH {SERIES_SQL},
+n AS (SELECT *, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-5) AS z FROM ser WINDOW w AS (PARTITION BY source, window_id, channel)),
+half AS (SELECT a.source, a.window_id, a.channel, d, sum(a.z * b.z) AS c FROM n a CROSS JOIN (SELECT unnest(range(51)) AS d)
+  JOIN n b ON a.source = b.source AND a.window_id = b.window_id AND a.channel = b.channel AND b.t = (a.t + d) % 100 GROUP BY ALL),
+corr AS (SELECT * FROM half UNION ALL SELECT source, window_id, channel, 100 - d, c FROM half WHERE d BETWEEN 1 AND 49),
+top AS (SELECT *, row_number() OVER (PARTITION BY source, window_id, channel ORDER BY c DESC, d) - 1 AS rank FROM corr),
+k AS (SELECT *, max(c) OVER (PARTITION BY source, window_id, channel) AS m FROM top WHERE rank < 4),
+w AS (SELECT source, window_id, channel, d, exp(c - m) / sum(exp(c - m)) OVER (PARTITION BY source, window_id, channel) AS weight FROM k)
+SELECT n.source, n.window_id, n.channel, n.t, round(sum(w.weight * o.z), 5) + 0.0 AS aggregated FROM n JOIN w USING (source, window_id, channel)
+  JOIN n o ON o.source = n.source AND o.window_id = n.window_id AND o.channel = n.channel AND o.t = (n.t + w.d) % 100 GROUP BY ALL""")
 def _(spark, sf):
     n = G.instance_norm(series(spark, sf)).drop("centre", "scale")
     return at_rows(D.delay_aggregate(n), "aggregated", digits=5)
