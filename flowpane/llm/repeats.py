@@ -33,6 +33,8 @@ LENGTH, SPAN, GRAM = 400, 200, 24
 COMMON = LENGTH - SPAN + 1
 #: Bytes of contexts that a run holds, and contexts of a front-coded row.
 RUN_BYTES, ROW_CONTEXTS = 24_000_000, 64
+#: Front-coded rows of a range of sorted contexts; fewer ranges part fewer neighbourhoods.
+RANGE_ROWS = 1_000
 #: Sampled keys per range.
 OVERSAMPLING = 20
 _RNG = np.random.default_rng(20240229)
@@ -392,8 +394,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     coded = runs.filter("run IS NOT NULL")
     decided = runs.filter("run IS NULL").select(F.col("k1")[0].alias("k1"), F.col("k2")[0].alias("k2"), F.col("pos")[0].alias("pos"),
                                                 F.col("lcp")[0].alias("low"), F.col("lcp")[1].alias("high"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = coded.count()
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
     # about OVERSAMPLING keys per range come to the driver
     rate = min(1.0, OVERSAMPLING * parts / max(n, 1))
     sample = sorted(bytes(r["first"]) for r in coded.filter(F.pmod(F.xxhash64("run", "seq"), F.lit(1_000_000)) < int(1_000_000 * rate)).select("first").collect())

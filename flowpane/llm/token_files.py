@@ -37,6 +37,8 @@ _TABLES: dict[str, SegmentTable] = {}
 
 #: Stands for the end of a document among its chunks; no chunk holds white space.
 _END = " "
+#: Chunks that a worker keeps; only time depends on it.
+TABLE_CHUNKS = 800_000
 
 
 def word_ids_table(tokenizer: str) -> SegmentTable:
@@ -44,7 +46,7 @@ def word_ids_table(tokenizer: str) -> SegmentTable:
     if tokenizer not in _TABLES:
         encoder = WordEncoder(tokenizer)
         encoder.known[_END] = [END_ID]
-        _TABLES[tokenizer] = SegmentTable(encoder.values_of, np.int32)
+        _TABLES[tokenizer] = SegmentTable(encoder.values_of, np.int32, TABLE_CHUNKS)
     return _TABLES[tokenizer]
 
 
