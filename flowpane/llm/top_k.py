@@ -1,14 +1,16 @@
 """Exact top-k search by inner product with an impact-ordered index, score at a time.
 
-Rows are dealt into blocks, and every block is indexed once: per component, its values fall into quantised levels, and the
-rows of a level are a posting segment. A query takes the segments of all components by descending quantised impact and keeps
-for every row a lower and an upper bound of its score. It stops only on proof: when the rows whose upper bound reaches the
-k-th best lower bound are few, and then scores those exactly. If no proof comes, all segments are read and what is left is
-scored exactly. Queries are a stated set (by default ids divisible by 20) and meet the rows in blocks.
+Rows are dealt into blocks. A block's index has, per component, its values in quantised levels; the rows of a level are a posting
+segment. A query takes the segments of all components by descending quantised impact, a stretch of them at a time. After a
+stretch every row that is left has a lower and an upper bound of its score: from its levels in the components whose segment has been
+processed, and from the best and worst segment that has not in the others. Rows whose upper bound is below the k-th best lower bound leave;
+the search stops only on that proof, when few rows are left, or when all segments are processed, and scores what is left exactly.
+Queries are a stated set (by default ids divisible by 20) and meet the rows in blocks.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null
 vec_id; vectors of different lengths are not compared; a row with the query's vec_id is its own and no candidate; repeated
-candidates are ranked each; an empty table gives an empty result. Only vec_id and the vector column are read.
+candidates and repeated queries are ranked each; scores are 64-bit, so components are meant to stay below 2^28; an empty table
+gives an empty result. Only vec_id and the vector column are read.
 """
 
 from __future__ import annotations
@@ -29,21 +31,21 @@ SCALE = 64
 LEVELS = 16
 #: Rows of a block and queries that meet it in a task.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
-#: Stretches of descending impact, with a proof attempted after each.
-STEPS = 8
+#: Shares of all postings after which a proof is attempted.
+STRETCHES = (0.3, 0.6, 1.0)
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors: per component, rows by descending level."""
+    """Posting segments of a block of integer vectors: the level of every row in every component, and each level's values."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
         n, d = vectors.shape
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         level = (vectors - low) * LEVELS // (high - low + 1)
-        self.rows = np.argsort(level, axis=0, kind="stable").T.astype(np.int32)
-        sizes = np.stack([np.bincount(level[:, c], minlength=LEVELS) for c in range(d)])
-        self.offsets = np.concatenate([np.zeros((d, 1), np.int64), np.cumsum(sizes, axis=1)], axis=1)
+        # a row's segment in every component, as a place in tables of (component, level)
+        self.segment = level + LEVELS * np.arange(d)
+        self.sizes = np.bincount(self.segment.ravel(), minlength=d * LEVELS).reshape(d, LEVELS)
         # least and greatest value of a level, both within it
         steps = np.arange(LEVELS)[None, :]
         width = (high - low + 1)[:, None]
@@ -53,59 +55,49 @@ class ImpactIndex:
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows, ties to smaller ids."""
         n, d = self.vectors.shape
-        q = query[:, None]
-        upper = np.maximum(q * self.least, q * self.most)
-        lower = np.minimum(q * self.least, q * self.most)
-        filled = self.offsets[:, 1:] > self.offsets[:, :-1]
-        floor = np.where(filled, lower, np.iinfo(np.int64).max).min(axis=1)
-        impact = np.where(filled, upper - floor[:, None], 0)
-        sure = np.where(filled, lower - floor[:, None], 0)
-        own = self.ids == query_id
-        wanted = min(k, n - int(own.sum()))
-        if wanted <= 0:
+        left = np.flatnonzero(self.ids != query_id)
+        wanted = min(k, len(left))
+        if not wanted:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order = np.argsort(-impact, axis=None, kind="stable")
-        sizes = (self.offsets[:, 1:] - self.offsets[:, :-1]).ravel()[order]
-        ends = np.searchsorted(np.cumsum(sizes), n * d * np.arange(1, STEPS + 1) / STEPS) + 1
-        high, low, seen = np.zeros(n), np.zeros(n), np.zeros(n)
-        base, at, few = int(floor.sum()), 0, max(4 * k, n // 16)
-        left = np.flatnonzero(~own)
-        for step, end in enumerate(ends.tolist()):
-            cells = order[at:end]
-            cells = cells[filled.ravel()[cells]]
+        q, filled = query[:, None], self.sizes > 0
+        upper, lower = np.maximum(q * self.least, q * self.most), np.minimum(q * self.least, q * self.most)
+        none = np.iinfo(np.int64)
+        floor = np.where(filled, lower, none.max).min(axis=1)
+        order = np.argsort(np.where(filled, floor[:, None] - upper, 0), axis=None, kind="stable")
+        ends = np.searchsorted(np.cumsum(self.sizes.ravel()[order]), n * d * np.array(STRETCHES), side="left") + 1
+        processed, at, few = np.zeros((d, LEVELS), bool), 0, max(4 * k, n // 4)
+        for end in ends.tolist():
+            processed.ravel()[order[at:end]] = True
             at = end
-            if len(cells):
-                c, level = cells // LEVELS, cells % LEVELS
-                a, b = self.offsets[c, level], self.offsets[c, level + 1]
-                rows = np.concatenate([self.rows[x, i:j] for x, i, j in zip(c.tolist(), a.tolist(), b.tolist(), strict=True)])
-                high += np.bincount(rows, np.repeat(impact.ravel()[cells], b - a), n)
-                low += np.bincount(rows, np.repeat(sure.ravel()[cells], b - a), n)
-                seen += np.bincount(rows, minlength=n)
-            rest = float(impact.ravel()[order[end:]].max(initial=0)) if step < STEPS - 1 else 0.0
-            bound = np.partition(low[left], len(left) - wanted)[len(left) - wanted]
-            left = left[(high + (d - seen) * rest)[left] >= bound]
+            rest = filled & ~processed
+            best = np.where(processed, upper, np.where(rest, upper, none.min).max(axis=1)[:, None])
+            worst = np.where(processed, lower, np.where(rest, lower, none.max).min(axis=1)[:, None])
+            segment = self.segment if len(left) == n else self.segment[left]
+            low = worst.ravel().take(segment).sum(axis=1)
+            bound = np.partition(low, len(low) - wanted)[len(low) - wanted]
+            left = left[best.ravel().take(segment).sum(axis=1) >= bound]
             if len(left) <= few:
                 break
         scores = self.vectors[left] @ query
-        assert base <= int(scores.max())
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
+        first = np.lexsort((self.ids[left], -scores))[:k]
+        return self.ids[left][first], scores[first]
 
 
 def _search_block(k: int):
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    kind = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        asks = table["query"].is_valid().to_numpy(zero_copy_only=False)
+        numbers = table["query"].fill_null(0).to_numpy()
         ids = table["vec_id"].to_numpy()
         values = pc.list_flatten(table["v"]).to_numpy().reshape(len(ids), -1).astype(np.int64)
         out = []
         if asks.any() and not asks.all():
             index = ImpactIndex(ids[~asks], values[~asks])
-            for q, v in zip(ids[asks].tolist(), values[asks], strict=True):
+            for number, q, v in zip(numbers[asks].tolist(), ids[asks].tolist(), values[asks], strict=True):
                 found, scores = index.search(q, v, k)
-                out.append((np.full(len(found), q), found, scores))
+                out.append((np.full(len(found), number), np.full(len(found), q), found, scores))
         if not out:
             return kind.empty_table()
         return pa.table([np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)], schema=kind)
@@ -122,21 +114,21 @@ def quantised(vectors: DataFrame, column: str = "embedding", scale: int = SCALE)
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best of ``vectors`` (vec_id, v) for each of ``queries`` (vec_id, v)."""
-    vectors, queries = stage(vectors, "vectors"), stage(queries, "queries")
+    vectors = stage(vectors.withColumn("query", F.lit(None).cast("long")), "vectors")
+    queries = stage(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     rows, asked = vectors.count(), queries.count()
     blocks, groups = (max(1, math.ceil(n / size)) for n, size in ((rows, BLOCK_ROWS), (asked, BLOCK_QUERIES)))
 
-    def dealt(table: DataFrame, asks: bool, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    def dealt(table: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return (table.withColumn(own, F.monotonically_increasing_id() % n_own)
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<long>")))
-                .select("block", "group", F.size("v").alias("width"), F.lit(asks).alias("asks"), "vec_id", "v"))
+                .select("block", "group", F.size("v").alias("width"), "query", "vec_id", "v"))
 
-    met = (dealt(vectors, False, "block", blocks, "group", groups)
-           .unionByName(dealt(queries, True, "group", groups, "block", blocks)))
+    met = dealt(vectors, "block", blocks, "group", groups).unionByName(dealt(queries, "group", groups, "block", blocks))
     # small rows, much work: as many tasks as there are meetings of blocks
     best = (met.repartition(blocks * groups, "block", "group", "width").groupBy("block", "group", "width")
-            .applyInArrow(_search_block(k), "query_id long, vec_id long, score long"))
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            .applyInArrow(_search_block(k), "query long, query_id long, vec_id long, score long"))
+    ranked = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", ranked.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -147,14 +139,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """

@@ -27,7 +27,7 @@ def test_search(spark, monkeypatch):
     rng = random.Random(1)
     rows = [("r", i, [rng.gauss(0, 0.2) for _ in range(6)], 1) for i in range(300)]
     rows += [("r", 400 + i, [0.5] * 6, 1) for i in range(30)] + [("r", 440, None, 1), ("r", 460, [0.1, None] * 3, 1), ("r", 480, [math.nan] * 6, 1),
-             ("r", 481, [math.inf] * 6, 2), ("r", None, [0.1] * 6, 1), ("r", 500, [0.3] * 4, 1), ("r", 501, [0.2] * 4, 1), ("r", 520, [], 1), ("r", 501, [0.2] * 4, 1)]
+             ("r", 481, [math.inf] * 6, 2), ("r", None, [0.1] * 6, 1), ("r", 500, [0.3] * 4, 1), ("r", 501, [0.2] * 4, 1), ("r", 520, [], 1), ("r", 501, [0.2] * 4, 1), ("r", 500, [0.1] * 4, 1), ("r", 20, [-0.3, 0.4] * 3, 1)]
     docs = spark.createDataFrame(rows, "rank string, vec_id long, embedding array<double>, score int")
     got = [tuple(r) for r in search(quantised(docs), quantised(docs).filter(F.col("vec_id") % 20 == 0)).collect()]
     ok = [(r[1], [math.floor(64 * x) for x in r[2]]) for r in rows if r[1] is not None and r[2] and all(x is not None and math.isfinite(x) for x in r[2])]
