@@ -195,7 +195,11 @@ def standardised(x: Column, mode: str, eps: float, unbiased: bool) -> Column:
 def restored(x: Column, centre: Column, scale: Column) -> Column:
     """x * scale + centre."""
     def call(s: pd.Series, c: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(a) * v + u for a, u, v in zip(s, c, k)])
+        if not len(s):
+            return pd.Series([], dtype=object)
+        lens = s.map(len).to_numpy()
+        flat = np.concatenate(s.to_list()) * np.repeat(k.to_numpy(), lens) + np.repeat(c.to_numpy(), lens)
+        return pd.Series(np.split(flat, np.cumsum(lens)[:-1]))
     return F.pandas_udf(call, _ARRAY)(x, centre, scale)
 
 
@@ -216,7 +220,10 @@ def pooled(x: Column, k: int, beta: float) -> Column:
 def squared_error(a: Column, b: Column) -> Column:
     """Sum of squared differences of two arrays."""
     def call(s: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([float(np.square(np.asarray(u) - np.asarray(v)).sum()) for u, v in zip(s, t)])
+        if not len(s):
+            return pd.Series([], dtype="float64")
+        row = np.repeat(np.arange(len(s)), s.map(len).to_numpy())
+        return pd.Series(np.bincount(row, np.square(np.concatenate(s.to_list()) - np.concatenate(t.to_list())), len(s)))
     return F.pandas_udf(call, "double")(a, b)
 
 

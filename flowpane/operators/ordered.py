@@ -21,18 +21,29 @@ from flowpane.session import materialise, shuffle_width
 SEG = "_seg"
 LOC = "_loc"
 _LOC_MASK = (1 << 33) - 1
+RANGE_BYTES = 256 << 20
+MOST_RANGES = 100_000
 BROADCAST_ROWS = 100_000  # a table counted to be no larger is sent to all tasks
 
 
+def planned_ranges(df: DataFrame) -> int | None:
+    """Ranges of about ``RANGE_BYTES`` for a table by the optimizer's estimate; None where the shuffle's own width is enough, which
+    adaptive execution merges down."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ranges = min(-(-size // RANGE_BYTES), MOST_RANGES)
+    return ranges if ranges > shuffle_width(df.sparkSession) else None
+
+
 def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in global (by, order) order with their range number ``_seg`` and place in it ``_loc``; written once.
 
     Range bounds are sampled, so they may differ between two evaluations of the same plan. The written table
-    fixes them before anything is derived from the range numbers. No number of ranges is given: adaptive execution
-    merges neighbouring ranges up to its advisory size.
+    fixes them before anything is derived from the range numbers. The number of ranges follows the size of the table, and
+    bounds are whole (by, order) keys: one that is held by a third of all rows in ``by`` alone is cut by its ``order``.
     """
     keys = [*by, *order]
-    placed = (df.repartitionByRange(*keys)
+    ranges = planned_ranges(df)
+    placed = (df.repartitionByRange(*([ranges] if ranges else []), *keys)
               .sortWithinPartitions(*keys)
               .withColumn(SEG, F.spark_partition_id())
               .withColumn(LOC, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOC_MASK))))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowpane.operators import drift
+from flowpane.operators import discrepancy, drift
 from flowpane.operators.window_features import rfft_amplitude
 from flowpane.plans.window_job import WindowSet
 from flowpane.session import materialise
@@ -30,3 +30,18 @@ def frequency_drift(windows: WindowSet, features: Sequence[str], digits: int = 7
     bins = windows.spec.size // 2 + 1
     band = drift.band_summary(curve, "wasserstein", bins).first()
     return curve.withColumns({f"{k}_mean": F.lit(band[k]) for k in ("overall", "low", "high")})
+
+
+def shift_of(windows: WindowSet, features: Sequence[str], a: str = "train", b: str = "test", seed: int = 0) -> DataFrame:
+    """The drift report of one data set: (section, rank, item, value) between two parts of its windows.
+
+    Flows count as often as they stand in windows; kernel widths come from the mean squared distance between the parts.
+    """
+    long = materialise(drift.two_sides(windows.series(features), "split", a, b))
+    tall = drift.window_values(long, ["side"])
+    wide = long.groupBy("source", "window_id", "side").agg(*[F.max(F.when(F.col("channel") == f, F.col("x"))).alias(f) for f in features])
+    rows = wide.select("side", F.explode(F.arrays_zip(*features)).alias("z"))
+    vectors = rows.select("side", F.array(*[F.col("z").getField(f) for f in features]).alias("vector"))
+    distances = materialise(drift.with_significance(drift.distribution_distances(tall)))
+    return drift.shift_report(distances, discrepancy.mmd(vectors, seed=seed), drift.label_shift(windows.labels(), a, b),
+                              discrepancy.mmd_per_feature(tall))

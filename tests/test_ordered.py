@@ -40,6 +40,20 @@ def test_one_hot_key_is_spread_over_ranges(spark, skewed):
     assert seg.select(O.SEG).distinct().count() > 4
 
 
+def test_ranges_follow_the_size_of_the_table(spark, skewed, monkeypatch):
+    """More ranges than the shuffle has partitions; half of the rows share a timestamp and no range is twice the mean."""
+    df = spark.createDataFrame(skewed)
+    assert O.planned_ranges(df) is None
+    monkeypatch.setattr(O, "RANGE_BYTES", 4000)
+    n = O.planned_ranges(df)
+    assert n > 20
+    sizes = O.range_segments(df, ["key"], ["ts", "id"]).groupBy(O.SEG).count().toPandas()["count"]
+    assert len(sizes) > 15 and sizes.max() <= 2 * len(skewed) / len(sizes)
+    got = O.with_position(df, ["key"], ["ts", "id"]).toPandas()
+    want = skewed.sort_values(["key", "ts", "id"]).assign(pos=lambda d: d.groupby("key").cumcount())
+    assert got.merge(want, on=["key", "ts", "id", "pos"]).shape[0] == len(skewed)
+
+
 def test_running_totals_with_next(spark, skewed):
     df = O.value_counts(spark.createDataFrame(skewed), ["key"], "v")
     got = O.running_totals(df, ["key"], ["v"], ["n"], following="v").toPandas().sort_values(["key", "v"])

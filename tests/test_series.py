@@ -143,3 +143,14 @@ def test_memory_length_rules(spark):
     none = acf.withColumn("r", F.lit(0.0))
     assert M.memory_length(none).first()["memory"] == 0
     assert M.memory_length(none, variant="tolerant", max_lag=40).first()["memory"] == 0
+
+
+def test_trend_by_five_diagonals():
+    """The elimination solves the dense system, for every length, and costs the same per row and value."""
+    from flowpane.functions.signal import _smooth_trend
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 4, 5, 100, 257):
+        m = rng.normal(size=(6, n)).cumsum(axis=1)
+        d = np.diff(np.eye(n), n=2, axis=0)
+        for lamb in (0.5, 6400.0):
+            assert np.allclose(_smooth_trend(m, lamb), np.linalg.solve(np.eye(n) + lamb * (d.T @ d), m.T).T)

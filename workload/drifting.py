@@ -9,8 +9,10 @@ from flowpane.operators import drift as I
 from flowpane.operators import splits as X
 from flowpane.operators import window_features as G
 from flowpane.operators import windows as win
+from flowpane.plans.drift_job import shift_of
+from flowpane.plans.window_job import build_window_set
 from flowpane.session import materialise
-from workload.inputs import FEATURES, SPEC, SPLIT_SQL, positioned, query, table
+from workload.inputs import EVENT_ORDER, FEATURES, SPEC, SPLIT_SQL, flows, positioned, query, table
 from workload.splitting import HASH_SQL, rounded, with_labels
 
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -152,7 +154,8 @@ def _(spark, sf):
 
 
 # moments of cells, cells against cells through Hermite functions; a test holds the operator against all pairs
-GAUSS_SQL = f"""tallv AS MATERIALIZED (UNPIVOT vec ON q, p, d, x INTO NAME feature VALUE v),
+def gauss_sql(cols):
+    return f"""tallv AS MATERIALIZED (UNPIVOT (SELECT side, {', '.join(cols)} FROM vec) ON {', '.join(cols)} INTO NAME feature VALUE v),
 facts AS (SELECT feature, g, avg(v) AS mid, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb
   FROM tallv JOIN fgam USING (feature) GROUP BY feature, g),
 spot AS (SELECT feature, CASE WHEN side = 'a' THEN 1.0 / na ELSE -1.0 / nb END AS w, (v - mid) * sqrt(g) / {Y.CELL} AS p FROM tallv JOIN facts USING (feature)),
@@ -165,10 +168,14 @@ form AS (SELECT o, j, n - j AS k, pow({Y.CELL}, n) * a * pow(-1, n - j) / (facto
   FROM herm, (SELECT unnest(range({Y.ORDERS})) AS j) WHERE j <= n),
 fm AS (SELECT x.feature, greatest(sum(x.m * c * y.m), 0) AS m2 FROM moment x JOIN form USING (j) JOIN moment y
   ON y.feature = x.feature AND y.cell = x.cell + form.o AND y.j = form.k GROUP BY x.feature)"""
+
+
+GAUSS_SQL = gauss_sql(VEC_COLS)
 FIXED_WIDTHS = "fgam AS (SELECT unnest(['q', 'p', 'd', 'x']) AS feature, CAST(0.5 AS DOUBLE) AS g)"
-MEAN_WIDTHS = """fgam AS (SELECT feature, 1.0 / (2 * (var_pop(v) FILTER (side = 'a') + var_pop(v) FILTER (side = 'b')
+def mean_widths(cols):
+    return f"""fgam AS (SELECT feature, 1.0 / (2 * (var_pop(v) FILTER (side = 'a') + var_pop(v) FILTER (side = 'b')
   + pow(avg(v) FILTER (side = 'a') - avg(v) FILTER (side = 'b'), 2)) + 1e-10) AS g
-  FROM (UNPIVOT vec ON q, p, d, x INTO NAME feature VALUE v) GROUP BY feature)"""
+  FROM (UNPIVOT (SELECT side, {', '.join(cols)} FROM vec) ON {', '.join(cols)} INTO NAME feature VALUE v) GROUP BY feature)"""
 
 
 def feature_mmd(spark, sf, gamma=0.5):
@@ -180,7 +187,7 @@ def _(spark, sf):
     return feature_mmd(spark, sf).select("feature", F.round("mmd2", 7).alias("mmd2"))
 
 
-@query("mmd_per_feature_mean_gamma", "I6", f"""WITH {VEC_SQL}, {MEAN_WIDTHS}, {GAUSS_SQL}
+@query("mmd_per_feature_mean_gamma", "I6", f"""WITH {VEC_SQL}, {mean_widths(VEC_COLS)}, {GAUSS_SQL}
 SELECT feature, round(g, 5) AS gamma, round(m2, 7) AS mmd2 FROM fm JOIN fgam USING (feature)""")
 def _(spark, sf):
     return feature_mmd(spark, sf, None).select("feature", F.round("gamma", 5).alias("gamma"), F.round("mmd2", 7).alias("mmd2"))
@@ -204,10 +211,7 @@ def _(spark, sf):
     return rounded(I.label_shift(X.split_chrono(m, n)))
 
 
-@query("shift_report", "I8", f"""WITH {SPLIT_SQL}, {LABEL_SHIFT_SQL},
-{LINE_SQL.replace('tall AS', 'ltall AS')}, {DIST_SQL.format(by='feature', src='ltall')}, {PVALUE_SQL},
-{VEC_SQL}, gam AS (SELECT CAST(0.5 AS DOUBLE) AS g), {fourier_sql(VEC_COLS, 'vec')}, {FIXED_WIDTHS}, {GAUSS_SQL},
-f AS (SELECT (SELECT sqrt(m2) FROM ker) AS m, (SELECT abs(positive_a / total_a - positive_b / total_b) FROM ls) AS gap,
+REPORT_SQL = """f AS (SELECT (SELECT sqrt(m2) FROM ker) AS m, (SELECT abs(positive_a / total_a - positive_b / total_b) FROM ls) AS gap,
   (SELECT count(*) FILTER (p_value < 0.05) FROM pv) AS sig, (SELECT count(*) FROM pv) AS total)
 SELECT 'mmd' AS section, CAST(1 AS INTEGER) AS rank, CASE WHEN m > 0.1 THEN 'significant' WHEN m > 0.01 THEN 'moderate' ELSE 'minor' END AS item,
   round(m, 5) AS value FROM f
@@ -216,7 +220,13 @@ UNION ALL SELECT 'ks_summary', 1, sig || '/' || total || ' features', round(sig
 UNION ALL SELECT 'conclusion', 1, CASE WHEN sig / total > 0.5 AND m > 0.05 THEN 'significant: natural drift is sufficient'
   WHEN sig / total > 0.3 THEN 'moderate: combine natural and synthetic drift' ELSE 'minor: construct synthetic drift' END, NULL FROM f
 UNION ALL SELECT 'top_ks', CAST(row_number() OVER (ORDER BY ks DESC, feature) AS INTEGER), feature, round(ks, 5) FROM pv
-UNION ALL SELECT 'top_mmd', CAST(row_number() OVER (ORDER BY m2 DESC, feature) AS INTEGER), feature, round(sqrt(m2), 5) FROM fm""")
+UNION ALL SELECT 'top_mmd', CAST(row_number() OVER (ORDER BY m2 DESC, feature) AS INTEGER), feature, round(sqrt(m2), 5) FROM fm"""
+
+
+@query("shift_report", "I8", f"""WITH {SPLIT_SQL}, {LABEL_SHIFT_SQL},
+{LINE_SQL.replace('tall AS', 'ltall AS')}, {DIST_SQL.format(by='feature', src='ltall')}, {PVALUE_SQL},
+{VEC_SQL}, gam AS (SELECT CAST(0.5 AS DOUBLE) AS g), {fourier_sql(VEC_COLS, 'vec')}, {FIXED_WIDTHS}, {GAUSS_SQL},
+{REPORT_SQL}""")
 def _(spark, sf):
     m, n = with_labels(spark, sf)
     v = as_vector(line_vectors(spark, sf), *VEC_COLS)
@@ -225,6 +235,16 @@ def _(spark, sf):
                                   feature_mmd(spark, sf)), 5)
 
 
+@query("dataset_shift_report", "I2 I3 I5 I6 I7 I8", f"""WITH {SER_SPLIT_SQL}, {LABEL_SHIFT_SQL},
+sided AS (SELECT feature, CASE split WHEN 'train' THEN 'a' ELSE 'b' END AS side, value FROM wtall WHERE split IN ('train', 'test')),
+{DIST_SQL.format(by='feature', src='sided')}, {PVALUE_SQL},
+vec AS MATERIALIZED (SELECT CASE split WHEN 'train' THEN 'a' ELSE 'b' END AS side, value, k FROM wrow WHERE split IN ('train', 'test')),
+{width_sql(FEATURES, 'vec')}, {fourier_sql(FEATURES, 'vec')}, {mean_widths(FEATURES)}, {gauss_sql(FEATURES)}, {REPORT_SQL}""")
+def _(spark, sf):
+    """One data set against itself: the flows of its training windows against those of its test windows."""
+    return rounded(shift_of(build_window_set(flows(spark, sf), SPEC, EVENT_ORDER, FEATURES), FEATURES, seed=SEED), 5)
+
+
 @query("drift_sources", "I9", f"""WITH {PAIR_SQL}, {DIST_SQL.format(by='pair, feature', src='paired')},
 j AS (SELECT a.feature, a.ks AS ks_a, b.ks AS ks_b, a.ks - b.ks AS diff FROM dist a JOIN dist b USING (feature) WHERE a.pair = 'A' AND b.pair = 'B')
 SELECT feature, round(ks_a, 6) AS ks_a, round(ks_b, 6) AS ks_b, round(diff, 6) + 0.0 AS diff,

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowpane.operators import attacks as T
+from flowpane.operators import models
+from flowpane.operators import window_features as G
 from flowpane.operators import windows as W
+from flowpane.operators.catalog import select_features
+from flowpane.operators.importance import features_reaching
 from flowpane.plans.clean_job import CleanSpec, clean_flows
 from flowpane.plans.detection_job import detection_report, score_windows
 from flowpane.plans.drift_job import feature_drift, frequency_drift
@@ -78,3 +83,30 @@ def _(spark, sf):
     both = windows.labels().join(sums.drop("start_idx", "end_idx"), ["source", "window_id"])
     return both.select("source", "window_id", "global_window_id", "is_malicious", "n_malicious", F.round("total", 4).alias("total"),
                        *[F.date_format(c, SECONDS).alias(c) for c in ("start_time", "end_time")], "split")
+
+
+@query("selected_feature_windows", "M1 M3 M4 C3 D1 D2")
+def _(spark, sf):
+    """Features that together reach 0.95 of a forest's importance, in their order, and the windows cut from them alone."""
+    rows = flows(spark, sf).withColumns({"square": F.col("value") * F.col("value"), "parity": F.col("event_id") % 2.0})
+    candidates = [*FEATURES, "square", "parity"]
+    labelled = rows.withColumn("label_code", (F.col("label") != "Benign").cast("double"))
+    importance = materialise(models.rf_importance(labelled, candidates, "label_code", trees=20, depth=5))
+    chosen = [r["feature"] for r in features_reaching(importance, 0.95).orderBy("rank").collect()]
+    kept = [c for c in candidates if c in chosen]
+    slim = select_features(rows, kept, ["source", "ts", "event_id", "label"])
+    windows = build_window_set(slim, SPEC, EVENT_ORDER, kept)
+    return W.sliding_windows(windows.flows, SPEC).groupBy("source", "window_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(",".join(kept)).alias("features"))
+
+
+@query("classifier_attack_recall", "J7 L6 L9 L11")
+def _(spark, sf):
+    """A forest on window statistics of the training part, its predictions for all windows, and what it finds of each attack."""
+    windows = window_set(spark, sf)
+    meta = materialise(windows.meta())
+    stats = G.window_stats(windows.flows, SPEC, FEATURES)
+    columns = [f"{f}_{s}" for s in ("mean", "std", "max", "min") for f in FEATURES]
+    rows = materialise(windows.integrated(stats).join(meta.select("global_window_id", F.col("is_malicious").alias("label")), "global_window_id"))
+    found = models.rf_classify(rows.where("split = 'train'"), rows, columns, trees=20, depth=5)
+    return T.attack_recall(T.with_attacks(T.align(found.select("global_window_id", "pred", "prob"), meta)))

@@ -19,7 +19,7 @@ from flowpane.operators import windows as win
 from flowpane.session import materialise
 from workload.drifting import BAND_SQL, SER_SPLIT_SQL, spectra, split_series
 from workload.inputs import FEATURES, META_SQL, SPEC, SPLIT_SQL, WIN_SQL, flows, positioned, query, table
-from workload.shaping import W_SQL, sma_sql
+from workload.shaping import HYBRID_SQL, SERIES_SQL, W_SQL, sma_sql
 from workload.splitting import rounded, with_labels, with_meta
 
 KEY = ["source", "window_id"]
@@ -48,7 +48,8 @@ def _(spark, sf):
     return rounded(J.recon_score(s, F.col("trend"), KEY), 5)
 
 
-@query("reconstruction_score_hybrid", "J1 H9")
+@query("reconstruction_score_hybrid", "J1 H9", f"""WITH {SERIES_SQL}, {HYBRID_SQL}
+SELECT source, window_id, round(avg(pow(d - y, 2)), 5) AS recon_score FROM inv JOIN rest USING (source, window_id, channel, t) GROUP BY source, window_id""")
 def _(spark, sf):
     s = D.decompose(win.window_series(positioned(spark, sf).drop("label"), SPEC, FEATURES))
     return rounded(J.residual_score(s, KEY), 5)

@@ -249,11 +249,15 @@ def _(spark, sf):
     return at_rows(D.dft_topk(series(spark, sf)), "seasonal", "trend", digits=5)
 
 
-@query("hybrid_decomposition", "H9", f"""WITH {SERIES_SQL}, e AS {ema_sql()},
+# trend, then the energy-filtered part of what it leaves: d in ``rest``, y in ``inv``
+HYBRID_SQL = f"""e AS {ema_sql()},
 rest AS MATERIALIZED (SELECT source, window_id, channel, t, y AS trend, x - y AS d FROM e JOIN ser USING (source, window_id, channel, t)),
 dft AS MATERIALIZED (SELECT source, window_id, channel, b AS bin, sum(d * cos(2 * pi() * ((b * t) % 100) / 100)) AS re,
   -sum(d * sin(2 * pi() * ((b * t) % 100) / 100)) AS im FROM rest, (SELECT unnest(range(51)) AS b) GROUP BY ALL),
-{energy_sql(0.5, 0.97)}, {INVERSE_SQL}
+{energy_sql(0.5, 0.97)}, {INVERSE_SQL}"""
+
+
+@query("hybrid_decomposition", "H9", f"""WITH {SERIES_SQL}, {HYBRID_SQL}
 SELECT source, window_id, channel, t, round(trend + {NUDGE}, 5) + 0.0 AS trend, round(y + {NUDGE}, 5) + 0.0 AS seasonal,
   round(d - y + {NUDGE}, 5) + 0.0 AS residual FROM inv JOIN rest USING (source, window_id, channel, t)""")
 def _(spark, sf):
