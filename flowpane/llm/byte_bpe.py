@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import SegmentTable, sums_by, text_groups, text_or_empty
+from flowpane.llm.common import SegmentTable, kept_in_worker, sums_by, text_groups, text_or_empty
 from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 
 #: Longer pieces are merged by ``merge_long``: the recursive query takes a round per merge over the whole piece.
@@ -214,14 +214,9 @@ class Pieces:
         return lens, values
 
 
-_PIECES: dict[tuple[str, bool], Pieces] = {}
-
-
 def pieces_of(tokenizer: str, digest: bool = False) -> Pieces:
     """The worker's table of pieces, kept between tasks."""
-    if (tokenizer, digest) not in _PIECES:
-        _PIECES[tokenizer, digest] = Pieces(tokenizer, digest)
-    return _PIECES[tokenizer, digest]
+    return kept_in_worker(("pieces", tokenizer, digest), lambda: Pieces(tokenizer, digest))
 
 
 def _encode_batches(tokenizer: str, digest: bool):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +42,22 @@ def release(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make: Callable):
+    """What a worker keeps between tasks under ``key``. Only what was asked for last stays: a worker that serves another operator
+    gives its memory back first."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can do it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """Column names like those wanted that ``df`` does not have, in any spelling."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import SegmentTable, fresh_names, text_groups, text_or_empty
+from flowpane.llm.common import SegmentTable, fresh_names, kept_in_worker, text_groups, text_or_empty
 
 #: Labelled rows of either class that are fitted at most.
 TRAIN_ROWS = 3_000
@@ -270,6 +270,7 @@ def _score_batches(model: Model | None, score: str):
         def values_of(words: list[str]):
             rows = np.array([(-1, -1, -1) if w == _PAD else features(w) for w in words], np.int32)
             return np.full(len(words), 3), rows.ravel()
+        kept_in_worker("toxicity", dict)  # what other operators kept is not needed now
         table, held, done = SegmentTable(values_of, np.int32, 250_000), np.zeros((1 << 16, FILTERS * len(_OFFSETS)), np.float32), 0
         for batch in batches:
             for start, texts in text_groups(batch.columns[-1].fill_null(""), 1_000_000):
