@@ -35,6 +35,8 @@ COMMON = LENGTH - SPAN + 1
 RUN_BYTES, ROW_CONTEXTS = 24_000_000, 64
 #: Front-coded rows of a range of sorted contexts; fewer ranges part fewer neighbourhoods.
 RANGE_ROWS = 1_000
+#: Contexts of a neighbourhood that are compared at once.
+GROUP_CONTEXTS = 8_192
 #: Sampled keys per range.
 OVERSAMPLING = 20
 _RNG = np.random.default_rng(20240229)
@@ -340,10 +342,11 @@ def _merge_range(rows: list[dict]) -> Iterator[dict]:
         if last is not None:
             yield from one(*last[:3])
             last[3] = max(last[3], lcp)
-        if last is None or lcp < COMMON:
+        if last is None or lcp < COMMON or len(group) >= GROUP_CONTEXTS:
+            parted = last is not None and lcp >= COMMON  # a large neighbourhood is parted as if by a splitter
             if group:
-                yield from _judged(group, not at_edge)
-                at_edge = False
+                yield from _judged(group, not at_edge and not parted)
+                at_edge = parted
             group = []
         last = [key, times, member, lcp if last is not None else LENGTH]
         group.append(last)

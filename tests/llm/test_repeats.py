@@ -76,3 +76,26 @@ def test_splitters_between_all_contexts(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == collections.Counter(brute([t.encode() for t in texts]))
+
+
+def test_parted_neighbourhoods(monkeypatch):
+    """A neighbourhood that is compared in parts puts out every window that could stand in another part."""
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n)).encode()
+    right, lefts = prose(300), [prose(100), prose(100)]
+    keys = sorted({repeats.context(prose(150) + lefts[i % 2] + right + prose(200), 250, 60, 190) for i in range(11)})
+    rows = lambda: [(common_prefix(keys[i - 1], k) if i else 0, (k, 1, i, i, 250)) for i, k in enumerate(keys)]
+    monkeypatch.setattr(repeats, "_coded_items", lambda own: iter(rows()))
+
+    def settled(parts):
+        monkeypatch.setattr(repeats, "GROUP_CONTEXTS", parts)
+        out = list(repeats._merge_range([{"run": 1, "seq": 1}]))
+        sure = {(r["k1"], w) for r in out if "w1" not in r for w in range(r["low"], r["high"] + 1)}
+        open_ = [(r["k1"], r["low"] + i, w, r["times"]) for r in out if "w1" in r for i, w in enumerate(zip(r["w1"], r["w2"]))]
+        times = collections.Counter()
+        for _, _, w, n in open_:
+            times[w] += n
+        return sure | {(k, low) for k, low, w, _ in open_ if k is not None and times[w] > 1}
+
+    whole = settled(10_000)
+    assert whole and settled(2) == whole and settled(4) == whole
