@@ -44,8 +44,7 @@ TABLE_CHUNKS = 800_000
 def word_ids_table(tokenizer: str) -> SegmentTable:
     """The worker's table of chunks and their ids, kept between tasks."""
     if tokenizer not in _TABLES:
-        encoder = WordEncoder(tokenizer)
-        encoder.known[_END] = [END_ID]
+        encoder = WordEncoder(tokenizer, {_END: [END_ID]})
         _TABLES[tokenizer] = SegmentTable(encoder.values_of, np.int32, TABLE_CHUNKS)
     return _TABLES[tokenizer]
 

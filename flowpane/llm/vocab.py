@@ -12,6 +12,8 @@ import numpy as np
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
+#: Pretokens whose ids an encoder keeps; only time depends on it.
+KNOWN_PRETOKENS = 250_000
 
 #: White space as the word vocabulary's normaliser sees it (Unicode White_Space).
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -90,12 +92,16 @@ def chunk_pretokens(chunk: str) -> list[str] | None:
 
 
 class WordEncoder:
-    """Ids of chunks by the tokenizers library: its model on every distinct pretoken, its whole pipeline where needed."""
+    """Ids of chunks by the tokenizers library: its model on every distinct pretoken, its whole pipeline where needed.
 
-    def __init__(self, name: str = WORD_BPE) -> None:
+    ``fixed`` gives the ids of pretokens that the model is not asked for; they outlast the cache.
+    """
+
+    def __init__(self, name: str = WORD_BPE, fixed: dict[str, list[int]] | None = None) -> None:
         self.tokenizer = word_tokenizer(name)
         self.model = self.tokenizer.model
-        self.known: dict[str, list[int]] = {}
+        self.fixed = fixed or {}
+        self.known: dict[str, list[int]] = dict(self.fixed)
 
     def pretoken(self, letters: str) -> list[int]:
         ids = self.known.get(letters)
@@ -112,8 +118,8 @@ class WordEncoder:
         return [i for x in parts for i in self.pretoken(x)]
 
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 250_000:
-            self.known.clear()
+        if len(self.known) > KNOWN_PRETOKENS:
+            self.known = dict(self.fixed)
         ids = list(map(self.chunk, chunks))
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         return lens, np.fromiter((i for x in ids for i in x), np.int32, int(lens.sum()))

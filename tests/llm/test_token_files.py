@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from flowpane.llm import token_files, vocab
 from flowpane.llm.common import scratch_path
 from flowpane.llm.token_files import CodeBook, block_ids, code_lengths, document_ids, lane_starts, read_book, read_tokens, write_tokens
 from flowpane.llm.vocab import word_tokenizer
@@ -66,3 +67,15 @@ def test_empty_table(spark):
     path = write_tokens(frame(spark, []), scratch_path(spark, "tokens"))
     assert read_tokens(spark, path).count() == 0
     assert len(read_book(spark, path)[0]) == 0
+
+
+def test_end_ids_outlast_the_caches_of_a_worker(monkeypatch):
+    monkeypatch.setattr(token_files, "_TABLES", {})
+    monkeypatch.setattr(token_files, "TABLE_CHUNKS", 20)
+    monkeypatch.setattr(vocab, "KNOWN_PRETOKENS", 10)
+    table = token_files.word_ids_table(vocab.WORD_BPE)
+    for k in range(40):
+        words = [f"w{chr(97 + k % 26)}{chr(97 + j)}{'x' * (k // 26)}" for j in range(8)]
+        at, _ = table.numbers([[*words, token_files._END]])
+        assert table.ragged.take(at).tolist() == [*word_tokenizer().encode(" ".join(words), add_special_tokens=False).ids, 1]
+    assert table.dropped
