@@ -54,6 +54,25 @@ def test_ranges_follow_the_size_of_the_table(spark, skewed, monkeypatch):
     assert got.merge(want, on=["key", "ts", "id", "pos"]).shape[0] == len(skewed)
 
 
+def test_ranges_do_not_follow_estimates_of_joins(spark, skewed, monkeypatch):
+    """The estimate of a join is the product of its sides; a few rows must not become thousands of ranges."""
+    df = spark.createDataFrame(skewed)
+    monkeypatch.setattr(O, "RANGE_BYTES", 1 << 20)
+    few = df.where("id < 50").join(df.select("id"), "id").join(df.select("id"), "id")
+    assert O.planned_ranges(few) > 1000
+    seg = O.range_segments(few, ["key"], ["ts", "id"])
+    assert seg.rdd.getNumPartitions() <= 16 and seg.agg({O.SEG: "max"}).first()[0] < 8
+    got = O.with_position(few, ["key"], ["ts", "id"]).toPandas()
+    want = few.toPandas().sort_values(["key", "ts", "id"]).assign(pos=lambda d: d.groupby("key").cumcount())
+    assert got.merge(want, on=["key", "ts", "id", "pos"]).shape[0] == len(want)
+
+
+def test_ranges_of_a_written_table_follow_its_rows(spark, skewed, monkeypatch):
+    df = spark.createDataFrame(skewed)
+    monkeypatch.setattr(O, "RANGE_ROWS", len(skewed) // 20)
+    assert O.planned_ranges(df) is None and O.planned_ranges(df, len(skewed)) >= 20
+
+
 def test_running_totals_with_next(spark, skewed):
     df = O.value_counts(spark.createDataFrame(skewed), ["key"], "v")
     got = O.running_totals(df, ["key"], ["v"], ["n"], following="v").toPandas().sort_values(["key", "v"])
