@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,51 @@ FREQUENCIES = 1024
 CELL, ORDERS, REACH = 0.25, 12, 6.5
 
 
+#: Rows whose features are held at once: arrays stay in the processor's cache, and below the size from which the system maps fresh pages.
+CHUNK_ROWS = 12
+#: Points of the unit circle in a table; from the nearest one, a series of two terms is off by less than 2e-13.
+CIRCLE = 1 << 15
+
+
+@lru_cache(maxsize=1)
+def _circle() -> tuple[np.ndarray, np.ndarray]:
+    turns = 2 * np.pi * np.arange(CIRCLE) / CIRCLE
+    return np.cos(turns), np.sin(turns)
+
+
+@lru_cache(maxsize=2)
+def _work(shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((5, *shape)), np.empty(shape, np.int64)
+
+
+def cos_sin(phase: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine and sine of every phase by look-up and a small turn, in a fraction of the time of numpy's two calls, which serve
+    phases that are too large for it or not finite. The arrays are used again by the next call."""
+    (turn, near, c, s, x), at = _work(phase.shape)
+    np.multiply(phase, CIRCLE / (2 * np.pi), out=turn)
+    if not (turn.max(initial=0.0) < 2.0**30 and turn.min(initial=0.0) > -(2.0**30)):
+        return np.cos(phase), np.sin(phase)
+    np.rint(turn, out=near)
+    turn -= near
+    turn *= 2 * np.pi / CIRCLE
+    np.copyto(at, near, casting="unsafe")
+    at &= CIRCLE - 1
+    for table, out in zip(_circle(), (c, s), strict=True):
+        table.take(at, out=out, mode="clip")
+    # for a turn t: cos - t (sin + cos t / 2), sin + t (cos - sin t / 2)
+    np.multiply(turn, 0.5, out=near)
+    np.multiply(c, near, out=x)
+    x += s
+    x *= turn
+    near *= s
+    np.subtract(c, near, out=near)
+    near *= turn
+    c -= x
+    s += near
+    return c, s
+
+
+@lru_cache(maxsize=4)
 def frequencies(n: int, dims: int, seed: int) -> np.ndarray:
     """``n`` standard normal vectors (columns) drawn from MD5 hashes, the same in any engine that has it."""
     def uniform(j: int, c: int, part: int) -> float:
@@ -64,9 +110,11 @@ def _sums(df: DataFrame, by: Sequence[str], columns: Callable[[np.ndarray, np.nd
             groups, first = np.unique(code, return_index=True)
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             scales = batch.column(scale).to_numpy(zero_copy_only=False) if scale else np.ones(batch.num_rows)
-            rows = np.concatenate([np.ones((len(code), 1)), columns(vectors, scales)], axis=1)
-            sums = [rows[code == g].sum(axis=0) for g in groups]
-            out = pa.Table.from_batches([keys]).take(pa.array(first)).append_column("sums", pa.array(sums, pa.list_(pa.float64())))
+            of_group, sums = (groups[:, None] == code).astype(np.float64), 0.0
+            for at in range(0, len(code), CHUNK_ROWS):
+                here = slice(at, at + CHUNK_ROWS)
+                sums = sums + np.concatenate([of_group[:, here].sum(axis=1, keepdims=True), of_group[:, here] @ columns(vectors[here], scales[here])], axis=1)
+            out = pa.Table.from_batches([keys]).take(pa.array(first)).append_column("sums", pa.array(list(sums), pa.list_(pa.float64())))
             yield from out.to_batches()
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"side {kinds['side']}", "sums array<double>"])
@@ -111,7 +159,7 @@ def mmd(vectors: DataFrame, by: Sequence[str] = (), gamma: float | None = None,
 
     def features(x: np.ndarray, gammas: np.ndarray) -> np.ndarray:
         phase = (x * np.sqrt(2 * gammas)[:, None]) @ frequencies(n_frequencies, x.shape[1], seed)
-        return np.concatenate([np.cos(phase), np.sin(phase)], axis=1)
+        return np.concatenate(cos_sin(phase), axis=1)
 
     sums = _sums(rows, [*by, "gamma"], features, "gamma").withColumn("_g", _gaps())
     terms = F.zip_with(F.slice("_g", 1, n_frequencies), F.slice("_g", n_frequencies + 1, n_frequencies), lambda c, s: c * c + s * s)

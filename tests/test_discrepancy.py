@@ -76,3 +76,19 @@ def test_feature_mmd_equals_all_pairs(spark, gamma):
 def test_feature_without_a_side(spark):
     df = spark.createDataFrame([("f", "a", 1.0), ("g", "a", 1.0), ("g", "b", 1.0)], "feature string, side string, value double")
     assert [(r["feature"], r["mmd2"]) for r in Y.mmd_per_feature(df, 1.0).collect()] == [("g", 0.0)]
+
+
+def test_cosines_by_look_up():
+    rng = np.random.default_rng(8)
+    phase = np.concatenate([rng.normal(size=5000) * 50, np.arange(-64, 64) * np.pi / 8, [0.0, -0.0, 1e5, -1e5]])
+    for got, want in zip(Y.cos_sin(phase), (np.cos(phase), np.sin(phase)), strict=True):
+        assert np.abs(got - want).max() < 1e-11
+    large = np.array([1e300, -1e12, 3.0])
+    assert (Y.cos_sin(large)[0] == np.cos(large)).all() and Y.cos_sin(np.zeros((0, 4)))[0].shape == (0, 4)
+    with np.errstate(invalid="ignore"):
+        assert np.isnan(Y.cos_sin(np.array([np.nan, np.inf, 1.0]))[1][:2]).all()
+
+
+def test_the_draw_of_frequencies_is_kept():
+    """It takes as long as some thousand rows, and every batch asks for it."""
+    assert Y.frequencies(64, 2, 3) is Y.frequencies(64, 2, 3)
