@@ -55,6 +55,25 @@ def test_block_cells_see_each_pair_once(spark, monkeypatch):
     assert len(m) == 83 * 83 and np.allclose(m["cosine"], g[m["a"], m["b"]])
 
 
+def test_cosine_summary_sends_a_vector_to_few_cells(spark, monkeypatch):
+    """Ten times the rows must not send every vector to ten times the cells; strips and blocks change no result."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(V, "FEW_BLOCKS", 3)
+    monkeypatch.setattr(V, "STRIP_ROWS", 7)
+    x = np.random.default_rng(2).normal(size=(200, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>")
+    assert V._unit_cells(df, "id", "v", only_sums=True).count() <= 3 * 200
+    assert V._unit_cells(df, "id", "v").count() == 25 * 200
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    off = (u @ u.T)[np.triu_indices(200, 1)]
+    s = V.cosine_summary(df, "id", "v").first()
+    assert (s["mean"], s["max"], s["min"]) == pytest.approx((off.mean(), off.max(), off.min()))
+    monkeypatch.setattr(V, "BLOCK_NUMBERS", 50)
+    assert V.summary_block_rows(200, 5) == 10 and V.summary_block_rows(20, 5) == 8
+    assert V.cosine_summary(df, "id", "v").first()["max"] == pytest.approx(off.max())
+
+
 def test_band_weight_shape(spark):
     w = [r[0] for r in spark.range(51).select(I.band_weight(F.col("id"), 51)).collect()]
     assert w[0] == 0 and w[3] == 0.2 and w[12] == 1.0 and w[40] == 0.6 and w[5] <= w[7] <= w[9]
