@@ -95,9 +95,10 @@ def width(mean_square: Column) -> Column:
 
 # ---- vectors -------------------------------------------------------------------------------------------------------
 
-def _sums(df: DataFrame, by: Sequence[str], columns: Callable[[np.ndarray, np.ndarray], np.ndarray], scale: str | None = None) -> DataFrame:
+def _sums(df: DataFrame, by: Sequence[str], columns: Callable[[np.ndarray, np.ndarray], np.ndarray], scale: str | None = None,
+          times: str | None = None) -> DataFrame:
     """(by, s): per group, a struct array of (pos, a, b), the sums over each side of the rows of ``columns(matrix, scales)``;
-    position 0 counts rows. Only one partial sum per batch and group leaves a task."""
+    position 0 counts rows. A row counts as often as ``times`` says. Only one partial sum per batch and group leaves a task."""
     by = list(by)
     kinds = dict(df.dtypes)
 
@@ -111,6 +112,8 @@ def _sums(df: DataFrame, by: Sequence[str], columns: Callable[[np.ndarray, np.nd
             vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             scales = batch.column(scale).to_numpy(zero_copy_only=False) if scale else np.ones(batch.num_rows)
             of_group, sums = (groups[:, None] == code).astype(np.float64), 0.0
+            if times:
+                of_group *= batch.column(times).to_numpy(zero_copy_only=False)
             for at in range(0, len(code), CHUNK_ROWS):
                 here = slice(at, at + CHUNK_ROWS)
                 sums = sums + np.concatenate([of_group[:, here].sum(axis=1, keepdims=True), of_group[:, here] @ columns(vectors[here], scales[here])], axis=1)
@@ -118,7 +121,7 @@ def _sums(df: DataFrame, by: Sequence[str], columns: Callable[[np.ndarray, np.nd
             yield from out.to_batches()
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"side {kinds['side']}", "sums array<double>"])
-    wanted = dict.fromkeys([*by, "side", "vector", *([scale] if scale else [])])
+    wanted = dict.fromkeys([*by, "side", "vector", *([scale] if scale else []), *([times] if times else [])])
     parts = df.select(*wanted).mapInArrow(run, schema)
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("v")))
     sums = parts.select(*by, "side", F.posexplode("sums").alias("pos", "v")).groupBy(*by, "pos").agg(side("a").alias("a"), side("b").alias("b"))
@@ -131,23 +134,25 @@ def _gaps(s: str = "s") -> Column:
     return F.transform(F.slice(s, 2, F.size(s) - 1), lambda p: F.try_divide(p["a"], head["a"]) - F.try_divide(p["b"], head["b"]))
 
 
-def mmd(vectors: DataFrame, by: Sequence[str] = (), gamma: float | None = None, n_frequencies: int = FREQUENCIES, seed: int = 0) -> DataFrame:
+def mmd(vectors: DataFrame, by: Sequence[str] = (), gamma: float | None = None, n_frequencies: int = FREQUENCIES, seed: int = 0,
+        times: str | None = None) -> DataFrame:
     """(by, gamma, mmd2, mmd, error): discrepancy of the sides 'a' and 'b' of every group of ``vectors`` (by, side, vector).
 
-    All rows count. Without ``gamma``, the width comes from the mean squared distance between the sides, E|a|^2 + E|b|^2 - 2 E a . E b.
+    All rows count, each as often as the column ``times`` says if one is named. Without ``gamma``, the width comes from the mean squared distance between the sides, E|a|^2 + E|b|^2 - 2 E a . E b.
     ``mmd2`` is a mean over frequencies, unbiased over their draw, of terms between 0 and 4 (so off by more than
     t with probability at most 2 exp(-n t^2 / 8)); ``error`` is its standard error, measured from the same terms.
     """
     by = list(by)
     whole = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(*by, "side", F.col("vector").cast("array<double>").alias("vector")).where(whole & F.col("side").isin("a", "b"))
+    rows = vectors.select(*by, "side", F.col("vector").cast("array<double>").alias("vector"), *([times] if times else [])).where(
+        whole & F.col("side").isin("a", "b"))
     if gamma is None:
         halves = lambda s, f: F.aggregate(F.slice(s, 2, ((F.size(s) - 1) / 2).cast("int")), F.lit(0.0), f)
         squares = lambda s: F.slice(s, F.size(s) - ((F.size(s) - 1) / 2).cast("int") + 1, ((F.size(s) - 1) / 2).cast("int"))
         na, nb = F.element_at("s", 1)["a"], F.element_at("s", 1)["b"]
         between = (F.aggregate(squares("s"), F.lit(0.0), lambda t, p: t + F.try_divide(p["a"], na) + F.try_divide(p["b"], nb))
                    - 2 * halves("s", lambda t, p: t + F.try_divide(p["a"], na) * F.try_divide(p["b"], nb)))
-        widths = materialise(_sums(rows, by, lambda x, _: np.concatenate([x, x * x], axis=1)).select(*by, width(between).alias("gamma")))
+        widths = materialise(_sums(rows, by, lambda x, _: np.concatenate([x, x * x], axis=1), times=times).select(*by, width(between).alias("gamma")))
         if by:
             rows = null_safe_join(rows, widths, by)
         else:
@@ -161,7 +166,7 @@ def mmd(vectors: DataFrame, by: Sequence[str] = (), gamma: float | None = None,
         phase = (x * np.sqrt(2 * gammas)[:, None]) @ frequencies(n_frequencies, x.shape[1], seed)
         return np.concatenate(cos_sin(phase), axis=1)
 
-    sums = _sums(rows, [*by, "gamma"], features, "gamma").withColumn("_g", _gaps())
+    sums = _sums(rows, [*by, "gamma"], features, "gamma", times).withColumn("_g", _gaps())
     terms = F.zip_with(F.slice("_g", 1, n_frequencies), F.slice("_g", n_frequencies + 1, n_frequencies), lambda c, s: c * c + s * s)
     sums = sums.withColumn("_t", terms)
     total = F.aggregate("_t", F.lit(0.0), lambda t, x: t + x)

@@ -22,6 +22,13 @@ def window_values(series: DataFrame, keep: Sequence[str]) -> DataFrame:
     return series.select(*keep, F.col("channel").alias("feature"), F.explode("x").alias("value"))
 
 
+def counted_vectors(windows: DataFrame, keep: Sequence[str], number: str = "n") -> DataFrame:
+    """Flow rows of windows with ``vectors``, equal ones once: (keep, vector, number). A row stands in several windows, most of which
+    are alike in ``keep`` and in one task, so few rows leave it."""
+    rows = windows.select(*keep, F.explode("vectors").alias("vector"))
+    return rows.groupBy(*keep, "vector").agg(F.count(F.lit(1)).alias(number))
+
+
 def two_sides(df: DataFrame, column: str, a: str, b: str) -> DataFrame:
     """Keep the rows of groups ``a`` and ``b`` of a column, as sides."""
     side = F.when(F.col(column) == a, "a").when(F.col(column) == b, "b")

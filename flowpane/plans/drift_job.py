@@ -39,9 +39,7 @@ def shift_of(windows: WindowSet, features: Sequence[str], a: str = "train", b: s
     """
     long = materialise(drift.two_sides(windows.series(features), "split", a, b))
     tall = drift.window_values(long, ["side"])
-    wide = long.groupBy("source", "window_id", "side").agg(*[F.max(F.when(F.col("channel") == f, F.col("x"))).alias(f) for f in features])
-    rows = wide.select("side", F.explode(F.arrays_zip(*features)).alias("z"))
-    vectors = rows.select("side", F.array(*[F.col("z").getField(f) for f in features]).alias("vector"))
+    vectors = materialise(drift.counted_vectors(drift.two_sides(windows.vectors(features), "split", a, b), ["side"]))
     distances = materialise(drift.with_significance(drift.distribution_distances(tall)))
-    return drift.shift_report(distances, discrepancy.mmd(vectors, seed=seed), drift.label_shift(windows.labels(), a, b),
+    return drift.shift_report(distances, discrepancy.mmd(vectors, seed=seed, times="n"), drift.label_shift(windows.labels(), a, b),
                               discrepancy.mmd_per_feature(tall))

@@ -34,6 +34,9 @@ class WindowSet:
     def series(self, features: Sequence[str]) -> DataFrame:
         return self.integrated(W.window_series(self.flows, self.spec, features))
 
+    def vectors(self, features: Sequence[str]) -> DataFrame:
+        return self.integrated(W.window_vectors(self.flows, self.spec, features))
+
 
 def build_window_set(clean: DataFrame, spec: WindowSpec, order: Sequence[str], features: Sequence[str],
                      source_order: Sequence[str] | None = None) -> WindowSet:

@@ -92,3 +92,16 @@ def test_cosines_by_look_up():
 def test_the_draw_of_frequencies_is_kept():
     """It takes as long as some thousand rows, and every batch asks for it."""
     assert Y.frequencies(64, 2, 3) is Y.frequencies(64, 2, 3)
+
+
+def test_vectors_that_count_several_times(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(30, 2)), rng.normal(1, 1, size=(20, 2))
+    often = rng.integers(1, 6, 50)
+    rows = [("a" if i < 30 else "b", v.tolist(), int(n)) for i, (v, n) in enumerate(zip([*a, *b], often, strict=True))]
+    merged = spark.createDataFrame(rows, "side string, vector array<double>, n long").repartition(4)
+    each = spark.createDataFrame([r[:2] for r in rows for _ in range(r[2])], "side string, vector array<double>")
+    for gamma in (None, 0.4):
+        got, want = Y.mmd(merged, gamma=gamma, times="n").first(), Y.mmd(each, gamma=gamma).first()
+        assert got["gamma"] == pytest.approx(want["gamma"]) and got["mmd2"] == pytest.approx(want["mmd2"], rel=1e-9)
+        assert got["error"] == pytest.approx(want["error"])

@@ -89,3 +89,23 @@ def test_drift_verdicts(spark):
     df = spark.createDataFrame([("A", "x", 0.5), ("B", "x", 0.48), ("A", "y", 0.5), ("B", "y", 0.1), ("A", "z", 0.1), ("B", "z", 0.05)],
                                "pair string, feature string, ks double")
     assert {r["feature"]: r["source"] for r in I.drift_sources(df).collect()} == {"x": "Covariate", "y": "Anomaly", "z": "Mixed"}
+
+
+def test_rows_of_overlapping_windows_are_counted_vectors(spark):
+    """A flow row stands in up to five windows here; what goes on is one row, with how often it counts."""
+    from collections import Counter
+
+    from flowpane.plans.window_job import build_window_set
+    from flowpane.operators.windows import WindowSpec
+
+    rows = [("s", i, "x" if 25 <= i < 27 else "Benign", float(i % 40), None if i == 3 else float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "source string, ts int, label string, u double, v double")
+    w = build_window_set(df, WindowSpec(20, 4), ["ts"], ["u", "v"])
+    got = I.counted_vectors(w.vectors(["u", "v"]), ["split", "is_malicious"]).collect()
+    want = Counter()
+    for first in range(0, 41, 4):
+        own = rows[first:first + 20]
+        split = "train" if first // 4 < 6 else "val" if first // 4 < 8 else "test"
+        for r in own:
+            want[split, int(any(x[2] == "x" for x in own)), (r[3], r[4])] += 1
+    assert {(r["split"], r["is_malicious"], tuple(r["vector"])): r["n"] for r in got} == want and len(got) == len(want)

@@ -269,14 +269,12 @@ SELECT round(a, 6) AS mmd_a, round(b, 6) AS mmd_b, round(a - b, 6) + 0.0 AS mmd_
   CASE WHEN b > 0.05 AND s > 0.5 THEN 'adapt the reconstruction baseline' WHEN a > 0.05 THEN 'adapt the threshold' ELSE 'add synthetic drift' END AS advice,
   a - b > 0.03 AS anomalies_matter FROM m, sg""")
 def _(spark, sf):
-    s = split_series(spark, sf)
+    windows = build_window_set(flows(spark, sf), SPEC, EVENT_ORDER, FEATURES)
+    keep = ["split", "is_malicious"]
     d = I.with_significance(I.distribution_distances(
-        I.as_pairs(I.window_values(s, ["split", "is_malicious"])), ["pair", "feature"]))
-    wide = s.groupBy("source", "window_id", "split", "is_malicious").agg(
-        *[F.max(F.when(F.col("channel") == f, F.col("x"))).alias(f) for f in FEATURES])
-    rows = wide.select("split", "is_malicious", F.explode(F.arrays_zip(*FEATURES)).alias("z"))
-    vec = rows.select("split", "is_malicious", F.array(*[F.col(f"z.{f}") / 100 for f in FEATURES]).alias("vector"))
-    out = rounded(I.drift_verdict(Y.mmd(I.as_pairs(vec), ["pair"], seed=SEED), d))
+        I.as_pairs(I.window_values(windows.series(FEATURES), keep)), ["pair", "feature"]))
+    vec = I.counted_vectors(windows.vectors(FEATURES), keep).withColumn("vector", F.transform("vector", lambda x: x / 100))
+    out = rounded(I.drift_verdict(Y.mmd(I.as_pairs(materialise(vec)), ["pair"], seed=SEED, times="n"), d))
     return out.withColumn("mmd_diff", F.col("mmd_diff") + 0.0)
 
 
