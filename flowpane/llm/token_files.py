@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowpane.llm.common import SegmentTable, ragged_index, scratch_path, stage, sums_by, text_groups, text_or_empty
-from flowpane.llm.vocab import WORD_BPE, WordEncoder, space_chunks
+from flowpane.llm.common import SegmentTable, ragged_index, scratch_path, stage, sums_by, text_groups, text_or_empty, text_slices
+from flowpane.llm.vocab import WORD_BPE, WordEncoder, space_chunk_lists
 
 END_ID = 1
 #: Longest code in bits; the decoding table has 2 ** MAX_BITS entries.
@@ -165,8 +165,9 @@ def _encode_batches(tokenizer: str):
         kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("token", pa.list_(pa.int32())),
                           ("times", pa.list_(pa.int64()))])
         for batch in batches:
-            for start, texts in text_groups(batch.column(1)):
-                at, n_chunks = table.numbers([[*space_chunks(x), _END] for x in texts])
+            for start, texts in text_slices(batch.column(1)):
+                at, n_chunks = table.numbers_of(space_chunk_lists(texts))
+                at, n_chunks = np.insert(at, np.cumsum(n_chunks), table.number(_END)), n_chunks + 1
                 ids = table.ragged.take(at)
                 if int(ids.max()) >= len(counts):
                     raise ValueError("ids of more than 16 bits")

@@ -8,6 +8,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +62,13 @@ def space_chunks(text: str) -> list[str]:
     return [x for x in _SPLIT.split(text) if x] if _SEPARATORS.search(text) else text.split()
 
 
+def space_chunk_lists(texts: pa.Array) -> pa.ListArray:
+    """The chunks of every text, cut in Arrow; some are empty, and have no ids."""
+    if pc.any(pc.match_substring_regex(texts, r"[\x1c-\x1f]")).as_py():
+        return pa.array([space_chunks(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
+
+
 @lru_cache(maxsize=1)
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""

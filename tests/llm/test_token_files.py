@@ -79,3 +79,23 @@ def test_end_ids_outlast_the_caches_of_a_worker(monkeypatch):
         at, _ = table.numbers([[*words, token_files._END]])
         assert table.ragged.take(at).tolist() == [*word_tokenizer().encode(" ".join(words), add_special_tokens=False).ids, 1]
     assert table.dropped
+
+
+def test_chunks_cut_in_arrow():
+    """White space of any kind cuts, the four separators do not, and each different chunk is looked up once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowpane.llm.common import SegmentTable
+    from flowpane.llm.vocab import space_chunk_lists, space_chunks
+
+    texts = ["", " ", "one two\tone\x85two one​two ", "\n a\x0bb　a", "a\x1cb a"]
+    for some in (texts[:4], texts):
+        lists = space_chunk_lists(pa.array(some))
+        assert [[c for c in x if c] for x in lists.to_pylist()] == [space_chunks(t) for t in some]
+        asked = []
+        table = SegmentTable(lambda new: (asked.extend(new), (np.ones(len(new), np.int64), np.arange(len(new))))[1])
+        at, counts = table.numbers_of(lists)
+        again, same = table.numbers(lists.to_pylist())
+        assert (at == again).all() and (counts == same).all() and len(asked) == len(set(asked)) == len(table.index)
+        assert table.number(" ") == len(table.index) - 1 and table.number(" ") == len(table.index) - 1
