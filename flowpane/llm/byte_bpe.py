@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpane.llm.common import SegmentTable, kept_in_worker, sums_by, text_groups, text_or_empty
+from flowpane.llm.common import GROUP_CHARS, SegmentTable, give_back, kept_in_worker, sums_by, text_groups, text_or_empty
 from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 
 #: Longer pieces are merged by ``merge_long``: the recursive query takes a round per merge over the whole piece.
@@ -30,8 +30,10 @@ from flowpane.llm.vocab import BYTE_BPE, byte_ranks
 LONG_PIECE = 96
 #: Pieces that go into one recursive query.
 QUERY_PIECES = 10_000
-#: Entries that a worker keeps, half as many where only ids are wanted (other stages share its memory there); only time depends on them.
+#: Segments and pieces that a worker keeps for digests, and where only ids are wanted: other stages share its memory there, so it also
+#: takes smaller groups of texts. Only time depends on them.
 CACHED_SEGMENTS, CACHED_PIECES = 500_000, 600_000
+ENCODED_SEGMENTS, ENCODED_PIECES, ENCODED_CHARS = 120_000, 200_000, GROUP_CHARS // 8
 
 ENCODE = """
 WITH RECURSIVE steps(piece, round, pos, npos, token, next, pair) AS (
@@ -61,6 +63,16 @@ FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.piece ORDER BY t
 """
 
 
+class Merges:
+    """The rank of a pair of neighbours, read off the ranks of tokens: few pieces ask, so no table of all pairs is kept for them."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
+
+    def get(self, pair: tuple[int, int]) -> int | None:
+        return self.ranks.get(self.token[pair[0]] + self.token[pair[1]])
+
+
 class BytePairs:
     """The merge table and the vocabulary of a rank file in a DuckDB of the worker's own."""
 
@@ -70,7 +82,7 @@ class BytePairs:
         self.base = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t))
                   if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.merge_of = {(a, b): rank for a, b, rank in merges}
+        self.merge_of = Merges(self.ranks)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._put("merges", pa.table({"a": a, "b": b, "rank": rank}))
@@ -81,6 +93,13 @@ class BytePairs:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {table} AS SELECT * FROM given")
         self.db.unregister("given")
 
+    def _ask(self, query: str, table: str, rows: pa.Table) -> dict[str, np.ndarray]:
+        """The query over ``rows``, which it reads once where they are: tables made anew for every query were seen to leave memory."""
+        self.db.register(table, rows)
+        found = self.db.execute(query).fetchnumpy()
+        self.db.unregister(table)
+        return found
+
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of tokens of every piece, tokens): a piece that is a token stays whole, others are merged."""
         out: list = [None] * len(pieces)
@@ -101,11 +120,10 @@ class BytePairs:
             after = np.append(flat[1:], 0)
             last = np.zeros(len(flat), bool)
             last[ends - 1] = True
-            self._put("start", pa.table({
+            rows = self._ask(ENCODE, "start", pa.table({
                 "piece": np.repeat(np.arange(len(some), dtype=np.int32), lens),
                 "pos": (np.arange(len(flat)) - np.repeat(ends - lens, lens)).astype(np.int32),
                 "token": flat, "next": pa.array(after, pa.int32(), mask=last)}))
-            rows = self.db.execute(ENCODE).fetchnumpy()
             cuts = np.searchsorted(rows["piece"], np.arange(len(some) + 1)).tolist()
             tokens = rows["token"].tolist()
             for j, i in enumerate(some):
@@ -116,16 +134,15 @@ class BytePairs:
     def decode(self, lens: np.ndarray, tokens: np.ndarray) -> list[bytes]:
         """The bytes of consecutive runs of tokens."""
         ends = np.cumsum(lens)
-        self._put("tokens", pa.table({"piece": np.repeat(np.arange(len(lens)), lens),
-                                      "pos": np.arange(len(tokens)) - np.repeat(ends - lens, lens), "token": tokens}))
-        rows = self.db.execute(DECODE).fetchnumpy()
+        rows = self._ask(DECODE, "tokens", pa.table({"piece": np.repeat(np.arange(len(lens)), lens),
+                                                     "pos": np.arange(len(tokens)) - np.repeat(ends - lens, lens), "token": tokens}))
         out = [b""] * len(lens)
         for i, text in zip(rows["piece"].tolist(), rows["bytes"].tolist(), strict=True):
             out[i] = bytes.fromhex(text)
         return out
 
 
-def merge_long(tokens: list[int], merge_of: dict[tuple[int, int], int]) -> list[int]:
+def merge_long(tokens: list[int], merge_of: Merges) -> list[int]:
     """The same contraction, leftmost pair of least rank first, by a heap over a linked list: n log n for long pieces."""
     n = len(tokens)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -172,14 +189,17 @@ class Pieces:
     def __init__(self, name: str = BYTE_BPE, digest: bool = False) -> None:
         self.pairs, self.digest = BytePairs(name), digest
         self.known: dict[str, tuple[bytes, bytes]] = {}  # ids as 32-bit numbers, decoded bytes
-        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS if digest else CACHED_SEGMENTS // 2)
+        self.most = CACHED_PIECES if digest else ENCODED_PIECES
+        self.table = SegmentTable(self.values_of, np.int32, CACHED_SEGMENTS if digest else ENCODED_SEGMENTS)
         self.text: list[str] = []
         self.decoded: list[bytes] = []
 
     def values_of(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(new) == len(self.table.index):  # the table has been dropped
+        dropped = len(new) == len(self.table.index)
+        if dropped:
             self.text, self.decoded = [], []
-        if len(self.known) > (CACHED_PIECES if self.digest else CACHED_PIECES // 2):
+        # ids alone: both go at once, since what is left of one would hold on to the pages of the other
+        if len(self.known) > self.most or (dropped and not self.digest):
             self.known.clear()
         find = _pattern()[0].findall
         cut = list(map(find, new))
@@ -223,8 +243,10 @@ def _encode_batches(tokenizer: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(tokenizer, digest)
         for batch in batches:
-            for start, texts in text_groups(batch.column(1)):
+            for start, texts in text_groups(batch.column(1), GROUP_CHARS if digest else ENCODED_CHARS):
                 at, counts = pieces.table.numbers(list(map(segments, texts)))
+                if not digest:
+                    give_back()
                 ids, lens = pieces.table.ragged, pieces.table.ragged.lens(at)
                 ends = np.cumsum(counts)
                 if not digest:

@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from flowpane.llm.byte_bpe import BytePairs, decode, encode, merge_long, round_trip, segments
+from flowpane.llm.byte_bpe import ENCODED_PIECES, ENCODED_SEGMENTS, BytePairs, Pieces, decode, encode, merge_long, round_trip, segments
 from flowpane.llm.vocab import byte_encoding
 
 
@@ -42,3 +43,20 @@ def test_documents(spark):
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((back[r["doc_id"]]).encode()).hexdigest()
     assert encode(docs.filter(F.lit(False))).count() == round_trip(docs.filter(F.lit(False))).count() == 0
+
+
+def test_worker_that_wants_ids_keeps_little():
+    pieces, library = Pieces(), byte_encoding()
+    assert not isinstance(pieces.pairs.merge_of, dict)  # all pairs are in DuckDB already
+    words = [f" w{i}x" for i in range(50)]
+    pieces.table.limit = 20  # of a segment each; the next group starts anew, and the pieces with it
+    want = [library.encode_ordinary(w) for w in words]
+    for some, own in ((words[:30], want[:30]), (words[25:], want[25:])):
+        at, _ = pieces.table.numbers([some])
+        assert pieces.table.ragged.take(at).tolist() == [i for x in own for i in x]
+    assert " w" in pieces.known and not {w for w in pieces.known if w.isdigit() and int(w) < 25}
+    assert pieces.most == ENCODED_PIECES < Pieces(digest=True).most and Pieces().table.limit == ENCODED_SEGMENTS
+    lens, tokens = pieces.pairs.encode([b"qzqzq", b"zqzqz"])
+    assert pieces.pairs.decode(lens, tokens) == [b"qzqzq", b"zqzqz"] and lens.sum() == len(tokens) and tokens.dtype == np.int32
+    kept = {r[0] for r in pieces.pairs.db.execute("SELECT table_name FROM duckdb_tables()").fetchall()}
+    assert kept == {"merges", "vocabulary"}  # no rows of a query stay

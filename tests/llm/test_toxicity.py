@@ -89,3 +89,15 @@ def test_copies_of_one_document_leave_the_others_in_the_sample(spark):
     assert model is not None
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns and kept.filter("doc_id % 4 = 0").count() == 0 and kept.count() == len([i for i in ids if i % 4]) + 6100
+
+
+def test_calibration_looks_up_few_texts_at_once(monkeypatch):
+    met, pooled = [], toxicity.Model.pooled
+    monkeypatch.setattr(toxicity.Model, "pooled", lambda m, r, at, counts: met.append(len(counts)) or pooled(m, r, at, counts))
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    texts, toxic = made(900, 5)
+    model = fit(texts, toxic, ["en"] * len(texts))
+    assert sum(met) == 180 and max(met) <= toxicity.CALIBRATE_TEXTS  # a fifth calibrates
+    monkeypatch.setattr(toxicity, "CALIBRATE_TEXTS", 1000)
+    once = fit(texts, toxic, ["en"] * len(texts))
+    assert (model.scale, model.shift, model.threshold, model.thresholds) == (once.scale, once.shift, once.threshold, once.thresholds)
