@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -110,21 +111,22 @@ class WordEncoder:
         self.tokenizer = word_tokenizer(name)
         self.model = self.tokenizer.model
         self.fixed = fixed or {}
-        self.known: dict[str, list[int]] = dict(self.fixed)
+        # tuples of numbers, which the garbage collector need not walk through again and again
+        self.known: dict[str, Sequence[int]] = dict(self.fixed)
 
-    def pretoken(self, letters: str) -> list[int]:
+    def pretoken(self, letters: str) -> Sequence[int]:
         ids = self.known.get(letters)
         if ids is None:
-            ids = self.known[letters] = [t.id for t in self.model.tokenize(letters)]
+            ids = self.known[letters] = tuple([t.id for t in self.model.tokenize(letters)])
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> Sequence[int]:
         parts = chunk_pretokens(chunk)
         if parts is None:
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         if len(parts) == 1:
             return self.pretoken(parts[0])
-        return [i for x in parts for i in self.pretoken(x)]
+        return tuple([i for x in parts for i in self.pretoken(x)])
 
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > KNOWN_PRETOKENS:

@@ -1,3 +1,4 @@
+import gc
 import zlib
 
 import numpy as np
@@ -99,3 +100,13 @@ def test_chunks_cut_in_arrow():
         again, same = table.numbers(lists.to_pylist())
         assert (at == again).all() and (counts == same).all() and len(asked) == len(set(asked)) == len(table.index)
         assert table.number(" ") == len(table.index) - 1 and table.number(" ") == len(table.index) - 1
+
+
+def test_kept_ids_are_out_of_the_collectors_reach():
+    encoder = vocab.WordEncoder()
+    chunks = ["Well-known", "it's", "x1y2", "word,", "日本", "word,"]
+    lens, ids = encoder.values_of(chunks)
+    want = [word_tokenizer().encode(c, add_special_tokens=False).ids for c in chunks]
+    assert lens.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    gc.collect()
+    assert encoder.known and not any(map(gc.is_tracked, encoder.known.values()))
