@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ class Merges:
         self.beside: dict[tuple[str, str], bool] = {}
         #: tokens whose own characters merge into them; others never come about
         self.whole = {t for t in self.rank if self._reached(t)}
+        #: the word that was asked last, the last token and the count of its prefixes, and their counts as whole words
+        self.asked, self.last, self.count, self.ended = "", [""], [0], []
 
     def _reached(self, token: str) -> bool:
         """Whether the merges of the token's characters end in the token."""
@@ -96,26 +99,39 @@ class Merges:
         return ok
 
     def prefix_counts(self, letters: str) -> list[int]:
-        """Token counts of the first 1, 2, ... letters, each taken as a whole word."""
-        last: list[str] = [""]
-        count = [0]
-        ended = []
-        whole, fits, end, longest = self.whole, self.fits, self.end, self.longest
-        for i in range(1, len(letters) + 1):
-            inner = final = None
-            for j in range(max(0, i - longest), i):
+        """Token counts of the first 1, 2, ... letters, each taken as a whole word.
+
+        What a word begins like the one asked before is not worked out again: nothing in a prefix depends on what follows it.
+        """
+        last, count, ended, before = self.last, self.count, self.ended, self.asked
+        # whole once more: the letters that end the word before have no last token, for nothing of it followed
+        same, most = 0, min(len(letters), len(before) - 1)
+        while same < most and letters[same] == before[same]:
+            same += 1
+        del last[same + 1 :], count[same + 1 :], ended[same:]
+        self.asked = ""  # nothing is shared with a word that was left half done
+        whole, fits, known, end, longest = self.whole, self.fits, self.beside.get, self.end, self.longest
+        for i in range(same + 1, len(letters) + 1):
+            first = max(0, i - longest)
+            for j in range(first, i):
+                token = letters[j:i] + end
+                if token in whole and (not j or ((ok := known((last[j], token))) is None and fits(last[j], token)) or ok):
+                    ended.append(count[j] + 1)
+                    break
+            else:
+                ended.append(None)
+            if i == len(letters):
+                break
+            for j in range(first, i):
                 token = letters[j:i]
-                if inner is None and token in whole and (not j or fits(last[j], token)):
-                    inner = (token, count[j] + 1)
-                token += end
-                if final is None and token in whole and (not j or fits(last[j], token)):
-                    final = count[j] + 1
-                if inner is not None and final is not None:
+                if token in whole and (not j or ((ok := known((last[j], token))) is None and fits(last[j], token)) or ok):
+                    last.append(token)
+                    count.append(count[j] + 1)
                     break
-            last.append(inner[0])
-            count.append(inner[1])
-            ended.append(final)
-        return ended
+            else:
+                raise ValueError(f"no token ends after {letters[:i]!r}")
+        self.asked = letters
+        return ended[:]
 
 
 class PrefixCounter:
@@ -124,9 +140,10 @@ class PrefixCounter:
     def __init__(self, name: str = WORD_BPE) -> None:
         self.tokenizer, self.merges = word_tokenizer(name), Merges(name)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        self.known: dict[str, list[int]] = {}
+        # tuples of numbers, which the garbage collector need not walk through again and again
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def pretoken(self, letters: str) -> list[int]:
+    def pretoken(self, letters: str) -> tuple[int, ...]:
         counts = self.known.get(letters)
         if counts is not None:
             return counts
@@ -135,6 +152,7 @@ class PrefixCounter:
             counts = [1, *([2] if len(letters) == 3 else []), counts[-1]]
         if not letters.isascii():
             counts = [counts[k] for k in _character_ends(letters)]
+        counts = tuple(counts)
         if len(letters) <= _KEEP:
             self.known[letters] = counts
         return counts
@@ -147,7 +165,10 @@ class PrefixCounter:
         return before
 
     def chunk(self, chunk: str) -> list[int]:
-        parts, out = chunk_pretokens(chunk), []
+        return list(self.of_parts(chunk, chunk_pretokens(chunk)))
+
+    def of_parts(self, chunk: str, parts: list[str] | None) -> Sequence[int]:
+        out = []
         if parts is not None:
             if len(parts) == 1:
                 return self.pretoken(parts[0])
@@ -173,9 +194,13 @@ class PrefixCounter:
     def values_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > 600_000:
             self.known.clear()
-        counts = list(map(self.chunk, chunks))
+        parts = list(map(chunk_pretokens, chunks))
+        # in order, words begin like the one before
+        for letters in sorted({p for x in parts if x for p in x if len(p) <= _KEEP and p not in self.known}):
+            self.pretoken(letters)
+        counts = list(map(self.of_parts, chunks, parts))
         lens = np.fromiter(map(len, counts), np.int64, len(counts))
-        return lens, np.fromiter((c for x in counts for c in x), np.int32, int(lens.sum()))
+        return lens, np.fromiter(chain.from_iterable(counts), np.int32, int(lens.sum()))
 
 
 @lru_cache(maxsize=1)

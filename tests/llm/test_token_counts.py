@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from flowpane.llm.token_counts import PrefixCounter, longest_within, prefix_counts, token_counts, tokens_before
+from flowpane.llm.token_counts import Merges, PrefixCounter, longest_within, prefix_counts, token_counts, tokens_before
 from flowpane.llm.vocab import space_chunks, word_tokenizer
 
 
@@ -39,3 +39,26 @@ def test_whole_texts_and_questions(spark):
         assert r["w"] == max([k for k in range(len(normal) + 1) if library(normal[:k]) <= 3])
     assert token_counts(docs.filter(F.lit(False))).count() == 0
     assert space_chunks(" a\x1cb c ") == ["a\x1cb", "c"]
+
+
+def test_words_that_begin_alike_share_work():
+    class Counted(set):
+        looks = 0
+
+        def __contains__(self, token):
+            Counted.looks += 1
+            return super().__contains__(token)
+
+    merges, rng = Merges(), random.Random(3)
+    merges.whole = Counted(merges.whole)
+    words = ["".join(rng.choice("aenrst") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    words += [w[: rng.randint(1, len(w))] for w in words] + [w + "s" for w in words]
+    alone = {}
+    for w in words:
+        merges.asked, merges.last, merges.count, merges.ended = "", [""], [0], []
+        alone[w] = merges.prefix_counts(w)
+    each, Counted.looks = Counted.looks, 0
+    assert [merges.prefix_counts(w) for w in words] == [alone[w] for w in words]
+    Counted.looks = 0
+    assert [merges.prefix_counts(w) for w in sorted(words)] == [alone[w] for w in sorted(words)]
+    assert 3 * Counted.looks < 2 * each
