@@ -37,6 +37,8 @@ EPOCHS, BATCH, RATE = 8, 64, 0.01
 LEAST_STEPS = 300
 #: Texts that are calibrated at once; only memory depends on it.
 CALIBRATE_TEXTS = 64
+#: Bytes of text that a worker scores at once; the responses of all their words take many times as much.
+SCORED_CHARS = 250_000
 #: Bins of scores that are counted; a cut lies between two of them.
 SCORE_BINS = 1000
 #: Labelled rows of either class from which a language has a threshold of its own.
@@ -283,7 +285,7 @@ def _score_batches(model: Model | None, score: str):
         kept_in_worker("toxicity", dict)  # what other operators kept is not needed now
         table, held, done = SegmentTable(values_of, np.int32, 250_000), np.zeros((1 << 16, FILTERS * len(_OFFSETS)), np.float32), 0
         for batch in batches:
-            for start, texts in text_groups(batch.columns[-1].fill_null(""), 1_000_000):
+            for start, texts in text_groups(batch.columns[-1].fill_null(""), SCORED_CHARS):
                 scores = np.zeros(len(texts))
                 if model is not None:
                     at, counts = table.numbers([_words(t) for t in texts])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowpane.llm import toxicity
@@ -101,3 +102,11 @@ def test_calibration_looks_up_few_texts_at_once(monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATE_TEXTS", 1000)
     once = fit(texts, toxic, ["en"] * len(texts))
     assert (model.scale, model.shift, model.threshold, model.thresholds) == (once.scale, once.shift, once.threshold, once.thresholds)
+
+
+def test_a_worker_scores_few_texts_at_once():
+    texts = pa.array([f"word{i} " * 25_000 for i in range(6)] + ["", None], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), texts], names=["doc_id", "text"])
+    out = list(toxicity._score_batches(None, "score")(iter([batch])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(8))
+    assert len(out) >= 5 and max(b.column(1).nbytes for b in out) < 400_000
