@@ -37,8 +37,8 @@ EPOCHS, BATCH, RATE = 8, 64, 0.01
 LEAST_STEPS = 300
 #: Texts that are calibrated at once; only memory depends on it.
 CALIBRATE_TEXTS = 64
-#: Bytes of text that a worker scores at once; the responses of all their words take many times as much.
-SCORED_CHARS = 250_000
+#: Texts that a worker pools at once; only memory depends on it.
+POOLED_TEXTS = 64
 #: Bins of scores that are counted; a cut lies between two of them.
 SCORE_BINS = 1000
 #: Labelled rows of either class from which a language has a threshold of its own.
@@ -285,7 +285,7 @@ def _score_batches(model: Model | None, score: str):
         kept_in_worker("toxicity", dict)  # what other operators kept is not needed now
         table, held, done = SegmentTable(values_of, np.int32, 250_000), np.zeros((1 << 16, FILTERS * len(_OFFSETS)), np.float32), 0
         for batch in batches:
-            for start, texts in text_groups(batch.columns[-1].fill_null(""), SCORED_CHARS):
+            for start, texts in text_groups(batch.columns[-1].fill_null(""), 1_000_000):
                 scores = np.zeros(len(texts))
                 if model is not None:
                     at, counts = table.numbers([_words(t) for t in texts])
@@ -296,7 +296,10 @@ def _score_batches(model: Model | None, score: str):
                         held = np.concatenate([held, np.zeros((n, held.shape[1]), np.float32)])
                     held[done:n] = model.responses(table.ragged.flat[3 * done : 3 * n].reshape(-1, 3))
                     done = n
-                    scores = model.scores(model.pooled(held, at, counts))
+                    ends = np.cumsum(counts)
+                    scores = model.scores(np.concatenate([
+                        model.pooled(held, at[ends[a] - counts[a] : ends[b]], counts[a : b + 1])
+                        for a in range(0, len(texts), POOLED_TEXTS) for b in [min(a + POOLED_TEXTS, len(texts)) - 1]]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns, pa.array(scores)], names=[*batch.schema.names, score])
     return run
 

@@ -104,9 +104,13 @@ def test_calibration_looks_up_few_texts_at_once(monkeypatch):
     assert (model.scale, model.shift, model.threshold, model.thresholds) == (once.scale, once.shift, once.threshold, once.thresholds)
 
 
-def test_a_worker_scores_few_texts_at_once():
-    texts = pa.array([f"word{i} " * 25_000 for i in range(6)] + ["", None], pa.string())
-    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), texts], names=["doc_id", "text"])
-    out = list(toxicity._score_batches(None, "score")(iter([batch])))
-    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(8))
-    assert len(out) >= 5 and max(b.column(1).nbytes for b in out) < 400_000
+def test_a_worker_pools_few_texts_at_once(monkeypatch):
+    texts, toxic = made(300, 4)
+    model = fit(texts, toxic, ["en"] * len(texts))
+    pooled, sizes = toxicity.Model.pooled, []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(302)), pa.array([*texts, "", None])], names=["doc_id", "text"])
+    monkeypatch.setattr(toxicity.Model, "pooled", lambda self, held, at, counts: sizes.append(len(counts)) or pooled(self, held, at, counts))
+    few = pa.Table.from_batches(toxicity._score_batches(model, "score")(iter([batch])))
+    assert max(sizes) <= 64 and sum(sizes) == 302
+    monkeypatch.setattr(toxicity, "POOLED_TEXTS", 1000)
+    assert few.equals(pa.Table.from_batches(toxicity._score_batches(model, "score")(iter([batch]))))
