@@ -1,7 +1,9 @@
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowpane.llm import top_k
@@ -38,3 +40,39 @@ def test_search(spark, monkeypatch):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:20])]
     assert sorted(got) == sorted(want)
     assert search(quantised(docs.filter("false")), quantised(docs.filter("false"))).count() == 0
+
+
+def _block(ids, x, asked):
+    """The answer of a block to the queries in the rows ``asked``, by query, and the CPU seconds that it took."""
+    rows = [*x.tolist(), *x[asked].tolist()]
+    table = pa.table({"query": pa.array([None] * len(x) + list(range(len(asked))), pa.int64()),
+                      "vec_id": pa.array([*ids.tolist(), *ids[asked].tolist()], pa.int64()), "v": pa.array(rows, pa.list_(pa.int64()))})
+    run, began = top_k._search_block(20), time.process_time()
+    out = run(table)
+    took, found = time.process_time() - began, {}
+    for q, i, s in zip(*(out[c].to_pylist() for c in ("query", "vec_id", "score")), strict=True):
+        found.setdefault(q, []).append((i, s))
+    return found, took
+
+
+def test_many_queries_of_a_block():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 8, (12_000, 64)).astype(np.int64)
+    ids, asked = rng.permutation(len(x)), np.arange(600)
+    found, took = _block(ids, x, asked)
+    assert took < 3  # query by query it took over 10
+    for n in range(0, 600, 60):
+        scores = x @ x[n]
+        assert found[n] == [(ids[i], scores[i]) for i in np.lexsort((ids, -scores)) if i != n][:20]
+
+
+def test_copies_ties_and_large_numbers():
+    rng = np.random.default_rng(7)
+    few = rng.integers(-9, 10, (5, 6))
+    alike, near = np.repeat(few[:1], 9_000, axis=0), few[rng.integers(0, 5, 9_000)] + (rng.random((9_000, 6)) < 0.1)
+    for x in (alike, near, near << 26, near << 50, np.zeros((30, 4), np.int64), rng.integers(-3, 4, (21, 3))):
+        ids, asked = rng.integers(0, 2 * len(x) // 3, len(x)), np.arange(0, len(x), max(1, len(x) // 7))
+        found, _ = _block(ids, x, asked)
+        for n, row in enumerate(asked):
+            scores = x @ x[row]
+            assert found[n] == [(ids[i], scores[i]) for i in np.lexsort((ids, ~scores)) if ids[i] != ids[row]][:20]
