@@ -94,7 +94,8 @@ def links(prints: DataFrame) -> DataFrame:
                 for flip in [0, *([1 << b for b in range(SEGMENTS[(i + 1) % 3][1])] if flipped else [])]]
         return prints.select(x.alias(name), F.explode(F.array(*keys)).alias("at")).select(name, "at.chain", "at.key")
 
-    met = rows(False, "a").join(rows(True, "b"), ["chain", "key"]).filter("a < b")
+    # Spark sizes exploded rows by the file they come from: unless told, it sends 67 rows of each fingerprint through the driver
+    met = rows(False, "a").hint("merge").join(rows(True, "b").hint("merge"), ["chain", "key"]).filter("a < b")
     a, b = F.col("a"), F.col("b")
     # a pair may meet under several chains: it counts under the first
     first = F.when(_chain(a, b, 0), 0).when(_chain(a, b, 1), 1).otherwise(2)
@@ -106,10 +107,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     prints = stage(fingerprints(docs, k), "prints")
     nodes = stage(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(stage(links(nodes.select("print")), "pairs"))
-    rooted = nodes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    # tables with a row for each document or fingerprint are merged: their files are small for what they hold
+    rooted = nodes.hint("merge").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = stage(rooted.join(least, "root").select("print", "component_id"), "of-print")
-    return prints.join(of_print, "print").select(
+    return prints.hint("merge").join(of_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 

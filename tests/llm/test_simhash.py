@@ -42,6 +42,16 @@ def test_links_against_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
+def test_exploded_keys_stay_with_the_executors(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.getrandbits(63)) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, print long").write.parquet(str(tmp_path / "prints"))
+    met = links(spark.read.parquet(str(tmp_path / "prints")).select("print"))
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(3)
     names = rng.sample(range(10000), 300)
