@@ -3,6 +3,8 @@ import random
 import re
 
 import corpus_pipeline
+from flowpane.llm import simhash
+from flowpane.llm.common import stage
 from flowpane.llm.vocab import byte_encoding
 
 
@@ -49,3 +51,17 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert all(r["text"] == text[r["doc_id"]] for r in kept["mixing"])
     assert sorted((r["doc_id"], r["ids"]) for r in kept["byte_bpe"]) == sorted(
         (r["doc_id"], byte_encoding().encode_ordinary(r["text"] or "")) for r in kept["mixing"])
+
+
+def test_near_copies_without_broadcast_keys(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+    monkeypatch.setattr(simhash, "stage", seen)
+    docs = spark.createDataFrame([(i, f"a b c d {i // 2}") for i in range(40)], "doc_id long, text string")
+    ids = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert ids and ids <= set(range(0, 40, 2))
+    # the keys, 67 rows for each fingerprint, look as small as the fingerprints before they are made
+    assert "Generate" in plans["pairs"] and "Broadcast" not in plans["pairs"]
